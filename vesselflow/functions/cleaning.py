@@ -23,9 +23,16 @@ def _within(column: ColumnLike, bounds: tuple[float, float]) -> Column:
     return F.when(value.between(*bounds), value)
 
 
-def mmsi(column: ColumnLike) -> Column:
-    """CUR1: the last one to nine digits, padded to nine with zeros."""
-    digits = F.regexp_extract(_c(column).cast("string"), S.MMSI_PATTERN, 1)
+def mmsi(column: ColumnLike, whole_number: bool = False) -> Column:
+    """CUR1: the last one to nine digits, padded to nine with zeros.
+
+    A column of an integer type can take the remainder instead of the pattern,
+    which gives the same digits without a regular expression.
+    """
+    if whole_number:
+        digits = F.abs(_c(column) % 1_000_000_000).cast("string")
+    else:
+        digits = F.regexp_extract(_c(column).cast("string"), S.MMSI_PATTERN, 1)
     return F.lpad(digits, 9, "0")
 
 
@@ -146,9 +153,12 @@ def nav_status_name(code: ColumnLike, catalogue_name: ColumnLike) -> Column:
 
 
 def plain_name(column: ColumnLike) -> Column:
-    """CUR18: upper case, only letters, digits and single spaces."""
-    kept = F.regexp_replace(F.upper(F.trim(_c(column))), S.NOT_IN_NAMES_PATTERN, "")
-    return F.regexp_replace(kept, r"\s+", " ")
+    """CUR18: upper case, only letters, digits and single spaces.
+
+    One pass does both steps: from a space up to a later one with no name character
+    between them a single space is left, all other foreign characters go.
+    """
+    return F.regexp_replace(F.upper(F.trim(_c(column))), S.NAME_GAPS_PATTERN, "$1")
 
 
 def time_fields(column: ColumnLike = "BaseDateTime") -> dict[str, Column]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vesselflow.functions import cleaning as rule
 from vesselflow.functions.geo import geohash_encode
@@ -17,9 +18,10 @@ MESSAGE_KEY = ["MMSI", "BaseDateTime"]
 
 def clean(messages: DataFrame) -> DataFrame:
     """CUR1-CUR12 and CUR18: the raw columns, cleaned; rows without a position go."""
+    whole_number = isinstance(messages.schema["MMSI"].dataType, IntegralType)
     typed = messages.withColumns(
         {
-            "MMSI": rule.mmsi("MMSI"),
+            "MMSI": rule.mmsi("MMSI", whole_number),
             "BaseDateTime": rule.message_time("BaseDateTime"),
             "LAT": rule.latitude(rule.number("LAT")),
             "LON": rule.longitude(rule.number("LON")),

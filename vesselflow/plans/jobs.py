@@ -39,8 +39,9 @@ def ingest_archives(
     """
     lines = read_zip_lines(spark, root, name_regex, tasks)
     messages = add_raw_partitions(parse_message_lines(lines, options))
-    write_raw(add_lineage(messages), out)
-    months = [r.ym for r in messages.select("ym").distinct().collect() if r.ym]
+    watch = Observation("months written")
+    write_raw(add_lineage(messages).observe(watch, F.collect_set("ym").alias("months")), out)
+    months = [m for m in watch.get["months"] if m]
     written = read_months(spark, out, months).withColumn(
         "ymd", F.date_format(cleaning.message_time("BaseDateTime"), "yyyy-MM-dd")
     )

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(messages: DataFrame, out: str) -> str:
+    """Several files, each of a span of time, as archives of days are."""
+    files = messages.sparkSession.sparkContext.defaultParallelism
     (
-        messages.write.option("header", "true")
+        messages.repartitionByRange(files, "BaseDateTime")
+        .write.option("header", "true")
         .option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false")
         .csv(out)

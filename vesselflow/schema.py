@@ -59,7 +59,7 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 MMSI_PATTERN = r"(\d{1,9})$"
 YEAR_MONTH_PATTERN = r"^(\d{4}-\d{2})"
 YEAR_MONTH_DAY_PATTERN = r"^(\d{4}-\d{2}-\d{2})"
-NOT_IN_NAMES_PATTERN = r"[^A-Z0-9 ]"
+NAME_GAPS_PATTERN = r"( )[^A-Z0-9]* |[^A-Z0-9 ]+"
 
 LAT_RANGE = (-90, 90)
 SOG_RANGE = (0, 70)
