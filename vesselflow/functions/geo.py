@@ -67,57 +67,38 @@ def geohash_encode(
     return F.when(latitude.isNotNull() & longitude.isNotNull(), F.concat(*characters))
 
 
-def _every_second_bit(value: Column) -> Column:
-    """Bits 0, 2, 4, ... of a long moved together."""
-    result = value.bitwiseAND(0x5555555555555555)
-    for step, mask in (
-        (1, 0x3333333333333333),
-        (2, 0x0F0F0F0F0F0F0F0F),
-        (4, 0x00FF00FF00FF00FF),
-        (8, 0x0000FFFF0000FFFF),
-        (16, 0x00000000FFFFFFFF),
-    ):
-        result = result.bitwiseOR(F.shiftright(result, step)).bitwiseAND(mask)
-    return result
-
-
-def with_geohash_centre(
-    df: DataFrame, geohash: str = "geohash9", lat: str = "lat", lon: str = "lon"
-) -> DataFrame:
-    """Add the centre of each cell; NULL where the text is not a geohash.
-
-    Works for any length up to twelve characters. The steps are separate
-    projections so that each intermediate number is computed once.
+def geohash_centre(geohash: ColumnLike) -> tuple[Column, Column]:
+    """Latitude and longitude of the centre of a cell; NULL if the text is no geohash.
+
+    The text is read as if padded to twelve characters, so that every character
+    has its bits at a fixed place; half a cell of the actual length is added.
     """
     code = F.lower(_c(geohash))
     valid = code.rlike(f"^[{GEOHASH_ALPHABET}]{{1,{MAX_PRECISION}}}$")
-    # Base-32 digits to a number: translate to the digits Spark's conv() knows.
-    conv_digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-    number = F.conv(F.translate(code, GEOHASH_ALPHABET, conv_digits), 32, 10).cast("bigint")
-    steps = df.withColumn("_bits", F.when(valid, number)).withColumn(
-        "_n", F.when(valid, F.length(code) * 5)
-    )
-    steps = steps.withColumns(
-        {
-            "_even": _every_second_bit(F.col("_bits")),
-            "_odd": _every_second_bit(F.shiftright("_bits", 1)),
-        }
-    )
-    # The first bit is longitude: with an odd number of bits it is an even place.
-    odd_count = F.col("_n") % 2 == 1
-    lon_cell = F.when(odd_count, F.col("_even")).otherwise(F.col("_odd"))
-    lat_cell = F.when(odd_count, F.col("_odd")).otherwise(F.col("_even"))
-    lon_cells = F.pow(F.lit(2.0), F.ceil(F.col("_n") / 2))
-    lat_cells = F.pow(F.lit(2.0), F.floor(F.col("_n") / 2))
-    return steps.withColumns(
-        {
-            lat: (lat_cell + 0.5) / lat_cells * 180.0 - 90.0,
-            lon: (lon_cell + 0.5) / lon_cells * 360.0 - 180.0,
-        }
-    ).drop("_bits", "_n", "_even", "_odd")
+    padded = F.rpad(code, MAX_PRECISION, GEOHASH_ALPHABET[0])
+    lon_bits, lat_bits = _bit_counts(MAX_PRECISION)
+    lon_left, lat_left = lon_bits, lat_bits
+    lon_cell, lat_cell = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for position in range(MAX_PRECISION):
+        lon_first = position % 2 == 0
+        lon_left -= 3 if lon_first else 2
+        lat_left -= 2 if lon_first else 3
+        character = F.substring(padded, position + 1, 1)
+        parts = (F.position(character, F.lit(_BY_PARTS)) - 1).cast("bigint")
+        three, two = F.shiftright(parts, 2), parts.bitwiseAND(3)
+        lon_part, lat_part = (three, two) if lon_first else (two, three)
+        lon_cell = lon_cell + lon_part * (1 << lon_left)
+        lat_cell = lat_cell + lat_part * (1 << lat_left)
+    length = F.length(code)
+    half_lon = F.pow(F.lit(2.0), -F.ceil(length * 5 / 2) - 1)
+    half_lat = F.pow(F.lit(2.0), -F.floor(length * 5 / 2) - 1)
+    latitude = (lat_cell / float(1 << lat_bits) + half_lat) * 180.0 - 90.0
+    longitude = (lon_cell / float(1 << lon_bits) + half_lon) * 360.0 - 180.0
+    return F.when(valid, latitude), F.when(valid, longitude)
 
 
 def map_points(df: DataFrame, geohash: str = "geohash9") -> DataFrame:
     """GEO2: ``lat``, ``lon`` of the decodable rows only."""
-    points = with_geohash_centre(df.select(geohash), geohash)
-    return points.select("lat", "lon").dropna(subset=["lat", "lon"])
+    latitude, longitude = geohash_centre(geohash)
+    points = df.select(latitude.alias("lat"), longitude.alias("lon"))
+    return points.dropna(subset=["lat", "lon"])
