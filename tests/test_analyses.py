@@ -1,0 +1,221 @@
+import datetime as dt
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import plan_of
+from vesselflow.functions import predicates as P
+from vesselflow.functions import stats
+from vesselflow.operators.curation import curate
+from vesselflow.operators.ranking import distinct_values
+from vesselflow.plans import analyses as A
+
+DAY = "2024-01-05"
+
+
+def at(minute, day=5):
+    return f"2024-01-{day:02d}T{minute // 60:02d}:{minute % 60:02d}:00"
+
+
+def test_draft_outliers(messages):
+    drafts = [5.0, 5.1, 4.9, 5.0, 5.1, 4.9, 5.0, 12.0]
+    rows = [{"MMSI": i, "Draft": d} for i, d in enumerate(drafts)]
+    other = [{"MMSI": 90 + i, "VesselType": "30", "Draft": 3.0} for i in range(3)]
+    untyped = [{"MMSI": 80, "VesselType": "x", "Draft": 20.0}]
+    table = curate(messages(*rows, *other, *untyped))
+    mu, sd = statistics.mean(drafts), statistics.stdev(drafts)
+    (row,) = A.draft_outliers(table, DAY, DAY, z_min=2).collect()
+    assert row.MMSI == "000000007" and row.VesselTypeName == "Cargo, all ships of this type"
+    assert row.z == pytest.approx((12 - mu) / sd) and row.sd == pytest.approx(sd)
+    everyone = A.draft_outliers(table, z_min=0).collect()
+    assert len(everyone) == 8 and everyone[0].MMSI == "000000007"
+    assert A.draft_outliers(table, z_min=0, limit=3).count() == 3
+    assert A.draft_outliers(table, "2024-01-06", "2024-01-07", z_min=0).isEmpty()
+    assert A.draft_outliers(table, vessel_types=["Fishing"], z_min=0).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def track(messages):
+    """One vessel: courses 359, 1, 181, (gap) 181, 10; the third lies outside the box."""
+    courses = [(0, 359.0, 30.0), (10, 1.0, 30.0), (20, 181.0, 50.0), (300, 181.0, 30.0), (310, 10.0, 30.0)]
+    rows = [{"BaseDateTime": at(m), "COG": c, "LAT": lat} for m, c, lat in courses]
+    return curate(messages(*rows, {"MMSI": 9, "COG": 50.0}, {"BaseDateTime": at(5), "COG": None}))
+
+
+def test_plain_course_changes(track):
+    rows = A.course_changes(track, DAY, DAY, min_delta=100).collect()
+    assert [(r.prev_cog, r.COG, r.delta_cog) for r in rows] == [
+        (359.0, 1.0, 358.0), (1.0, 181.0, 180.0), (181.0, 10.0, 171.0),
+    ]
+    boxed = A.course_changes(track, DAY, DAY, min_delta=100, bbox=P.in_bbox(20, 40, -100, -80)).collect()
+    assert [(r.prev_cog, r.COG) for r in boxed] == [(359.0, 1.0), (1.0, 181.0), (181.0, 10.0)]
+    assert boxed[1].BaseDateTime == dt.datetime(2024, 1, 5, 5, 0)
+    assert A.course_changes(track, DAY, DAY, mmsi=["000000009"], min_delta=0).isEmpty()
+
+
+def test_circular_course_changes(track):
+    rows = A.course_changes_circular(track, DAY, DAY, max_dt_min=60, min_delta=1).collect()
+    assert [(r.dt_min, r.prev_cog, r.COG, r.delta_deg) for r in rows] == [
+        (10, 181.0, 10.0, 171.0), (10, 1.0, 181.0, 180.0), (10, 359.0, 1.0, 2.0),
+    ]
+    # The box applies after the previous message is found.
+    box = P.in_bbox(20, 40, -100, -80)
+    boxed = A.course_changes_circular(track, DAY, DAY, 600, 1, bbox=box).collect()
+    assert [(r.prev_cog, r.COG) for r in boxed] == [(181.0, 10.0), (359.0, 1.0)]
+
+
+def test_previous_course_comes_from_the_day_before(messages):
+    table = curate(
+        messages(
+            {"BaseDateTime": "2024-01-05T23:59:00", "COG": 10.0},
+            {"BaseDateTime": "2024-01-06T00:01:30", "COG": 200.0},
+        )
+    )
+    (row,) = A.course_changes_circular(table, max_dt_min=5, min_delta=90).collect()
+    assert row.dt_min == 2 and row.delta_deg == 170.0
+    assert A.course_changes_circular(table, "2024-01-06", "2024-01-06", 5, 90).isEmpty()
+
+
+def test_angles(spark):
+    pairs = [(float(a), float(b)) for a in range(0, 360, 7) for b in range(0, 360, 11)]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    rows = df.select("a", "b", stats.circular_difference("a", "b").alias("d"),
+                     stats.circular_difference("b", "a").alias("e")).collect()
+    for r in rows:
+        assert 0 <= r.d <= 180 and r.d == pytest.approx(r.e)
+        assert r.d == pytest.approx(min((r.a - r.b) % 360, (r.b - r.a) % 360))
+
+
+def test_correlations(messages):
+    rows = [{"BaseDateTime": at(i), "SOG": float(i), "Draft": 20.0 - i} for i in range(1, 11)]
+    flat = [
+        {"MMSI": 2, "BaseDateTime": at(i), "VesselType": "30", "SOG": 5.0, "Draft": float(i)}
+        for i in range(1, 11)
+    ]
+    single = [{"MMSI": 3, "VesselType": "36"}]
+    table = curate(messages(*rows, *flat, *single, {"BaseDateTime": at(99), "SOG": None}))
+    found = A.correlation_by_type(table, min_n=2).collect()
+    assert [(r.VesselTypeName, r.n) for r in found] == [("Cargo, all ships of this type", 10), ("Fishing", 10)]
+    assert found[0].corr_pearson == pytest.approx(-1) and found[1].corr_pearson is None
+    ascending = A.speed_draft_correlation(table, min_n=1).collect()
+    assert [r.VesselTypeName for r in ascending] == ["Fishing", "Sailing", "Cargo, all ships of this type"]
+
+
+def test_length_and_width(messages):
+    rows = [
+        {"BaseDateTime": at(i), "Length": 100.0 + i, "Width": 10.0 + 2 * i, "VesselType": kind}
+        for i in range(5) for kind in ("70", "80")
+    ]
+    table = curate(messages(*[{**r, "MMSI": int(r["VesselType"])} for r in rows]))
+    found = A.length_width_correlation(table, classes=["Cargo"], min_n=5).collect()
+    assert [(r.VesselTypeClass, r.n) for r in found] == [("Cargo", 5)]
+    (row,) = A.length_width_covariance(table, classes=["Tanker"], min_n=5).collect()
+    assert row.covar_len_width == pytest.approx(4) and row.corr_len_width == pytest.approx(1)
+    assert A.length_width_covariance(table, min_n=6).isEmpty()
+
+
+def test_positions(messages):
+    table = curate(messages(*[{"BaseDateTime": at(i), "MMSI": i % 3} for i in range(20)]))
+    rows = A.recent_positions(table, DAY, DAY, limit=4, additional_columns=["SOG"]).collect()
+    assert [r.BaseDateTime.minute for r in rows] == [19, 18, 17, 16] and rows[0].SOG == 5.0
+    assert A.recent_positions(table, mmsi=["000000001"]).count() == 7
+
+
+def test_status(messages):
+    table = curate(
+        messages(
+            {"Status": "1", "SOG": 3.0}, {"Status": "1", "SOG": 1.0, "MMSI": 2},
+            {"Status": "1", "SOG": 4.0, "BaseDateTime": at(0, 6)}, {"Status": "5", "SOG": 9.0, "MMSI": 3},
+            {"Status": "9", "MMSI": 4}, {"Status": None, "MMSI": 5},
+        )
+    )
+    rows = A.status_summary(table).collect()
+    assert [(r.NavStatusName, r.total_messages, r.unique_vessels) for r in rows] == [
+        ("At anchor", 3, 2), ("Moored", 1, 1), ("Not reported", 1, 1),
+    ]
+    assert rows[0].avg_sog == pytest.approx(8 / 3)
+    by_day = A.status_by_day(table).collect()
+    assert [(r.d.day, r.NavStatusName, r.msgs, r.max_sog) for r in by_day] == [
+        (5, None, 1, 5.0), (5, "At anchor", 2, 3.0), (5, "Moored", 1, 9.0), (5, "Not reported", 1, 5.0),
+        (6, "At anchor", 1, 4.0),
+    ]
+    moving = A.moving_while_stationary(table, sog_thr=2).collect()
+    assert [r.SOG for r in moving] == [9.0, 4.0, 3.0]
+    strict = A.moving_while_stationary(table, sog_thr=2, strict_labels=True).collect()
+    assert [r.SOG for r in strict] == [9.0]
+
+
+def test_variability(messages):
+    rows = [{"BaseDateTime": at(i), "SOG": float(i), "COG": 2.0 * i, "Heading": 3.0 * i} for i in range(5)]
+    table = curate(messages(*rows, {"BaseDateTime": at(50), "SOG": None}))
+    (row,) = A.variability_by_type(table, min_n=5).collect()
+    assert (row.n, row.avg_sog, row.avg_cog) == (5, 2.0, 4.0)
+    assert row.sd_cog == pytest.approx(2 * row.sd_sog)
+    (row,) = A.heading_variability_by_type(table, min_n=6).collect()
+    assert row.n == 6 and A.heading_variability_by_type(table, min_n=7).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def speeds(messages):
+    slow = [{"BaseDateTime": at(i), "SOG": 1.0 + i / 100, "MMSI": 1} for i in range(100)]
+    fast = [{"BaseDateTime": at(i), "SOG": 9.0, "MMSI": 2, "VesselName": f"N{i}"} for i in range(3)]
+    late = [{"BaseDateTime": at(0, 9), "SOG": 30.0, "MMSI": 3}]
+    return curate(messages(*slow, *fast, *late, {"MMSI": 4, "VesselType": "x", "SOG": 60.0}))
+
+
+def test_unusual_speeds(speeds):
+    (row,) = A.unusual_speeds(speeds, percentile=90).collect()
+    assert row.MMSI == "000000001" and row.sog_max == 1.99 and row.sog_p == pytest.approx(1.89)
+    assert row.exceso == pytest.approx(0.10)
+
+
+def test_speeds_above_the_percentile_of_the_type(speeds):
+    rows = A.speeds_above_type_percentile(speeds, DAY, DAY, p=90).collect()
+    # The day limits the percentile only, so the vessel of another day is found too.
+    assert [(r.MMSI, r.sog_max, r.VesselName) for r in rows] == [
+        ("000000003", 30.0, "SHIP"), ("000000002", 9.0, "N2"), ("000000001", 1.99, "SHIP"),
+    ]
+    assert all(r.sog_p == pytest.approx(1.91) for r in rows)
+    assert A.speeds_above_type_percentile(speeds, DAY, DAY, vessel_types=["Fishing"]).isEmpty()
+
+
+def test_weekdays(messages):
+    table = curate(
+        messages(
+            {"BaseDateTime": "2024-01-07T00:00:00", "SOG": 2.0, "Status": "5"},
+            {"BaseDateTime": "2024-01-01T00:00:00", "SOG": 1.0, "Status": "5"},
+            {"BaseDateTime": "2024-01-08T00:00:00", "SOG": 3.0, "Status": "1"},
+            {"BaseDateTime": "2024-01-08T00:00:01", "SOG": None, "Status": "9"},
+            {"BaseDateTime": "bad", "SOG": 7.0},
+        )
+    )
+    rows = A.speed_by_weekday(table).collect()
+    assert [(r.dow, r.avg_sog, r.n) for r in rows] == [(None, 7.0, 1), ("Monday", 2.0, 3), ("Sunday", 2.0, 1)]
+    assert rows[1].sd_sog == pytest.approx(2**0.5) and rows[2].sd_sog is None
+    top = A.top_status_by_weekday(table).collect()
+    assert [(r.dow, r.most_common_status, r["count"]) for r in top] == [
+        (None, "Under way using engine", 1), ("Monday", "At anchor", 1), ("Sunday", "Moored", 1),
+    ]
+
+
+def test_distinct_values(messages):
+    table = curate(messages({"MMSI": 3}, {"MMSI": 1}, {"MMSI": 3, "BaseDateTime": at(7)}))
+    assert [r.MMSI for r in distinct_values(table, "MMSI").collect()] == ["000000001", "000000003"]
+
+
+def test_erf(spark):
+    import math
+
+    df = spark.range(0, 50).select((F.col("id") / 10.0).alias("x")).select("x", stats.erf("x").alias("y"))
+    assert all(abs(r.y - math.erf(r.x)) < 2e-7 for r in df.collect())
+
+
+def test_scans_read_only_what_is_needed(spark, messages, tmp_path, capsys):
+    path = str(tmp_path / "c")
+    curate(messages({})).write.partitionBy("ym").parquet(path)
+    plan = plan_of(A.status_summary(spark.read.parquet(path), DAY, DAY))
+    assert "ReadSchema: struct<MMSI:string,BaseDateTime:timestamp,SOG:double,Draft:double,NavStatusName:string>" in plan
+    A.moving_while_stationary(spark.read.parquet(path), DAY, DAY).explain("formatted")
+    top = capsys.readouterr().out
+    assert "TakeOrderedAndProject" in top and "GreaterThan(SOG,1.0)" in top

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vesselflow.functions import cleaning as rule
@@ -26,12 +29,12 @@ from vesselflow.registry.reference_sql import (
 KEY = "MMSI BaseDateTime"
 
 
-def _each(shape: str, sql: str, *views: str, **columns) -> Query:
+def _each(shape: str, sql: str, **columns: Callable[[], Column]) -> Query:
     """The raw key columns and the result of one rule per raw message."""
     return Query(
-        lambda c: c.raw.select("MMSI", "BaseDateTime", *[v.alias(k) for k, v in columns.items()]),
+        lambda c: c.raw.select("MMSI", "BaseDateTime", *[v().alias(k) for k, v in columns.items()]),
         f"{KEY} {shape}",
-        over_raw(f"SELECT MMSI, BaseDateTime, {sql} FROM raw", *views),
+        over_raw(f"SELECT MMSI, BaseDateTime, {sql} FROM raw"),
     )
 
 
@@ -39,19 +42,19 @@ QUERIES = {
     "cur01_mmsi": _each(
         "mmsi9",
         r"lpad(regexp_extract(CAST(MMSI AS VARCHAR), '(\d{1,9})$', 1), 9, '0') AS mmsi9",
-        mmsi9=rule.mmsi("MMSI"),
+        mmsi9=lambda: rule.mmsi("MMSI"),
     ),
     "cur02_message_time": _each(
         "t:ts",
         "try_strptime(BaseDateTime, '%Y-%m-%dT%H:%M:%S') AS ts",
-        ts=rule.message_time("BaseDateTime"),
+        ts=lambda: rule.message_time("BaseDateTime"),
     ),
     "cur03_numbers": _each(
         "f:lat f:lon f:sog f:cog f:head f:len f:wid f:dra f:type_number",
         """LAT AS lat, LON AS lon, SOG AS sog, COG AS cog, Heading AS head, Length AS len,
            Width AS wid, Draft AS dra, try_cast(VesselType AS DOUBLE) AS type_number""",
         **{
-            name: rule.number(F.col(column).cast("string"))
+            name: lambda column=column: rule.number(F.col(column).cast("string"))
             for name, column in {
                 "lat": "LAT", "lon": "LON", "sog": "SOG", "cog": "COG", "head": "Heading",
                 "len": "Length", "wid": "Width", "dra": "Draft", "type_number": "VesselType",
@@ -63,23 +66,23 @@ QUERIES = {
         """trim(VesselName) AS name, trim(IMO) AS imo, trim(CallSign) AS call_sign,
            trim(VesselType) AS vessel_type, trim(Cargo) AS cargo,
            upper(trim(TransceiverClass)) AS transceiver""",
-        name=rule.text("VesselName"),
-        imo=rule.text("IMO"),
-        call_sign=rule.text("CallSign"),
-        vessel_type=rule.text("VesselType"),
-        cargo=rule.text("Cargo"),
-        transceiver=rule.transceiver_class("TransceiverClass"),
+        name=lambda: rule.text("VesselName"),
+        imo=lambda: rule.text("IMO"),
+        call_sign=lambda: rule.text("CallSign"),
+        vessel_type=lambda: rule.text("VesselType"),
+        cargo=lambda: rule.text("Cargo"),
+        transceiver=lambda: rule.transceiver_class("TransceiverClass"),
     ),
     "cur05_latitude": _each(
         "f:lat",
         "CASE WHEN LAT >= -90 AND LAT <= 90 THEN round(LAT, 5) END AS lat",
-        lat=rule.latitude("LAT"),
+        lat=lambda: rule.latitude("LAT"),
     ),
     "cur06_longitude": _each(
         "f:lon",
         """round(CASE WHEN LON > 180 THEN LON - 360 WHEN LON < -180 THEN LON + 360
            ELSE LON END, 5) AS lon""",
-        lon=rule.longitude("LON"),
+        lon=lambda: rule.longitude("LON"),
     ),
     "cur07_has_position": Query(
         lambda c: clean(c.raw).select("MMSI", "BaseDateTime", "LAT", "LON"),
@@ -87,34 +90,34 @@ QUERIES = {
         over_cleaned("SELECT MMSI, BaseDateTime, LAT, LON FROM positioned"),
     ),
     "cur08_known_heading": _each(
-        "f:head", "nullif(Heading, 511) AS head", head=rule.known_heading("Heading")
+        "f:head", "nullif(Heading, 511) AS head", head=lambda: rule.known_heading("Heading")
     ),
     "cur09_within_turn": _each(
         "f:head f:cog f:negative",
         "nullif(Heading, 511) % 360 AS head, COG % 360 AS cog, (0 - COG) % 360 AS negative",
-        head=rule.heading("Heading"),
-        cog=rule.within_turn("COG"),
-        negative=rule.within_turn(0 - F.col("COG")),
+        head=lambda: rule.heading("Heading"),
+        cog=lambda: rule.within_turn("COG"),
+        negative=lambda: rule.within_turn(0 - F.col("COG")),
     ),
     "cur10_speed": _each(
-        "f:sog", "CASE WHEN SOG >= 0 AND SOG <= 70 THEN SOG END AS sog", sog=rule.speed("SOG")
+        "f:sog", "CASE WHEN SOG >= 0 AND SOG <= 70 THEN SOG END AS sog", sog=lambda: rule.speed("SOG")
     ),
     "cur11_imo": _each(
         "imo",
         "CASE WHEN trim(IMO) NOT IN ('IMO0000000', '0', '') THEN trim(IMO) END AS imo",
-        imo=rule.imo(rule.text("IMO")),
+        imo=lambda: rule.imo(rule.text("IMO")),
     ),
     "cur12_dimensions": _each(
         "f:len f:wid f:dra",
         """CASE WHEN Length BETWEEN 1 AND 450 THEN Length END AS len,
            CASE WHEN Width BETWEEN 1 AND 70 THEN Width END AS wid,
            CASE WHEN Draft BETWEEN 0 AND 25 THEN Draft END AS dra""",
-        len=rule.length("Length"),
-        wid=rule.width("Width"),
-        dra=rule.draft("Draft"),
+        len=lambda: rule.length("Length"),
+        wid=lambda: rule.width("Width"),
+        dra=lambda: rule.draft("Draft"),
     ),
     "cur13_vessel_type_int": _each(
-        "code", f"{TYPE_CODE} AS code", code=rule.vessel_type_int("VesselType")
+        "code", f"{TYPE_CODE} AS code", code=lambda: rule.vessel_type_int("VesselType")
     ),
     "cur14_vessel_type_name": Query(
         lambda c: c.raw.select(
@@ -132,7 +135,7 @@ QUERIES = {
     "cur15_vessel_type_class": _each(
         "class",
         TYPE_CLASS.format(c=f"({TYPE_CODE})") + " AS class",
-        **{"class": rule.vessel_type_class(rule.vessel_type_int("VesselType"))},
+        **{"class": lambda: rule.vessel_type_class(rule.vessel_type_int("VesselType"))},
     ),
     "cur16_nav_status": Query(
         lambda c: with_status_name(c.raw).select("MMSI", "BaseDateTime", "NavStatusInt"),
@@ -152,8 +155,8 @@ QUERIES = {
     "cur18_plain_names": _each(
         "name call_sign",
         f"{NAME.format(c='VesselName')} AS name, {NAME.format(c='CallSign')} AS call_sign",
-        name=rule.plain_name("VesselName"),
-        call_sign=rule.plain_name("CallSign"),
+        name=lambda: rule.plain_name("VesselName"),
+        call_sign=lambda: rule.plain_name("CallSign"),
     ),
     "cur19_time_fields": Query(
         lambda c: c.raw.select(
@@ -170,7 +173,7 @@ QUERIES = {
                FROM (SELECT *, CAST(replace(BaseDateTime, 'T', ' ') AS TIMESTAMP) AS ts FROM raw)"""
         ),
     ),
-    "cur20_speed_ms": _each("f:sog_ms", "SOG * 0.514444 AS sog_ms", sog_ms=rule.speed_ms("SOG")),
+    "cur20_speed_ms": _each("f:sog_ms", "SOG * 0.514444 AS sog_ms", sog_ms=lambda: rule.speed_ms("SOG")),
     "cur21_deduplicate": Query(
         lambda c: deduplicate(clean(c.raw)),
         "MMSI t:BaseDateTime f:LAT f:LON f:SOG f:COG f:Heading VesselName IMO CallSign VesselType "

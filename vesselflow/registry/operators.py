@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,17 @@ from vesselflow.registry.sources import QUERIES as SOURCE_QUERIES
 KEY = "MMSI t:BaseDateTime"
 
 
-def _filtered(predicate: Column, condition: str) -> Query:
+def _filtered(predicate: Callable[[], Column], condition: str) -> Query:
     return Query(
-        lambda c: c.curated.where(predicate).select("MMSI", "BaseDateTime"),
+        lambda c: c.curated.where(predicate()).select("MMSI", "BaseDateTime"),
         KEY,
         over_curated(f"SELECT MMSI, BaseDateTime FROM curated WHERE {condition}"),
     )
 
 
-def _by_type(shape: str, sql: str, *aggregates: Column) -> Query:
+def _by_type(shape: str, sql: str, *aggregates: Callable[[], Column]) -> Query:
     return Query(
-        lambda c: c.curated.groupBy("VesselTypeName").agg(*aggregates),
+        lambda c: c.curated.groupBy("VesselTypeName").agg(*[a() for a in aggregates]),
         f"VesselTypeName {shape}",
         over_curated(f"SELECT VesselTypeName, {sql} FROM curated GROUP BY 1"),
     )
@@ -73,34 +75,34 @@ LAG_SQL = over_curated(
 
 FILTERS = {
     "flt01_date_between": _filtered(
-        P.date_between("2024-01-10", "2024-01-20"),
+        lambda: P.date_between("2024-01-10", "2024-01-20"),
         "CAST(BaseDateTime AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'",
     ),
     "flt02_in_list": _filtered(
-        P.in_list(["Sailing", "Tanker, Hazardous category A", None]),
+        lambda: P.in_list(["Sailing", "Tanker, Hazardous category A", None]),
         "VesselTypeName IN ('Sailing', 'Tanker, Hazardous category A', 'None')",
     ),
     "flt03_mmsi_in": _filtered(
-        P.mmsi_in([366000003, "366000007"]), "MMSI IN ('366000003', '366000007')"
+        lambda: P.mmsi_in([366000003, "366000007"]), "MMSI IN ('366000003', '366000007')"
     ),
     "flt04_in_bbox": _filtered(
-        P.in_bbox(30, 45, -110, -80), "LAT BETWEEN 30 AND 45 AND LON BETWEEN -110 AND -80"
+        lambda: P.in_bbox(30, 45, -110, -80), "LAT BETWEEN 30 AND 45 AND LON BETWEEN -110 AND -80"
     ),
     "flt05_class_and_status": _filtered(
-        P.class_in(["Cargo", "Tanker"]) & P.status_in(["Moored", "Aground"]),
+        lambda: P.class_in(["Cargo", "Tanker"]) & P.status_in(["Moored", "Aground"]),
         "VesselTypeClass IN ('Cargo', 'Tanker') AND NavStatusName IN ('Moored', 'Aground')",
     ),
     "flt06_optional": _filtered(
-        P.date_between(None, "2024-01-15") & P.in_list([]) & P.in_bbox(lat_min=35.5),
+        lambda: P.date_between(None, "2024-01-15") & P.in_list([]) & P.in_bbox(lat_min=35.5),
         "CAST(BaseDateTime AS DATE) <= DATE '2024-01-15' AND LAT >= 35.5",
     ),
     "flt07_half_open_days": _filtered(
-        P.date_between("2024-01-03", "2024-01-04"),
+        lambda: P.date_between("2024-01-03", "2024-01-04"),
         """BaseDateTime >= TIMESTAMP '2024-01-03 00:00:00'
            AND BaseDateTime < TIMESTAMP '2024-01-05 00:00:00'""",
     ),
     "flt08_all_present": _filtered(
-        P.all_present("Draft", "COG", "Heading", "Length"),
+        lambda: P.all_present("Draft", "COG", "Heading", "Length"),
         "Draft IS NOT NULL AND COG IS NOT NULL AND Heading IS NOT NULL AND Length IS NOT NULL",
     ),
     "flt09_group_filter": Query(
@@ -198,29 +200,29 @@ JOINS = {
 }
 
 AGGREGATES = {
-    "ag01_count": _by_type("n", "count(*) AS n", F.count("*").alias("n")),
+    "ag01_count": _by_type("n", "count(*) AS n", lambda: F.count("*").alias("n")),
     "ag02_count_distinct": _by_type(
-        "vessels", "count(DISTINCT MMSI) AS vessels", F.count_distinct("MMSI").alias("vessels")
+        "vessels", "count(DISTINCT MMSI) AS vessels", lambda: F.count_distinct("MMSI").alias("vessels")
     ),
     "ag03_avg": _by_type(
         "f:sog f:draft",
         "avg(SOG) AS sog, avg(Draft) AS draft",
-        F.avg("SOG").alias("sog"),
-        F.avg("Draft").alias("draft"),
+        lambda: F.avg("SOG").alias("sog"),
+        lambda: F.avg("Draft").alias("draft"),
     ),
-    "ag04_stddev": _by_type("f:sd", "stddev_samp(SOG) AS sd", F.stddev_samp("SOG").alias("sd")),
+    "ag04_stddev": _by_type("f:sd", "stddev_samp(SOG) AS sd", lambda: F.stddev_samp("SOG").alias("sd")),
     "ag05_corr": _by_type(
         "f:corr",
         """CASE WHEN stddev_pop(SOG) FILTER (Length IS NOT NULL) > 0
              AND stddev_pop(Length) FILTER (SOG IS NOT NULL) > 0
            THEN covar_pop(SOG, Length) / (stddev_pop(SOG) FILTER (Length IS NOT NULL)
              * stddev_pop(Length) FILTER (SOG IS NOT NULL)) END AS corr""",
-        stats.correlation("SOG", "Length").alias("corr"),
+        lambda: stats.correlation("SOG", "Length").alias("corr"),
     ),
     "ag06_covar_pop": _by_type(
-        "f:cov", "covar_pop(Length, Width) AS cov", F.covar_pop("Length", "Width").alias("cov")
+        "f:cov", "covar_pop(Length, Width) AS cov", lambda: F.covar_pop("Length", "Width").alias("cov")
     ),
-    "ag07_max": _by_type("f:top", "max(SOG) AS top", F.max("SOG").alias("top")),
+    "ag07_max": _by_type("f:top", "max(SOG) AS top", lambda: F.max("SOG").alias("top")),
     "ag08_percentile_100": Query(
         lambda c: c.curated.groupBy("MMSI").agg(
             *[stats.percentile("SOG", p / 100).alias(f"p{p}") for p in (0, 25, 50, 90, 100)]
@@ -235,8 +237,8 @@ AGGREGATES = {
     "ag09_percentile_101": _by_type(
         "f:p25 f:p90",
         "quantile_disc(SOG, 25 / 101) AS p25, quantile_disc(SOG, 90 / 101) AS p90",
-        stats.percentile("SOG", 25 / 101).alias("p25"),
-        stats.percentile("SOG", 90 / 101).alias("p90"),
+        lambda: stats.percentile("SOG", 25 / 101).alias("p25"),
+        lambda: stats.percentile("SOG", 90 / 101).alias("p90"),
     ),
     "ag10_any_value": Query(
         lambda c: c.curated.groupBy("MMSI").agg(F.max("VesselName").alias("name")),
