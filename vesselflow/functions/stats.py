@@ -50,9 +50,5 @@ def minutes_between(later: ColumnLike, earlier: ColumnLike) -> Column:
 
 
 def percentile(column: ColumnLike, share: float, accuracy: int = 10_000) -> Column:
-    """AG8, AG9: percentile by a mergeable summary; rank error at most n/accuracy.
-
-    The summary has a bounded size, so a group of any size combines on the map
-    side. A group of fewer than ``accuracy`` rows is exact.
-    """
+    """Approximate percentile (aggregate) by a mergeable summary of bounded size."""
     return F.percentile_approx(_c(column), F.lit(float(share)), F.lit(accuracy))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from vesselflow import schema as S
 from vesselflow.functions import predicates as P
 from vesselflow.functions import stats
+from vesselflow.operators.percentiles import percentiles
 from vesselflow.operators.ranking import most_frequent, top
 from vesselflow.operators.tracks import with_previous
 
@@ -329,20 +330,16 @@ def unusual_speeds(
     vessel_types: Iterable | None = None,
     percentile: int = 95,
     limit: int = DEFAULT_LIMIT,
-    accuracy: int = 10_000,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """AN14: vessels whose top speed exceeds their own percentile, by the excess."""
-    per_vessel = (
-        P.within_days(messages, start, end)
-        .where(P.in_list(vessel_types) & P.all_present("SOG"))
-        .groupBy("MMSI", "VesselTypeName")
-        .agg(
-            F.max("SOG").alias("sog_max"),
-            stats.percentile("SOG", percentile / 100, accuracy).alias("sog_p"),
-        )
-        .where(F.col("sog_max") > F.col("sog_p"))
+    kept = P.within_days(messages, start, end).where(P.in_list(vessel_types))
+    per_vessel = percentiles(
+        kept, ["MMSI", "VesselTypeName"], "SOG", {"sog_p": percentile}, 100, "sog_max", accuracy
+    )
+    result = per_vessel.where(F.col("sog_max") > F.col("sog_p")).withColumn(
+        "exceso", F.col("sog_max") - F.col("sog_p")
     )
-    result = per_vessel.withColumn("exceso", F.col("sog_max") - F.col("sog_p"))
     return top(result, F.desc("exceso"), ["MMSI", "VesselTypeName"], limit)
 
 
@@ -353,7 +350,7 @@ def speeds_above_type_percentile(
     vessel_types: Iterable | None = None,
     p: int = 95,
     limit: int = DEFAULT_LIMIT,
-    accuracy: int = 10_000,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """AN15: vessels faster than the percentile ``p``/101 of their type.
 
@@ -365,12 +362,10 @@ def speeds_above_type_percentile(
     messages are reduced to one row per vessel before the join, and the percentile
     table meets vessels, not messages.
     """
-    of_type = (
-        P.within_days(messages, start, end)
-        .where(P.in_list(vessel_types) & P.all_present("SOG", "VesselTypeName"))
-        .groupBy("VesselTypeName")
-        .agg(stats.percentile("SOG", p / 101, accuracy).alias("sog_p"))
+    kept = P.within_days(messages, start, end).where(
+        P.in_list(vessel_types) & P.all_present("VesselTypeName")
     )
+    of_type = percentiles(kept, ["VesselTypeName"], "SOG", {"sog_p": p}, 101, accuracy=accuracy)
     # First by name too: that step aggregates numbers only and so uses hashing.
     fastest = (
         messages.where(P.in_list(vessel_types) & P.all_present("SOG", "VesselTypeName"))

@@ -11,6 +11,7 @@ from vesselflow.functions import cleaning as rule
 from vesselflow.functions import predicates as P
 from vesselflow.functions import stats
 from vesselflow.operators.lookups import with_status_name
+from vesselflow.operators.percentiles import percentiles
 from vesselflow.operators.quality import reconcile_counts
 from vesselflow.operators.ranking import most_frequent, top
 from vesselflow.operators.series import time_series
@@ -224,8 +225,8 @@ AGGREGATES = {
     ),
     "ag07_max": _by_type("f:top", "max(SOG) AS top", lambda: F.max("SOG").alias("top")),
     "ag08_percentile_100": Query(
-        lambda c: c.curated.groupBy("MMSI").agg(
-            *[stats.percentile("SOG", p / 100).alias(f"p{p}") for p in (0, 25, 50, 90, 100)]
+        lambda c: percentiles(
+            c.curated, ["MMSI"], "SOG", {f"p{p}": p for p in (0, 25, 50, 90, 100)}
         ),
         "MMSI f:p0 f:p25 f:p50 f:p90 f:p100",
         over_curated(
@@ -234,11 +235,13 @@ AGGREGATES = {
             + " FROM curated GROUP BY 1"
         ),
     ),
-    "ag09_percentile_101": _by_type(
-        "f:p25 f:p90",
-        "quantile_disc(SOG, 25 / 101) AS p25, quantile_disc(SOG, 90 / 101) AS p90",
-        lambda: stats.percentile("SOG", 25 / 101).alias("p25"),
-        lambda: stats.percentile("SOG", 90 / 101).alias("p90"),
+    "ag09_percentile_101": Query(
+        lambda c: percentiles(c.curated, ["VesselTypeName"], "SOG", {"p25": 25, "p90": 90}, 101),
+        "VesselTypeName f:p25 f:p90",
+        over_curated(
+            """SELECT VesselTypeName, quantile_disc(SOG, 25 / 101) AS p25,
+               quantile_disc(SOG, 90 / 101) AS p90 FROM curated GROUP BY 1"""
+        ),
     ),
     "ag10_any_value": Query(
         lambda c: c.curated.groupBy("MMSI").agg(F.max("VesselName").alias("name")),
