@@ -64,3 +64,15 @@ def evaluate(spark):
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def largest_method(spark, df) -> int:
+    """Bytecode size of the largest generated method of a plan."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    debug = spark._jvm.org.apache.spark.sql.execution.debug
+    stages = getattr(getattr(debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))

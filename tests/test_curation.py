@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tests.conftest import plan_of
+from tests.conftest import largest_method, plan_of
 from vesselflow.operators.curation import clean, curate, deduplicate
 from vesselflow.schema import CURATED_COLUMNS
 
@@ -73,3 +73,10 @@ def test_plan_has_one_shuffle_and_no_python(messages):
 def test_keys_can_be_chosen(messages):
     rows = clean(messages({"SOG": 1.0}, {"SOG": 2.0, "BaseDateTime": "2024-01-06T00:00:00"}))
     assert deduplicate(rows, ["MMSI"], ["BaseDateTime"]).count() == 1
+
+
+def test_generated_code_is_small_enough_for_the_jit(spark, messages, tmp_path):
+    """HotSpot leaves methods above 8,000 bytes to the interpreter."""
+    path = str(tmp_path / "raw")
+    messages({}).write.parquet(path)
+    assert 1000 < largest_method(spark, curate(spark.read.parquet(path))) < 8000

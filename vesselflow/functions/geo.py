@@ -39,8 +39,8 @@ _BY_PARTS = "".join(GEOHASH_ALPHABET[_weave(a, b)] for a in range(8) for b in ra
 def _cell(value: Column, low: float, span: float, bits: int) -> Column:
     """Number of the cell on one axis; the upper end belongs to the last cell."""
     cells = 1 << bits
-    number = F.floor((value - low) / span * float(cells)).cast("bigint")
-    return F.least(F.greatest(number, F.lit(0).cast("bigint")), F.lit(cells - 1).cast("bigint"))
+    number = F.floor((value - low) / span * float(cells))
+    return F.least(F.greatest(number, F.lit(0)), F.lit(cells - 1)).cast("int")
 
 
 def geohash_encode(
@@ -61,10 +61,12 @@ def geohash_encode(
         lon_bits = F.shiftright(lon_cell, lon_left).bitwiseAND(7 if lon_first else 3)
         lat_bits = F.shiftright(lat_cell, lat_left).bitwiseAND(3 if lon_first else 7)
         three, two = (lon_bits, lat_bits) if lon_first else (lat_bits, lon_bits)
-        place = (three * 4 + two + 1).cast("int")
+        place = F.shiftleft(three, 2).bitwiseOR(two) + 1
         characters.append(F.substring(F.lit(_BY_PARTS), place, F.lit(1)))
-    # concat is NULL when a part is; greatest/least skip NULL, hence the guard.
-    return F.when(latitude.isNotNull() & longitude.isNotNull(), F.concat(*characters))
+    # NULL for a missing coordinate comes from the last part. A condition around the
+    # whole would keep Spark from computing the two cell numbers once only.
+    guard = F.when(latitude.isNotNull() & longitude.isNotNull(), F.lit(""))
+    return F.concat(*characters, guard)
 
 
 def geohash_centre(geohash: ColumnLike) -> tuple[Column, Column]:
