@@ -102,11 +102,12 @@ def _sql_column(entry: str) -> str:
 
 
 def all_queries() -> dict[str, Query]:
-    from vesselflow.registry import analyses, cleaning, operators, sources
+    from vesselflow.registry import analyses, cleaning, functions, operators, sources
 
     return {
         **sources.QUERIES,
         **cleaning.QUERIES,
+        **functions.QUERIES,
         **operators.QUERIES,
         **analyses.QUERIES,
     }
