@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vesselflow.schema import RAW_COLUMNS
 from vesselflow.sources.archives import (
     archive_members,
+    expand_members,
     list_archives,
     member_counts,
     read_zip_lines,
@@ -85,6 +86,15 @@ def test_long_members_come_in_several_batches(spark, archives):
     assert parse_message_lines(lines, {"header": False}).count() == 20001
 
 
+def test_lines_of_large_members_are_spread(spark, archives):
+    members = archive_members(list_archives(spark, archives, "^AIS_2024"))
+    members = members.where("lower(member) like '%.csv'")
+    lines = expand_members(members, large_member=1000)
+    whole = expand_members(members)
+    assert lines.exceptAll(whole).isEmpty() and whole.exceptAll(lines).isEmpty()
+    assert expand_members(members, large_member=0).count() == whole.count()
+
+
 def test_archives_without_csv(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("a.txt", "x")

@@ -46,13 +46,6 @@ def _how_many(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def _as_rows(metrics: DataFrame, stage: str) -> DataFrame:
-    """One wide row of counts as (stage, metric, value) rows."""
-    return metrics.unpivot([], metrics.columns, "metric", "value").select(
-        F.lit(stage).alias("stage"), "metric", F.col("value").cast("double").alias("value")
-    )
-
-
 def quality_report(raw: DataFrame, curated: DataFrame) -> DataFrame:
     """VAL2: ``stage, metric, value`` about the raw and the curated table.
 
@@ -72,6 +65,7 @@ def quality_report(raw: DataFrame, curated: DataFrame) -> DataFrame:
         _how_many(rule.message_time("BaseDateTime").isNull()).alias("unparseable_time"),
         _how_many(kept).alias("with_position"),
     )
+
     def bad(column: str, low: float, high: float) -> Column:
         return F.sum(F.when(~F.col(column).between(low, high), 1).otherwise(0)).alias(f"bad_{column}")
 
@@ -88,17 +82,20 @@ def quality_report(raw: DataFrame, curated: DataFrame) -> DataFrame:
             for column, _, _ in ranges
         ],
     )
-    by_stage = _as_rows(raw_metrics, "raw").union(_as_rows(curated_metrics, "curated"))
-    removed = (
-        by_stage.agg(
-            F.sum(F.when((F.col("stage") == "raw") & (F.col("metric") == "with_position"), F.col("value")))
-            .alias("kept"),
-            F.sum(F.when((F.col("stage") == "curated") & (F.col("metric") == "rows"), F.col("value")))
-            .alias("rows"),
-        ).select(
-            F.lit("curated").alias("stage"),
-            F.lit("duplicates_removed").alias("metric"),
-            (F.col("kept") - F.col("rows")).alias("value"),
-        )
+    # One wide row of both stages, then one row per metric: each side is read once.
+    wide = _staged(raw_metrics, "raw").unionByName(
+        _staged(curated_metrics, "curated"), allowMissingColumns=True
     )
-    return by_stage.union(removed)
+    merged = wide.agg(*[F.max(f"`{c}`").alias(c) for c in wide.columns]).withColumn(
+        "curated:duplicates_removed", F.col("raw:with_position") - F.col("curated:rows")
+    )
+    return merged.unpivot([], merged.columns, "name", "value").select(
+        F.split_part("name", F.lit(":"), F.lit(1)).alias("stage"),
+        F.split_part("name", F.lit(":"), F.lit(2)).alias("metric"),
+        "value",
+    )
+
+
+def _staged(metrics: DataFrame, stage: str) -> DataFrame:
+    """Counts as doubles, named after their stage."""
+    return metrics.select([F.col(c).cast("double").alias(f"{stage}:{c}") for c in metrics.columns])

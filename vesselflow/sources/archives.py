@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Members above this size have their lines dealt out again after reading.
+LARGE_MEMBER = 1 << 30
+LINES_PER_BLOCK = 8192
+BYTES_PER_TASK = 128 << 20
+
 MEMBER_SCHEMA = "source string, place int, member string, size bigint"
 LINE_SCHEMA = "source string, member string, line_no bigint, line string"
 
@@ -113,24 +118,43 @@ def member_counts(archives: DataFrame) -> DataFrame:
     return archive_members(archives).groupBy("source").agg(F.count("*").alias("members"))
 
 
-def expand_members(members: DataFrame, tasks: int | None = None) -> DataFrame:
+def _read(members: DataFrame, tasks: int) -> DataFrame:
+    _, read_lines = _member_reader()
+    return members.repartition(max(1, tasks)).mapInArrow(read_lines, LINE_SCHEMA)
+
+
+def expand_members(
+    members: DataFrame, tasks: int | None = None, large_member: int = LARGE_MEMBER
+) -> DataFrame:
     """Lines of the members, each numbered from 0 within its member.
 
     The member list (a few bytes per file) is dealt out evenly over ``tasks``
-    partitions, by default one per member up to 10,000.
+    partitions, by default one per member up to 10,000. A member can only be
+    unpacked from start to end, hence by one task; the lines of members above
+    ``large_member`` bytes are then spread in blocks, so that parsing and writing
+    them is shared. The lines of all others are not shuffled.
     """
-    if tasks is None:
-        tasks = max(1, min(members.count(), 10_000))
-    _, read_lines = _member_reader()
-    return members.repartition(tasks).mapInArrow(read_lines, LINE_SCHEMA)
+    is_large = F.col("size") > large_member
+    sizes = members.agg(
+        F.count_if(~is_large).alias("small"),
+        F.count_if(is_large).alias("large"),
+        F.sum(F.when(is_large, F.col("size"))).alias("large_bytes"),
+    ).first()
+    if not sizes.small + sizes.large:
+        raise FileNotFoundError("the archives hold no CSV file")
+    small = _read(members.where(~is_large), tasks or min(sizes.small, 10_000))
+    if not sizes.large:
+        return small
+    blocks = F.floor(F.col("line_no") / LINES_PER_BLOCK)
+    spread = _read(members.where(is_large), tasks or min(sizes.large, 10_000)).repartition(
+        -(-sizes.large_bytes // BYTES_PER_TASK), "source", "member", blocks
+    )
+    return small.unionByName(spread) if sizes.small else spread
 
 
 def read_zip_lines(
     spark: SparkSession, root: str, name_regex: str = r"\.zip$", tasks: int | None = None
 ) -> DataFrame:
-    """SRC1: lines of the CSV members of all matching archives."""
+    """SRC1: lines of the CSV members of all matching archives; error if there are none."""
     members = archive_members(list_archives(spark, root, name_regex))
-    csv_members = members.where(F.lower("member").endswith(".csv"))
-    if csv_members.isEmpty():
-        raise FileNotFoundError(f"no CSV file in the archives below {root}")
-    return expand_members(csv_members, tasks)
+    return expand_members(members.where(F.lower("member").endswith(".csv")), tasks)
