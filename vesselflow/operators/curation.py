@@ -11,9 +11,7 @@ from pyspark.sql.types import IntegralType
 from vesselflow.functions import cleaning as rule
 from vesselflow.functions.geo import geohash_encode
 from vesselflow.operators.lookups import with_status_name
-from vesselflow.schema import CURATED_COLUMNS, INGEST_COLUMNS, RAW_COLUMNS
-
-MESSAGE_KEY = ["MMSI", "BaseDateTime"]
+from vesselflow.schema import CURATED_COLUMNS, INGEST_COLUMNS, MESSAGE_KEY, RAW_COLUMNS
 
 
 def clean(messages: DataFrame) -> DataFrame:

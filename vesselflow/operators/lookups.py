@@ -12,7 +12,7 @@ from vesselflow.schema import NAV_STATUS_NAMES
 def status_catalogue(spark: SparkSession) -> DataFrame:
     """Navigation-status code list as a table of eleven rows."""
     entries = [F.lit(part) for code, name in NAV_STATUS_NAMES.items() for part in (code, name)]
-    return spark.range(1).select(
+    return spark.range(0, 1, 1, 1).select(
         F.explode(F.create_map(*entries)).alias("NavStatusInt", "NavStatusName")
     )
 

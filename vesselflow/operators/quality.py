@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vesselflow import schema as S
 from vesselflow.functions import cleaning as rule
-from vesselflow.operators.curation import MESSAGE_KEY
 
 
 class CountMismatch(RuntimeError):
@@ -70,7 +69,7 @@ def quality_report(raw: DataFrame, curated: DataFrame) -> DataFrame:
         return F.sum(F.when(~F.col(column).between(low, high), 1).otherwise(0)).alias(f"bad_{column}")
 
     ranges = [("SOG", *S.SOG_RANGE), ("LAT", *S.LAT_RANGE), ("LON", -180, 180), ("hour", 0, 23)]
-    per_key = curated.groupBy(*MESSAGE_KEY).agg(
+    per_key = curated.groupBy(*S.MESSAGE_KEY).agg(
         F.count("*").alias("n"), *[bad(*bounds) for bounds in ranges]
     )
     curated_metrics = per_key.agg(

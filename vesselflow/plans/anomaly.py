@@ -105,20 +105,29 @@ def load_model(spark: SparkSession, base: str, metric: str, id_col: str, freq: s
     return spark.read.parquet(f"{base.rstrip('/')}/{model_name(metric, id_col, freq)}")
 
 
+# A NULL id is a series of its own. With these two columns it joins by plain
+# equality, and the window after the join needs no further shuffle.
+SERIES_KEY = ["_key", "_without_id"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    series_id = F.col("series_id")
+    return rows.withColumns(
+        {"_key": F.coalesce(series_id.cast("string"), F.lit("")), "_without_id": series_id.isNull()}
+    )
+
+
 def score(series: DataFrame, model: DataFrame, freq: str, threshold: float = 0.95) -> DataFrame:
     """JN6: series points against their model; NULL where there is nothing to say.
 
     The residual before the first point is the last one of the training range if
     that ended earlier, else 0.
     """
-    known = model.select(
-        F.col("series_id").alias("_id"),
-        "slot_means", "series_mean", "phi", "sigma", "last_residual", "last_ts", "horizon",
-    )
-    looked_up = series.join(known, F.col("series_id").eqNullSafe(F.col("_id")), "left").withColumn(
+    known = _keyed(model).drop("series_id", "n")
+    looked_up = _keyed(series).join(known, SERIES_KEY, "left").withColumn(
         "mean", F.coalesce(F.col("slot_means")[slot(freq)], F.col("series_mean"))
     )
-    in_time = Window.partitionBy("series_id").orderBy("ts_col")
+    in_time = Window.partitionBy(*SERIES_KEY).orderBy("ts_col")
     carried_over = F.when(F.col("last_ts") < F.col("ts_col"), F.col("last_residual"))
     previous = F.coalesce(F.lag(F.col("value") - F.col("mean")).over(in_time), carried_over, F.lit(0.0))
     reach = F.timestamp_add(UNITS[freq.upper()], F.coalesce("horizon", F.lit(0)), F.col("last_ts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,11 @@ class MonthsOutcome:
 def _curate_month(spark: SparkSession, month: str, input_base: str, output_base: str, files: int | None) -> int:
     """Write one month and return the number of input rows that are not of it."""
     raw = read_months(spark, input_base, [month])
+    first_day = date.fromisoformat(f"{month}-01")
+    next_month = F.add_months(F.lit(first_day), 1).cast("timestamp")
+    time = cleaning.message_time("BaseDateTime")
     in_month = F.coalesce(
-        F.date_format(cleaning.message_time("BaseDateTime"), "yyyy-MM") == month, F.lit(False)
+        (time >= F.lit(first_day).cast("timestamp")) & (time < next_month), F.lit(False)
     )
     watch = Observation(f"month {month}")
     seen = raw.observe(watch, F.count_if(~in_month).alias("strays"))
