@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from vesselflow.operators.quality import quality_report, reconcile_counts  # noqa: E402
 from vesselflow.operators.series import time_series  # noqa: E402
@@ -34,6 +34,12 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def curate_months(spark: SparkSession, months: list[str], raw_base: str, curated_base: str) -> None:
+    outcome = run_months(spark, months, raw_base, curated_base)
+    if outcome.processed != months:
+        raise RuntimeError(str(outcome))
+
+
 def headline(c: Context, raw: DataFrame, cur: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     model = N.train_anomaly(cur, START, END, None, "count", "DAILY", "MMSI")
     days = cur.selectExpr("string(date) ymd")
@@ -90,7 +96,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - started, 3)
 
     timed("job1_ingest_archives", lambda: ingest_archives(spark, archives, raw_base))
-    timed("job1_run_months", lambda: run_months(spark, months, raw_base, curated_base))
+    timed("job1_run_months", lambda: curate_months(spark, months, raw_base, curated_base))
     raw, curated = read_months(spark, raw_base, months), read_months(spark, curated_base, months)
     for name, build in headline(context, raw, curated).items():
         timed(name, lambda build=build: run(build()))

@@ -19,6 +19,7 @@ from vesselflow.operators.curation import curate
 from vesselflow.registry import files
 from vesselflow.session import fresh_dir, use_utc
 from vesselflow.sources.messages import read_months, write_curated
+from vesselflow.sources.storage import path_exists
 
 DIGITS = 6
 # Keeps means with few decimals off the rounding borders, where the last bit of a
@@ -46,7 +47,7 @@ class Context:
     def curated(self) -> DataFrame:
         """The curated table, written once per session by month, as analyses read it."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _CURATED_TABLES:
+        if key not in _CURATED_TABLES or not path_exists(self.spark, _CURATED_TABLES[key]):
             path = fresh_dir(self.spark, "curated")
             write_curated(curate(self.raw), path)
             _CURATED_TABLES[key] = path
