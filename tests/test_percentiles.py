@@ -42,7 +42,22 @@ def test_approximate_is_near(spark):
         assert abs(rank - math.ceil(0.9 * len(values))) <= max(50, 2 + len(values) / 100)
 
 
-def test_only_distinct_values_are_gathered(spark):
+def test_cells_do_not_change_the_result(spark):
+    for width in (0.01, 7.0, 1000.0):
+        for row in percentiles(table(spark), ["g"], "v", {"p": 50}, cell_width=width).collect():
+            assert row.p == nth(GROUPS[row.g], 50, 100)
+
+
+def test_several_group_columns(spark):
+    rows = [(g, h, float(v)) for g in ("a", None) for h in (1, None) for v in range(10)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    found = {(r.g, r.h): r.p for r in percentiles(df, ["g", "h"], "v", {"p": 50}).collect()}
+    assert found == {("a", 1): 4.0, ("a", None): 4.0, (None, 1): 4.0, (None, None): 4.0}
+
+
+def test_no_task_holds_the_values_of_a_group(spark):
     plan = plan_of(percentiles(table(spark), ["g"], "v", {"p": 90}))
-    counted = plan.index("partial_count")
-    assert plan.count("Exchange hashpartitioning(g") == 2 and plan.index("Window") < counted
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    by_group = [line for line in shuffles if "_cell" not in line and ", v#" not in line]
+    # By group alone travel the cell counts and the partial results only.
+    assert len(by_group) == 2 and len(shuffles) > 2

@@ -18,6 +18,7 @@ def percentiles(
     parts: int = 100,
     largest: str | None = None,
     accuracy: int | None = None,
+    cell_width: float = 1.0,
 ) -> DataFrame:
     """Values at the shares ``p / parts`` of each group, and its ``largest`` one.
 
@@ -25,25 +26,47 @@ def percentiles(
     the largest, anything else the first value with at least that share of the
     non-NULL rows up to it.
 
-    Equal values are counted on the map side first, so what meets in one task is a
-    group's *distinct* values; speeds are sent in tenths of a knot, which makes a
-    thousand at most. For a column with unbounded distinct values an ``accuracy``
-    chooses a mergeable summary of bounded size instead, with a rank error of
-    about n/accuracy and a result that may differ from run to run.
+    No task sees a whole group. Equal values are counted on the map side; the
+    distinct values are ranked within cells of ``cell_width``; and the rows before
+    each cell come from a running sum over the group's cells, of which there are as
+    many as widths in its range (71 for speeds). An ``accuracy`` chooses Spark's
+    mergeable summary instead: one pass, a rank error of about n/accuracy, and a
+    result that may differ from run to run.
     """
     present = rows.where(F.col(value).isNotNull())
     top = [F.max(value).alias(largest)] if largest else []
     if accuracy is not None:
         approximate = [stats.percentile(value, p / parts, accuracy).alias(n) for n, p in wanted.items()]
         return present.groupBy(*group).agg(*top, *approximate)
+
+    # A NULL group is a group too; text and flag join by plain equality.
+    keys = {f"_key{i}": F.coalesce(F.col(g).cast("string"), F.lit("")) for i, g in enumerate(group)}
+    flags = {f"_null{i}": F.col(g).isNull() for i, g in enumerate(group)}
+    of_group = [*keys, *flags]
     counts = present.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*group)
-    up_to_here = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumns(
-        {"_rank": F.sum("_n").over(up_to_here), "_total": F.sum("_n").over(whole)}
+    in_cells = counts.withColumns({**keys, **flags, "_cell": F.floor(F.col(value) / cell_width)})
+
+    before = Window.partitionBy(*of_group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        in_cells.groupBy(*of_group, "_cell")
+        .agg(F.sum("_n").alias("_in_cell"))
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_in_cell").over(before), F.lit(0)),
+                "_total": F.sum("_in_cell").over(Window.partitionBy(*of_group)),
+            }
+        )
+        .drop("_in_cell")
+    )
+    within = (
+        Window.partitionBy(*of_group, "_cell")
+        .orderBy(value)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    ranked = in_cells.withColumn("_rank", F.sum("_n").over(within)).join(cells, [*of_group, "_cell"])
+    reached = (F.col("_before") + F.col("_rank")) * parts
     exact = [
-        F.min(F.when(F.col("_rank") * parts >= F.col("_total") * int(p), F.col(value))).alias(name)
+        F.min(F.when(reached >= F.col("_total") * int(p), F.col(value))).alias(name)
         for name, p in wanted.items()
     ]
     return ranked.groupBy(*group).agg(*top, *exact)
