@@ -7,13 +7,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from vesselflow.registry import all_queries
 
 SF_DIR = os.environ.get("VESSELFLOW_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+OWN = set(all_queries())
+QUERIES = {name: query for name, query in entry_points.queries().items() if name in OWN}
+ORACLES = {name: sql for name, sql in entry_points.oracle_sql().items() if name in OWN}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
 
