@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vesselflow.llm import license_templates, quality_rules, secret_formats, toxicity, url_rules
+from vesselflow.llm import license_templates, quality_rules, secret_formats, sentence_pieces, toxicity, url_rules
 
 QUERIES = {
     "op1_license_scans": license_templates.op1_license_scans,
     "op2_secret_scans": secret_formats.op2_secret_scans,
     "op3_url_filters": url_rules.op3_url_filters,
+    "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
