@@ -44,7 +44,8 @@ BITS = 1 << 23
 CHUNK = 1 << 22
 SEED = 20
 _WORD = re.compile(r"[^\W_]+")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = 0x9E3779B97F4A7C15
+_ODD = np.uint64(_FACTOR)
 
 
 def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, samples: int = SAMPLES) -> int:
@@ -115,7 +116,7 @@ def bit_of(values: np.ndarray) -> np.ndarray:
 
 def word_at_size(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of a word as one of an item of this size."""
-    return _scramble(words + np.uint64(size) * _ODD)
+    return _scramble(words + np.uint64(size * _FACTOR % 2**64))
 
 
 def index_items(items: DataFrame, similarity: float = SIMILARITY, repeats: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,20 +199,34 @@ def find_links(nodes: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOC
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE, distance: int = MAX_DISTANCE) -> DataFrame:
-    """All columns of ``docs`` but the text, with ``fp`` and ``component_id``.
+    """All columns of ``docs`` but the text, with ``fp``, ``component_id`` and ``root``.
 
     ``component_id`` is the smallest ``doc_id`` that links reach, the own one included.
     Null ids are left out of that minimum; a component of null ids only has a null one.
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows give
-    repeated rows. An empty table gives none.
+    repeated rows. An empty table gives none. ``root`` is the least fingerprint of the
+    component.
     """
     rows = stored(fingerprints(docs, text, size), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     trees = connected_components(find_links(nodes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(trees, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fingerprint = rooted.join(least, "root").select("fp", "component_id")
-    return rows.drop("component_id").join(of_fingerprint, "fp", "left")
+    of_fingerprint = rooted.join(least, "root").select("fp", "component_id", "root")
+    return rows.drop("component_id", "root").join(of_fingerprint, "fp", "left")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` for one document of each component: the one with the smallest id.
+
+    A document with an id goes before one without. Of rows that repeat id and text one stays."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed.select("doc_id", "text", "_key"))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
+    winners = found.groupBy("root").agg(F.min(order).alias("best")).select("best._key")
+    repeats = Window.partitionBy("_key").orderBy("doc_id")
+    kept = keyed.join(winners, "_key", "left_semi").withColumn("_repeat", F.row_number().over(repeats))
+    return kept.where("_repeat = 1").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
