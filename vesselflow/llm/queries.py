@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vesselflow.llm import benchmark_leaks, license_templates, quality_rules, secret_formats, sentence_pieces, simhash, toxicity, url_rules
+from vesselflow.llm import benchmark_leaks, license_templates, quality_rules, secret_formats, sentence_pieces, simhash, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_license_scans": license_templates.op1_license_scans,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_benchmark_leaks": benchmark_leaks.op8_benchmark_leaks,
     "op9_simhash": simhash.op9_simhash,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op3_url_filters": url_rules.SQL}
