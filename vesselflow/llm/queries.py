@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vesselflow.llm import benchmark_leaks, license_templates, quality_rules, secret_formats, sentence_pieces, simhash, suffix_dedup, toxicity, url_rules
+from vesselflow.llm import benchmark_leaks, katz, license_templates, quality_rules, secret_formats, sentence_pieces, simhash, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_license_scans": license_templates.op1_license_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_rules.op3_url_filters,
     "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_katz": katz.op6_katz,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_benchmark_leaks": benchmark_leaks.op8_benchmark_leaks,
     "op9_simhash": simhash.op9_simhash,
