@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,7 @@ class PieceModel:
     total: int
     prefix: bool = True
     tables: dict = field(init=False, repr=False)
+    covered: set = field(init=False, repr=False)
 
     def __post_init__(self):
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
@@ -96,9 +98,9 @@ class PieceModel:
                 np.array([self.scores[own[k]] for k in order]),
                 np.array([self.ids[own[k]] for k in order], dtype=np.int32),
             )
-        covered = {c for p in self.pieces for c in p}
+        self.covered = {c for p in self.pieces for c in p} | {" "}
         # No piece has a line break in it, so it bounds words as a blank does.
-        self.splitter = re.compile(" *[^ ]+| +" if "\n" in covered else "\n| *[^ \n]+| +")
+        self.splitter = re.compile(" *[^ ]+| +" if "\n" in self.covered else "\n| *[^ \n]+| +")
         self.spelled: list[bytes] = [b""] * self.total
         for p, i in zip(self.pieces, self.ids, strict=True):
             self.spelled[i] = p.replace(BLANK, " ").encode()
@@ -140,39 +142,38 @@ def _lookup(model: PieceModel, length: int, keys: np.ndarray) -> tuple[np.ndarra
     return np.where(hit, scores[at], -np.inf), np.where(hit, ids[at], -1).astype(np.int32)
 
 
-def viterbi(model: PieceModel, words: list[str]) -> list[np.ndarray]:
-    """Ids of the best segmentation of each of the words, all of one length of at least 1.
-
-    -1 stands for a character without a piece."""
+def viterbi(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Best segmentations of the words, all of one length of at least 1: ids side by side, and
+    how many each word has. -1 stands for a character without a piece."""
     n, length = len(words), len(words[0])
     codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(n, length)
-    hashes = _prefix_hashes(codes)
-    best = np.full((n, length + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((n, length + 1), dtype=np.int32)
-    chosen = np.zeros((n, length + 1), dtype=np.int32)
+    hashes = np.ascontiguousarray(_prefix_hashes(codes).T)
+    best = np.full((length + 1, n), -np.inf)
+    best[0] = 0
+    back = np.zeros((length + 1, n), dtype=np.int32)
+    chosen = np.zeros((length + 1, n), dtype=np.int32)
     rows = np.arange(n)
     for end in range(1, length + 1):
         sizes = [k for k in sorted(model.tables, reverse=True) if k <= end]
-        totals, ids = [], []
-        for k in sizes:
-            keys = hashes[:, end] - hashes[:, end - k] * model.powers[k]
-            score, piece = _lookup(model, k, keys)
+        totals = np.empty((len(sizes), n))
+        ids = np.empty((len(sizes), n), dtype=np.int32)
+        for j, k in enumerate(sizes):
+            keys = hashes[end] - hashes[end - k] * model.powers[k]
+            score, ids[j] = _lookup(model, k, keys)
             if k == 1:
-                score = np.where(piece < 0, model.unknown, score)
-            totals.append(best[:, end - k] + score)
-            ids.append(piece)
-        stacked = np.stack(totals)
-        top = np.argmax(stacked, axis=0)
-        best[:, end] = stacked[top, rows]
-        back[:, end] = end - np.array(sizes, dtype=np.int32)[top]
-        chosen[:, end] = np.stack(ids)[top, rows]
+                score = np.where(ids[j] < 0, model.unknown, score)
+            np.add(best[end - k], score, out=totals[j])
+        top = np.argmax(totals, axis=0)
+        best[end] = totals[top, rows]
+        back[end] = end - np.array(sizes, dtype=np.int32)[top]
+        chosen[end] = ids[top, rows]
     steps, at = [], np.full(n, length, dtype=np.int32)
     while at.any():
-        steps.append(np.where(at > 0, chosen[rows, at], -2))
-        at = np.where(at > 0, back[rows, at], 0)
+        steps.append(np.where(at > 0, chosen[at, rows], -2))
+        at = np.where(at > 0, back[at, rows], 0)
     paths = np.stack(steps[::-1], axis=1)
-    return [row[row != -2] for row in paths]
+    used = paths != -2
+    return paths[used], used.sum(axis=1)
 
 
 def viterbi_exact(model: PieceModel, word: str) -> np.ndarray:
@@ -197,13 +198,10 @@ def viterbi_exact(model: PieceModel, word: str) -> np.ndarray:
     return np.array(out[::-1], dtype=np.int32)
 
 
-def _spelling(model: PieceModel, word: str, path: np.ndarray) -> np.ndarray | None:
+def _spelled(model: PieceModel, word: str, path: list[int]) -> list[int] | None:
     """Ids with bytes for uncovered characters; None if the path does not spell the word."""
-    if (path >= 0).all():
-        spelled = b"".join(map(model.spelled.__getitem__, path.tolist()))
-        return path if spelled == word.replace(BLANK, " ").encode() else None
     out, at = [], 0
-    for piece in path.tolist():
+    for piece in path:
         if piece < 0:
             out += [model.byte_ids[b] for b in word[at].encode()]
             at += 1
@@ -213,38 +211,70 @@ def _spelling(model: PieceModel, word: str, path: np.ndarray) -> np.ndarray | No
                 return None
             out.append(piece)
             at += size
-    return np.array(out, dtype=np.int32) if at == len(word) else None
-
-
-def encode_words(model: PieceModel, words: list[str]) -> list[np.ndarray]:
-    """Ids of distinct words (blanks written as the blank sign), in their order."""
-    out: list[np.ndarray | None] = [None] * len(words)
-    by_length: dict[int, list[int]] = {}
-    for i, word in enumerate(words):
-        by_length.setdefault(len(word), []).append(i)
-    for length, places in by_length.items():
-        if length > LONG:
-            for i in places:
-                out[i] = _spelling(model, words[i], viterbi_exact(model, words[i]))
-            continue
-        size = max(1, CELLS // (length * (len(model.tables) + 4)))
-        for at in range(0, len(places), size):
-            part = places[at : at + size]
-            for i, path in zip(part, viterbi(model, [words[i] for i in part]), strict=True):
-                ids = _spelling(model, words[i], path)
-                out[i] = _spelling(model, words[i], viterbi_exact(model, words[i])) if ids is None else ids
-    return out
+    return out if at == len(word) else None
+
+
+def _encode_group(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers for words of one length."""
+    if len(words[0]) > LONG:
+        paths = [_spelled(model, w, viterbi_exact(model, w).tolist()) for w in words]
+        return np.array([i for p in paths for i in p], np.int32), np.array([len(p) for p in paths])
+    ids, counts = viterbi(model, words)
+    # Pieces have the lengths of their tables, so one comparison of all words checks each.
+    if (ids >= 0).all():
+        if b"".join(map(model.spelled.__getitem__, ids.tolist())) == "".join(words).replace(BLANK, " ").encode():
+            return ids, counts
+    ends = np.cumsum(counts)
+    paths = []
+    for word, a, b in zip(words, (ends - counts).tolist(), ends.tolist(), strict=True):
+        path = _spelled(model, word, ids[a:b].tolist())
+        paths.append(_spelled(model, word, viterbi_exact(model, word).tolist()) if path is None else path)
+    return np.array([i for p in paths for i in p], np.int32), np.array([len(p) for p in paths])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
 
 
 class Encoder:
     """Encodes texts; words met before in the task are not searched again."""
 
-    def __init__(self, model: PieceModel, most_words: int = 400_000):
+    def __init__(self, model: PieceModel, most_words: int = 500_000):
         self.model, self.most = model, most_words
-        self.known: dict[str, np.ndarray] = {}
-        self.sign = np.array([model.byte_ids[b] for b in BLANK.encode()], dtype=np.int32)
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words and where their ids stand; the first entry is the blank sign in bytes."""
+        sign = [self.model.byte_ids[b] for b in BLANK.encode()]
+        self.known: dict[str | None, int] = {None: 0}
+        self.ids = np.array(sign, dtype=np.int32)
+        self.begins, self.counts = np.zeros(1, np.int64), np.array([len(sign)])
+
+    def _learn(self, words: list[str]) -> None:
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            by_length.setdefault(len(word), []).append(word)
+        parts, counts, order = [self.ids], [self.counts], []
+        for length, own in by_length.items():
+            size = max(1, CELLS // (length * (len(self.model.tables) + 4)))
+            covered: dict[bool, list[str]] = {}
+            for word in own:
+                covered.setdefault(self.model.covered.issuperset(word), []).append(word)
+            for group in covered.values():
+                for at in range(0, len(group), size):
+                    words_here = group[at : at + size]
+                    ids, n = _encode_group(self.model, [w.replace(" ", BLANK) for w in words_here])
+                    parts.append(ids)
+                    counts.append(n)
+                    order += words_here
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
+        self.ids, self.counts = np.concatenate(parts), np.concatenate(counts)
+        self.begins = np.cumsum(self.counts) - self.counts
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts side by side, and how many each text has."""
         split = []
         for text in texts:
             text = text or ""
@@ -256,16 +286,18 @@ class Encoder:
                 words.append(None)
                 words += self.model.splitter.findall(part)
             split.append(words)
-        known = self.known
-        fresh = list({w for words in split for w in words if w is not None} - known.keys())
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = list({w for words in split for w in words if w is not None})
-        known.update(zip(fresh, encode_words(self.model, [w.replace(" ", BLANK) for w in fresh]), strict=True))
-        empty = np.zeros(0, dtype=np.int32)
-        return [
-            np.concatenate([self.sign if w is None else known[w] for w in words]) if words else empty for words in split
-        ]
+        distinct = set().union(*split)
+        fresh = distinct - self.known.keys()
+        if len(self.known) + len(fresh) > self.most:
+            self._forget()
+            fresh = distinct - self.known.keys()
+        if fresh:
+            self._learn(sorted(fresh))
+        sizes = [len(words) for words in split]
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, count=sum(sizes))
+        counts = self.counts[places]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)] if sizes else np.zeros(0, np.int64)
+        return self.ids[_ranges(self.begins[places], counts)], np.diff(ends, prepend=0)
 
 
 def decode_ids(model: PieceModel, ids: list[int]) -> str:
@@ -276,6 +308,26 @@ def decode_ids(model: PieceModel, ids: list[int]) -> str:
     return spelled.decode("utf-8", "replace")
 
 
+class Decoder:
+    """Decodes sequences of ids that stand side by side, all at once."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.sizes = np.array([len(s) for s in model.spelled], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(model.spelled), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        sizes = self.sizes[ids]
+        spelled = self.bytes[_ranges(self.begins[ids], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        out = []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            skip = self.model.prefix and spelled[a : a + 1] == b" " and a < b
+            out.append(spelled[a + skip : b].decode("utf-8", "replace"))
+        return out
+
+
 def _pieces_of(batch, at: int):
     """Slices of a batch of bounded text."""
     import pyarrow.compute as pc
@@ -303,9 +355,8 @@ def encode_pieces(docs: DataFrame, model: PieceModel, text: str = "text", ids: s
         encoder = Encoder(model)
         for whole in batches:
             for batch in _pieces_of(whole, at):
-                made = encoder(batch.column(at).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
-                values = np.concatenate(made) if made else np.zeros(0, np.int32)
+                values, counts = encoder(batch.column(at).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*columns, ids])
 
@@ -320,11 +371,15 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, ids: str = "ids", decod
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        decoder = Decoder(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                made = [decode_ids(model, x or []) for x in batch.column(at).to_pylist()]
+                column = batch.column(at)
+                counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
+                made = decoder(np.asarray(column.flatten(), dtype=np.int64), counts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*columns, decoded])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(decoded, T.StringType())]))
