@@ -7,15 +7,16 @@ most of what they write is equal, place by place: edit distance has become Hammi
 Sampling a few places gives a signature that close sequences share with a known chance,
 and enough repetitions, each with its own walk and places, reach the target recall.
 
-Documents are embedded in windows of the size of an item, one for each distinct size. A
-window can only be within the allowed edits of an item of its size if all but so many of
-its words occur in items of that size; a fixed-size bitmap of (word, size) decides that
-for every place before any embedding. Windows of a document that overlap and whose
-signatures may occur in the index become one region; regions meet items by an equi-join on
-signatures and are verified by exact edit distance.
-
-Only bitmaps of fixed size and the list of sizes are sent to all tasks. Items are rows of
-a table, and an item that leaks into a third of all documents is a hot key of a join whose
+Documents are embedded in windows of the size of an item, one for each distinct size. An
+edit breaks at most two word pairs of an item, so a window within k edits of an item of n
+words has at least n - 1 - 2k of its pairs; a table of fixed size that tells in which sizes
+of items a pair occurs rules most windows out before any embedding, and none that counts.
+Windows of a document that overlap and whose signatures may occur in the index become one
+region; regions meet items by an equi-join on signatures and are verified by exact edit
+distance.
+
+Only tables of fixed size and the list of sizes are sent to all tasks. Items are rows of a
+table, and an item that leaks into a third of all documents is a hot key of a join whose
 other side has one row for it.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +41,13 @@ LEAST_WORDS = 5
 #: (measured, see the tests).
 SAMPLES, AGREEMENT = 2, 0.25
 RECALL = 0.97
-#: Bits of the bitmaps.
+#: Bits of the bitmap of signatures, and entries of the table of word pairs.
 BITS = 1 << 23
+SLOTS = 1 << 20
 CHUNK = 1 << 22
 SEED = 20
 _WORD = re.compile(r"[^\W_]+")
-_FACTOR = 0x9E3779B97F4A7C15
-_ODD = np.uint64(_FACTOR)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, samples: int = SAMPLES) -> int:
@@ -114,13 +116,18 @@ def bit_of(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def word_at_size(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of a word as one of an item of this size."""
-    return _scramble(words + np.uint64(size * _FACTOR % 2**64))
+def slots_of(words: np.ndarray) -> np.ndarray:
+    """Entry of each pair of neighbouring words in the table."""
+    mixed = words[:-1] * _ODD
+    mixed += words[1:]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed >>= np.uint64(44)
+    return mixed.astype(np.int64)
 
 
 def index_items(items: DataFrame, similarity: float = SIMILARITY, repeats: int | None = None) -> DataFrame:
-    """Items as rows: item_id, size, words, signatures and the bits of (word, size).
+    """Items as rows: item_id, size, words, signatures and the table entries of their pairs.
 
     Items that are null or shorter than ``LEAST_WORDS`` are left out."""
     repeats = repeats or repetitions()
@@ -139,18 +146,18 @@ def index_items(items: DataFrame, similarity: float = SIMILARITY, repeats: int |
                 if size not in embeddings:
                     embeddings[size] = Embedding(size, repeats)
                 signatures = embeddings[size].signatures(words, np.zeros(1, np.int64))[0]
-                bits = np.unique(bit_of(word_at_size(words, size)))
-                rows.append((key, size, words.view(np.int64).tolist(), signatures.view(np.int64).tolist(), bits.tolist()))
+                slots = np.unique(slots_of(words))
+                rows.append((key, size, words.view(np.int64).tolist(), signatures.view(np.int64).tolist(), slots.tolist()))
             longs = pa.list_(pa.int64())
             kinds = (batch.schema.field(0).type, pa.int32(), longs, longs, longs)
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["item_id", "size", "words", "signatures", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "size", "words", "signatures", "slots"])
 
     schema = T.StructType(
         [
             T.StructField("item_id", items.schema["item_id"].dataType),
             T.StructField("size", T.IntegerType()),
-            *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("words", "signatures", "bits")),
+            *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("words", "signatures", "slots")),
         ]
     )
     return items.select("item_id", "text").where("text is not null").mapInArrow(run, schema)
@@ -171,69 +178,70 @@ def bitmap(bits: DataFrame) -> bytes:
     return whole.tobytes()
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
+
+
 def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def pair_table(index: DataFrame, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Used entries and their masks: bit k stands for the k-th size, modulo 64. At most ``SLOTS``."""
+    bit = (F.array_position(F.array(*[F.lit(n) for n in sizes]), F.col("size")) - 1) % 64
+    rows = (
+        index.select(F.explode("slots").alias("slot"), bit.cast("int").alias("bit"))
+        .groupBy("slot")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+        .collect()
+    )
+    return np.array([r["slot"] for r in rows], np.int64), np.array([r["mask"] for r in rows], np.int64)
+
+
 class Scanner:
     """Finds the regions of texts that may hold an item."""
 
-    def __init__(self, sizes: list[int], words: bytes, signatures: bytes, similarity: float, repeats: int):
+    def __init__(self, sizes: list[int], pairs, signatures: bytes, similarity: float, repeats: int):
         self.sizes = sizes
-        self.words = np.frombuffer(words, dtype=np.uint8)
+        self.masks = np.zeros(SLOTS, dtype=np.uint64)
+        self.masks[pairs[0]] = pairs[1].view(np.uint64)
         self.signed = np.frombuffer(signatures, dtype=np.uint8)
         self.similarity, self.repeats = similarity, repeats
         self.embeddings: dict[int, Embedding] = {}
-        self.places: dict[str, int] = {}
-        self.hashes = np.zeros(0, dtype=np.uint64)
-        self.masks = np.zeros(0, dtype=np.uint64)
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Hash and mask of new words; bit k of a mask stands for the k-th size, modulo 64."""
-        import xxhash
-
-        hashed = np.fromiter(map(xxhash.xxh64_intdigest, fresh), dtype=np.uint64, count=len(fresh))
-        masks = np.zeros(len(fresh), dtype=np.uint64)
-        for k, size in enumerate(self.sizes):
-            hit = _has(self.words, bit_of(word_at_size(hashed, size)))
-            masks |= hit.astype(np.uint64) << np.uint64(k % 64)
-        self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
-        self.hashes = np.concatenate([self.hashes, hashed])
-        self.masks = np.concatenate([self.masks, masks])
+        self.hashes = Hasher()
 
     def regions(self, texts: list[str | None]) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
         """(text, size, first word, words, signatures) of each region of these texts."""
         split = [words_of(t) for t in texts]
-        if len(self.places) > 500_000:
-            self.places, self.hashes, self.masks = {}, self.hashes[:0], self.masks[:0]
-        fresh = list({w for words in split for w in words} - self.places.keys())
-        if fresh:
-            self._learn(fresh)
         lengths = np.array([len(w) for w in split], dtype=np.int64)
         ends = np.cumsum(lengths)
-        get = self.places.__getitem__
-        ids = np.fromiter((get(w) for words in split for w in words), dtype=np.int64, count=int(lengths.sum()))
-        if not len(ids):
+        words = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(split)), np.uint64, count=int(lengths.sum()))
+        if len(words) < 2:
             return []
-        masks, words = self.masks[ids], None
-        used = np.bitwise_or.reduce(masks)
+        masks = self.masks[slots_of(words)]
+        known = np.flatnonzero(masks)
+        masks = masks[known]
         out = []
         for k, size in enumerate(self.sizes):
-            if size - allowed(size, self.similarity) > 0 and not used >> np.uint64(k % 64) & np.uint64(1):
-                continue
-            if len(ids) < size:
+            least = size - 1 - 2 * allowed(size, self.similarity)
+            own = known[masks >> np.uint64(k % 64) & np.uint64(1) == 1]
+            if len(own) < least:
                 continue
-            known = np.concatenate([[0], np.cumsum((masks >> np.uint64(k % 64)) & np.uint64(1), dtype=np.int64)])
-            starts = np.flatnonzero(known[size:] - known[:-size] >= size - allowed(size, self.similarity))
-            if not len(starts):
+            # Any ``least`` of the pairs that lie within a window allow a range of starts.
+            first, last = own[: len(own) - least + 1], own[least - 1 :]
+            close = last - first <= size - 2
+            low, high = np.maximum(last[close] - size + 2, 0), first[close]
+            if not len(low):
                 continue
+            starts = np.unique(_ranges(low, high - low + 1))
+            starts = starts[starts + size <= len(words)]
             owner = np.searchsorted(ends, starts, side="right")
-            inside = starts + size <= ends[owner]
+            inside = starts + size <= ends[np.minimum(owner, len(ends) - 1)]
             starts, owner = starts[inside], owner[inside]
-            if not len(starts):
-                continue
-            words = self.hashes[ids] if words is None else words
-            out += self._hits(size, words, starts, owner, ends - lengths, ends)
+            if len(starts):
+                out += self._hits(size, words, starts, owner, ends - lengths, ends)
         return out
 
     def _hits(self, size, words, starts, owner, begins, ends):
@@ -319,14 +327,14 @@ def find_leaks(
     repeats = repetitions(recall)
     index = stored(index_items(items, similarity, repeats), "benchmark")
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
-    known = bitmap(index.select(F.explode("bits").alias("bit")))
+    pairs = pair_table(index, sizes) if sizes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     signed = bitmap(index.select(F.explode("signatures").alias("s")).select(F.pmod(F.col("s"), F.lit(BITS)).alias("bit")))
 
     def scan(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        scanner = Scanner(sizes, known, signed, similarity, repeats)
+        scanner = Scanner(sizes, pairs, signed, similarity, repeats)
         longs = pa.list_(pa.int64())
         for whole in batches:
             weights = np.asarray(pc.fill_null(pc.binary_length(whole.column(1)), 0), dtype=np.int64)
