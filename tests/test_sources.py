@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vesselflow.schema import RAW_COLUMNS
 from vesselflow.sources.archives import (
     archive_members,
+    arrow_location,
     expand_members,
     list_archives,
     member_counts,
@@ -17,7 +18,7 @@ from vesselflow.sources.manifest import pending_files
 from vesselflow.sources.messages import (
     add_lineage,
     add_raw_partitions,
-    csv_options,
+    line_options,
     parse_message_lines,
     read_messages_csv,
     read_months,
@@ -51,7 +52,7 @@ def archives(tmp_path):
 
 def test_archives_are_chosen_by_base_name(spark, archives):
     names = {r.source.rsplit("/", 1)[-1] for r in list_archives(spark, archives).collect()}
-    assert names == {"AIS_2024_01_05.zip", "other.zip"}
+    assert names == {"AIS_2024_01_05.zip", "AIS_2024_02_01.ZIP", "other.zip"}
     chosen = list_archives(spark, archives, r"^AIS_2024_.*\.(zip|ZIP)$")
     assert chosen.count() == 2
     with pytest.raises(FileNotFoundError):
@@ -86,13 +87,83 @@ def test_long_members_come_in_several_batches(spark, archives):
     assert parse_message_lines(lines, {"header": False}).count() == 20001
 
 
-def test_lines_of_large_members_are_spread(spark, archives):
+def test_members_are_dealt_by_size_and_none_is_lost(spark, archives):
     members = archive_members(list_archives(spark, archives, "^AIS_2024"))
     members = members.where("lower(member) like '%.csv'")
-    lines = expand_members(members, large_member=1000)
-    whole = expand_members(members)
-    assert lines.exceptAll(whole).isEmpty() and whole.exceptAll(lines).isEmpty()
-    assert expand_members(members, large_member=0).count() == whole.count()
+    two, whole = expand_members(members, tasks=2), expand_members(members)
+    assert two.exceptAll(whole).isEmpty() and whole.exceptAll(two).isEmpty()
+    assert two.rdd.getNumPartitions() == 2 and whole.rdd.getNumPartitions() == 1
+
+
+def test_hidden_names_and_any_case_are_listed(spark, tmp_path):
+    for name in ("B.ZIP", "_c.zip", ".d.Zip"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("a.csv", HEADER + "\n" + line(1))
+    assert list_archives(spark, str(tmp_path)).count() == 3
+    assert parse_message_lines(read_zip_lines(spark, str(tmp_path))).count() == 3
+
+
+def test_hidden_csv_files_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "\n" + line(1))
+    (tmp_path / "_b.csv").write_text(HEADER + "\n" + line(2))
+    with pytest.raises(ValueError, match="_b.csv"):
+        read_messages_csv(spark, str(tmp_path))
+
+
+def test_locations_for_arrow():
+    keys = {"fs.s3a.endpoint": "http://store:9000", "fs.s3a.access.key": "a", "fs.s3a.secret.key": "b"}
+    options = {"endpoint_override": "store:9000", "scheme": "http", "access_key": "a", "secret_key": "b"}
+    for scheme in ("s3", "s3a", "s3n"):
+        assert arrow_location(f"{scheme}://bucket/a b/x#1.zip", keys) == ("s3", "bucket/a b/x#1.zip", options)
+    assert arrow_location("s3a://bucket/x.zip") == ("s3", "bucket/x.zip", {})
+    assert arrow_location("file:///a b/x.zip") == ("local", "/a b/x.zip", {})
+    assert arrow_location("file:/a/x.zip") == arrow_location("/a/x.zip") == ("local", "/a/x.zip", {})
+    assert arrow_location("gs://bucket/a b.zip", keys) == ("gcs", "bucket/a b.zip", {})
+    assert arrow_location("hdfs://name:8020/a/x.zip") == ("hdfs", "/a/x.zip", {"host": "hdfs://name:8020"})
+    assert arrow_location("hdfs:///a/x.zip") == ("hdfs", "/a/x.zip", {"host": "default"})
+    assert arrow_location("abfss://c@acc.dfs.core.windows.net/x.zip") == ("azure", "c/x.zip", {"account_name": "acc"})
+    with pytest.raises(ValueError, match="wasbs"):
+        arrow_location("wasbs://c@a/x.zip")
+
+
+def zipped(tmp_path, *texts):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i, text in enumerate(texts):
+            z.writestr(f"{i}.csv", text)
+    return str(tmp_path)
+
+
+def read_zipped(spark, root, options=None):
+    from vesselflow.sources.messages import reading
+
+    return parse_message_lines(read_zip_lines(spark, root, **reading(options)), options)
+
+
+def test_header_is_the_first_line_with_something(spark, tmp_path):
+    root = zipped(tmp_path, f"\n  \n{HEADER}\n\n{line(1)}\n{line(2)}\n", f"# note\n{HEADER}\n# more\n{line(3)}")
+    rows = read_zipped(spark, root, {"header": True, "comment": "#"})
+    assert sorted(r.MMSI for r in rows.collect()) == [1, 2, 3]
+
+
+def test_values_with_line_breaks(spark, tmp_path):
+    root = zipped(tmp_path, HEADER + "\n" + line(1, name='"A\nB ""x"""') + "\n" + line(2))
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    rows = sorted(read_zipped(spark, root, options).select("MMSI", "VesselName").collect())
+    assert rows == [(1, 'A\nB "x"'), (2, "SHIP")]
+
+
+def test_malformed_rows(spark, tmp_path):
+    root = zipped(tmp_path, "\n".join([HEADER, line(1), line("bad"), "3,soon"]))
+    assert read_zipped(spark, root).count() == 3
+    assert [r.MMSI for r in read_zipped(spark, root, {"header": True, "mode": "DROPMALFORMED"}).collect()] == [1]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_zipped(spark, root, {"header": True, "mode": "FAILFAST"}).collect()
+
+
+@pytest.mark.parametrize("options", [{"inferSchema": True}, {"lineSep": ";"}, {"encoding": "UTF-16"}, {"mode": "no"}])
+def test_options_that_cannot_work_are_refused(options):
+    with pytest.raises(ValueError):
+        line_options(options)
 
 
 def test_archives_without_csv(spark, tmp_path):
@@ -113,9 +184,6 @@ def test_csv_files(spark, tmp_path):
     semicolon.mkdir()
     (semicolon / "a.csv").write_text(line(9).replace(",", ";"))
     assert read_messages_csv(spark, str(semicolon), {"header": False, "sep": ";"}).first().MMSI == 9
-    assert csv_options({"header": True, "sep": ";", "maxColumns": 20}) == {
-        "header": "true", "sep": ";", "maxColumns": "20",
-    }
 
 
 def test_no_csv_files(spark, tmp_path):
@@ -129,7 +197,9 @@ def test_only_touched_months_are_replaced(spark, messages, tmp_path):
     january, february = {"MMSI": 1}, {"MMSI": 2, "BaseDateTime": "2024-02-01T00:00:00"}
     write_raw(add_raw_partitions(messages(january, february)), out)
     write_raw(add_raw_partitions(messages({**january, "SOG": 9.0})), out)
-    rows = read_months(spark, out, ["2024-01", "2024-02", "2024-03"]).collect()
+    rows = read_months(spark, out, ["2024-01", "2024-02", "2024-03"], allow_missing=True).collect()
+    with pytest.raises(FileNotFoundError, match="2024-03"):
+        read_months(spark, out, ["2024-01", "2024-03"])
     assert sorted((r.ym, r.MMSI, r.SOG) for r in rows) == [("2024-01", 1, 9.0), ("2024-02", 2, 5.0)]
     assert read_months(spark, out, ["2024-02"]).count() == 1
     with pytest.raises(FileNotFoundError):

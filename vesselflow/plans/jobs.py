@@ -6,48 +6,54 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselflow.functions import cleaning
 from vesselflow.operators.curation import curate
 from vesselflow.operators.quality import reconcile_counts, require_match
+from vesselflow.session import fresh_dir
 from vesselflow.sources.archives import read_zip_lines
 from vesselflow.sources.messages import (
     add_lineage,
     add_raw_partitions,
     parse_message_lines,
     read_months,
+    reading,
     write_curated,
     write_raw,
 )
-from vesselflow.sources.storage import marker_path, month_path, path_exists, write_marker
+from vesselflow.sources.storage import marker_path, month_path, path_exists, remove_tree, write_marker
 
 
 def ingest_archives(
     spark: SparkSession,
     root: str,
     out: str,
-    name_regex: str = r"\.zip$",
+    name_regex: str = r"(?i)\.zip$",
     options: Mapping | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
     """Archives to raw Parquet by month, then a check of the rows per day.
 
     Returns the comparison of VAL1; raises if a day differs, which includes
-    messages without a readable date. The source side is counted by reading the
-    archives again, so nothing of their size is cached.
+    messages without a readable date. Each archive is unpacked once: its messages
+    go to a staging table below the shared folder, and months, counts and later
+    readers come from there. The staging table is removed when the check has passed.
     """
-    lines = read_zip_lines(spark, root, name_regex, tasks)
-    messages = add_raw_partitions(parse_message_lines(lines, options))
-    watch = Observation("months written")
-    write_raw(add_lineage(messages).observe(watch, F.collect_set("ym").alias("months")), out)
-    months = [m for m in watch.get["months"] if m]
+    lines = read_zip_lines(spark, root, name_regex, tasks, **reading(options))
+    staged, compared = fresh_dir(spark, "staged"), fresh_dir(spark, "compared")
+    add_raw_partitions(add_lineage(parse_message_lines(lines, options))).write.parquet(staged)
+    messages = spark.read.parquet(staged)
+    write_raw(messages, out)
+    months = [row.ym for row in messages.select("ym").distinct().collect() if row.ym]
     written = read_months(spark, out, months).withColumn(
-        "ymd", F.date_format(cleaning.message_time("BaseDateTime"), "yyyy-MM-dd")
+        "ymd", F.date_format(F.try_to_timestamp("BaseDateTime"), "yyyy-MM-dd")
     )
-    comparison = reconcile_counts(messages, written).orderBy("ymd")
+    reconcile_counts(messages, written).coalesce(1).write.parquet(compared)
+    comparison = spark.read.parquet(compared).orderBy("ymd")
     require_match(comparison)
+    remove_tree(spark, staged)
     return comparison
 
 
@@ -69,10 +75,9 @@ def _curate_month(spark: SparkSession, month: str, input_base: str, output_base:
     in_month = F.coalesce(
         (time >= F.lit(first_day).cast("timestamp")) & (time < next_month), F.lit(False)
     )
-    watch = Observation(f"month {month}")
-    seen = raw.observe(watch, F.count_if(~in_month).alias("strays"))
-    write_curated(curate(seen.where(in_month)), output_base, files)
-    return watch.get["strays"]
+    write_curated(curate(raw.where(in_month)), output_base, files)
+    # Counted by itself, over one column: an observed count grows when a stage is run again.
+    return raw.where(~in_month).count()
 
 
 def run_months(

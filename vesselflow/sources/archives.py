@@ -1,54 +1,120 @@
 """ZIP archives of CSV files as rows of text lines (SRC1).
 
-Spark lists the archives; the members become rows that are spread over the
-cluster, and each task streams its members in small Arrow batches. Neither an
-archive nor a member is ever held whole, and a large archive is read by many
-tasks. This is the only Python code that runs on executors.
+The driver lists the archives; their members become rows that are dealt out by size,
+and each task streams its members in small Arrow batches. Neither an archive nor a
+member is ever held whole, and a large archive is read by many tasks. Archives lie
+on any file system that both Hadoop and Arrow know. This is the only Python code of
+the message sources that runs on executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import sys
+from urllib.parse import unquote, urlsplit
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Members above this size have their lines dealt out again after reading.
-LARGE_MEMBER = 1 << 30
-LINES_PER_BLOCK = 8192
+from vesselflow.sources.storage import list_files
+
+# What runs on executors travels by value: they need no installed copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Uncompressed bytes that one task reads, as far as members can be told apart.
 BYTES_PER_TASK = 128 << 20
 
 MEMBER_SCHEMA = "source string, place int, member string, size bigint"
 LINE_SCHEMA = "source string, member string, line_no bigint, line string"
 
-
-def list_archives(spark: SparkSession, root: str, name_regex: str = r"\.zip$") -> DataFrame:
-    """Archives below ``root`` whose base name matches; error if there is none."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.[zZ][iI][pP]")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.col("path").alias("source"), F.col("length").alias("bytes"))
-    )
-    chosen = files.where(F.element_at(F.split("source", "/"), -1).rlike(name_regex))
-    if chosen.isEmpty():
+#: Hadoop's schemes and the file system of Arrow that reads them.
+SCHEMES = {
+    "": "local",
+    "file": "local",
+    "s3": "s3",
+    "s3a": "s3",
+    "s3n": "s3",
+    "gs": "gcs",
+    "abfs": "azure",
+    "abfss": "azure",
+    "hdfs": "hdfs",
+    "viewfs": "hdfs",
+}
+#: Hadoop settings and the options of Arrow's S3 file system that they become.
+S3_SETTINGS = {
+    "fs.s3a.endpoint": "endpoint_override",
+    "fs.s3a.endpoint.region": "region",
+    "fs.s3a.access.key": "access_key",
+    "fs.s3a.secret.key": "secret_key",
+    "fs.s3a.session.token": "session_token",
+}
+
+
+def arrow_location(uri: str, settings: dict[str, str] | None = None) -> tuple[str, str, dict[str, str]]:
+    """(kind of file system, path in it, options) of a Hadoop path; ValueError for others.
+
+    Blanks and other characters of a path mean themselves, as in Hadoop."""
+    scheme, separator, rest = uri.partition(":")
+    if not separator or "/" in scheme:
+        return "local", uri, {}
+    kind = SCHEMES.get(scheme.lower())
+    if kind is None:
+        raise ValueError(f"archives cannot be read from {scheme}: (known: {', '.join(sorted(filter(None, SCHEMES)))})")
+    if kind == "local":
+        return kind, "/" + rest.lstrip("/"), {}
+    authority, _, path = rest.removeprefix("//").partition("/")
+    if kind == "hdfs":
+        return kind, "/" + path, {"host": f"{scheme.lower()}://{authority}" if authority else "default"}
+    if kind == "azure":
+        container, _, account = authority.partition("@")
+        return kind, f"{container}/{path}", {"account_name": account.split(".")[0]}
+    options = {S3_SETTINGS[k]: v for k, v in (settings or {}).items() if k in S3_SETTINGS and v} if kind == "s3" else {}
+    endpoint = options.get("endpoint_override")
+    if endpoint and "://" in endpoint:
+        parts = urlsplit(endpoint)
+        options |= {"scheme": parts.scheme, "endpoint_override": unquote(parts.netloc)}
+    return kind, f"{authority}/{path}", options
+
+
+def store_settings(spark: SparkSession) -> dict[str, str]:
+    """The session's Hadoop settings that reading from an object store needs."""
+    conf = spark._jsc.hadoopConfiguration()
+    return {key: conf.get(key) for key in S3_SETTINGS if conf.get(key)}
+
+
+def list_archives(spark: SparkSession, root: str, name_regex: str = r"(?i)\.zip$") -> DataFrame:
+    """Archives below ``root`` whose base name matches; error if there is none.
+
+    The suffix counts in either case, and names that begin with ``_`` or ``.`` count, too.
+    """
+    files = [f for f in list_files(spark, root) if f[0].lower().endswith(".zip")]
+    listed = spark.createDataFrame(files, "source string, bytes bigint")
+    chosen = listed.where(F.element_at(F.split("source", "/"), -1).rlike(name_regex))
+    first = chosen.first()
+    if first is None:
         raise FileNotFoundError(f"no archive below {root} matches {name_regex}")
+    arrow_location(first.source)
     return chosen
 
 
-def _member_reader():
+def _member_reader(
+    settings: dict[str, str] | None = None, quoting: tuple[str, str] | None = None, comment: str | None = None
+):
     """Functions for the executors; nested so that they travel by value."""
+    locate = arrow_location
 
     def open_archive(uri):
         import zipfile
 
         from pyarrow import fs
 
-        if uri.startswith("file:"):
-            handle = fs.LocalFileSystem().open_input_file("/" + uri[len("file:") :].lstrip("/"))
+        kind, path, options = locate(uri, settings)
+        if kind == "hdfs":
+            store = fs.HadoopFileSystem(**options)
         else:
-            store, path = fs.FileSystem.from_uri(uri)
-            handle = store.open_input_file(path)
-        return zipfile.ZipFile(handle)
+            makers = {"local": "LocalFileSystem", "s3": "S3FileSystem", "gcs": "GcsFileSystem", "azure": "AzureFileSystem"}
+            store = getattr(fs, makers[kind])(**options)
+        return zipfile.ZipFile(store.open_input_file(path))
 
     def list_members(batches):
         import pyarrow as pa
@@ -69,6 +135,22 @@ def _member_reader():
                     names=["source", "place", "member", "size"],
                 )
 
+    def is_before(line):
+        """Blank lines and comments before the first line have no number."""
+        return not line.strip() or bool(comment and line.startswith(comment))
+
+    def records(reader, quote, escape):
+        """Lines joined while a quoted value is open, for values with line breaks."""
+        held = ""
+        for line in reader:
+            held += line
+            plain = held.replace(escape + quote, "") if escape != quote else held
+            if plain.count(quote) % 2 == 0:
+                yield held
+                held = ""
+        if held:
+            yield held
+
     def read_lines(batches):
         import io
 
@@ -93,9 +175,11 @@ def _member_reader():
                 with open_archive(row["source"]) as archive:
                     info = archive.infolist()[row["place"]]
                     with archive.open(info) as raw:
-                        reader = io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace")
+                        reader = io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline=None)
                         first, chars, lines = 0, 0, []
-                        for line in reader:
+                        for line in records(reader, *quoting) if quoting else reader:
+                            if not first and not lines and is_before(line):
+                                continue
                             lines.append(line.rstrip("\r\n"))
                             chars += len(line)
                             if len(lines) >= max_lines or chars >= max_chars:
@@ -109,7 +193,7 @@ def _member_reader():
 
 def archive_members(archives: DataFrame) -> DataFrame:
     """One row per file in each archive; reads only the archives' directories."""
-    list_members, _ = _member_reader()
+    list_members, _ = _member_reader(store_settings(archives.sparkSession))
     return archives.select("source").mapInArrow(list_members, MEMBER_SCHEMA)
 
 
@@ -118,43 +202,38 @@ def member_counts(archives: DataFrame) -> DataFrame:
     return archive_members(archives).groupBy("source").agg(F.count("*").alias("members"))
 
 
-def _read(members: DataFrame, tasks: int) -> DataFrame:
-    _, read_lines = _member_reader()
-    return members.repartition(max(1, tasks)).mapInArrow(read_lines, LINE_SCHEMA)
-
-
 def expand_members(
-    members: DataFrame, tasks: int | None = None, large_member: int = LARGE_MEMBER
+    members: DataFrame,
+    tasks: int | None = None,
+    quoting: tuple[str, str] | None = None,
+    comment: str | None = None,
 ) -> DataFrame:
-    """Lines of the members, each numbered from 0 within its member.
+    """Lines of the members, numbered from 0 at the first one that is no blank or comment.
 
-    The member list (a few bytes per file) is dealt out evenly over ``tasks``
-    partitions, by default one per member up to 10,000. A member can only be
-    unpacked from start to end, hence by one task; the lines of members above
-    ``large_member`` bytes are then spread in blocks, so that parsing and writing
-    them is shared. The lines of all others are not shuffled.
+    A member can only be unpacked from start to end, hence by one task. The member list (a
+    few bytes per file, in order of size) is dealt out in turn over ``tasks`` partitions, by
+    default one for each ``BYTES_PER_TASK`` of text, so that tasks get equal shares of large
+    and small ones. Lines are not shuffled. ``quoting`` has the quote and escape characters
+    if values may have line breaks; a line is then a whole record.
     """
-    is_large = F.col("size") > large_member
-    sizes = members.agg(
-        F.count_if(~is_large).alias("small"),
-        F.count_if(is_large).alias("large"),
-        F.sum(F.when(is_large, F.col("size"))).alias("large_bytes"),
-    ).first()
-    if not sizes.small + sizes.large:
+    sizes = members.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    if not sizes.n:
         raise FileNotFoundError("the archives hold no CSV file")
-    small = _read(members.where(~is_large), tasks or min(sizes.small, 10_000))
-    if not sizes.large:
-        return small
-    blocks = F.floor(F.col("line_no") / LINES_PER_BLOCK)
-    spread = _read(members.where(is_large), tasks or min(sizes.large, 10_000)).repartition(
-        -(-sizes.large_bytes // BYTES_PER_TASK), "source", "member", blocks
-    )
-    return small.unionByName(spread) if sizes.small else spread
+    tasks = tasks or min(sizes.n, max(1, -(-sizes.bytes // BYTES_PER_TASK)))
+    turn = F.row_number().over(Window.orderBy(F.desc("size"), "source", "place")) % tasks
+    _, read_lines = _member_reader(store_settings(members.sparkSession), quoting, comment)
+    dealt = members.withColumn("turn", turn).repartitionByRange(tasks, "turn").drop("turn")
+    return dealt.mapInArrow(read_lines, LINE_SCHEMA)
 
 
 def read_zip_lines(
-    spark: SparkSession, root: str, name_regex: str = r"\.zip$", tasks: int | None = None
+    spark: SparkSession,
+    root: str,
+    name_regex: str = r"(?i)\.zip$",
+    tasks: int | None = None,
+    quoting: tuple[str, str] | None = None,
+    comment: str | None = None,
 ) -> DataFrame:
     """SRC1: lines of the CSV members of all matching archives; error if there are none."""
     members = archive_members(list_archives(spark, root, name_regex))
-    return expand_members(members.where(F.lower("member").endswith(".csv")), tasks)
+    return expand_members(members.where(F.lower("member").endswith(".csv")), tasks, quoting, comment)

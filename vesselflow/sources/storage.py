@@ -1,4 +1,4 @@
-"""Existence checks and success markers on any Hadoop file system."""
+"""Listing, existence checks and success markers on any Hadoop file system."""
 
 from __future__ import annotations
 
@@ -15,10 +15,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def list_files(spark: SparkSession, root: str, recursive: bool = True) -> list[tuple[str, int]]:
+    """(path, bytes) of the files below ``root``, also of those that Spark's readers skip
+    because their names begin with ``_`` or ``.``."""
+    fs, hadoop_path = _file_system(spark, root)
+    files, found = fs.listFiles(hadoop_path, recursive), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen()))
+    return sorted(found)
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library made; a missing one is fine."""
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def month_path(base: str, month: str) -> str:
     return f"{base.rstrip('/')}/ym={month}"
 
 
+# Fixed value: the place of markers, which other programs of a deployment look for.
 def marker_path(base: str, month: str) -> str:
     return f"{base.rstrip('/')}/_markers/ym={month}/_SUCCESS"
 
