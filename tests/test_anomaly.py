@@ -123,3 +123,50 @@ def test_stored_model(spark, table, tmp_path):
 
 def test_model_names():
     assert N.model_name("count", "geo-hash 9", "HOURLY") == "anomaly_count_geo_hash_9_hourly"
+    assert N.model_name("count", "geohash9", "DAILY", 2) == "anomaly_count_geohash9_daily_p2"
+
+
+def test_a_model_for_other_settings_is_refused(spark, table, tmp_path):
+    model = N.train_anomaly(table, None, None, None, "count", "DAILY", "geohash9", precision=2)
+    N.save_model(model, str(tmp_path), "count", "geohash9", "DAILY", 2)
+    with pytest.raises(FileNotFoundError):
+        N.load_model(spark, str(tmp_path), "count", "geohash9", "DAILY")
+    with pytest.raises(ValueError, match="precision"):
+        N.detect_anomalies(table, model, None, None, None, "count", "DAILY", "geohash9")
+    with pytest.raises(ValueError, match="metric"):
+        N.detect_anomalies(table, model, None, None, None, "speed", "DAILY", "geohash9", precision=2)
+    with pytest.raises(ValueError, match="does not tell"):
+        N.detect_anomalies(table, model.drop("freq"), None, None, None, "count", "DAILY", "geohash9", precision=2)
+    stored = N.load_model(spark, str(tmp_path), "count", "geohash9", "DAILY", 2)
+    assert N.detect_anomalies(table, stored, None, None, None, "count", "DAILY", "geohash9", precision=2).count()
+    for threshold in (0, 1, 1.5):
+        with pytest.raises(ValueError):
+            N.detect_anomalies(table, stored, None, None, None, "count", "DAILY", "geohash9", threshold, 2)
+
+
+def test_nothing_is_carried_over_a_gap(spark):
+    rows = wave(24 * 6)
+    gap = [r for i, r in enumerate(rows) if i != 71]
+    model = N.fit(spark.createDataFrame(rows, SCHEMA), "HOURLY")
+    m = model.first()
+    scored = {r.ts_col: r for r in N.score(spark.createDataFrame(gap, SCHEMA), model, "HOURLY").collect()}
+    after = scored[START + dt.timedelta(hours=72)]
+    assert (after.lower_bound + after.upper_bound) / 2 == pytest.approx(m.slot_means[0])
+
+
+def test_an_outage_is_a_point_and_is_found(spark, messages):
+    rows = [
+        {"BaseDateTime": f"2024-01-{d:02d}T{h:02d}:{m:02d}:00", "MMSI": 1 + m}
+        for d in range(1, 11) for h in range(24) for m in range(10 + (h * 7 + d) % 3)
+        if (d, h) != (9, 5)
+    ]
+    table = curate(messages(*rows))
+    args = (None, "count", "HOURLY", "VesselTypeName")
+    model = N.train_anomaly(table, "2024-01-01", "2024-01-08", *args, fill=True)
+    found = N.detect_anomalies(table, model, "2024-01-09", "2024-01-10", *args, threshold=0.999, fill=True)
+    flagged = [(r.ts_col, r.value) for r in found.where("is_anomaly").collect()]
+    assert (dt.datetime(2024, 1, 9, 5), 0) in flagged and found.count() == 48
+    assert time_series(table, None, None, *args, fill=True).count() == 240
+    assert time_series(table, None, None, *args).count() == 239
+    with pytest.raises(ValueError):
+        time_series(table, None, None, None, "speed", "HOURLY", "MMSI", fill=True)

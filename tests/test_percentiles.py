@@ -61,3 +61,13 @@ def test_no_task_holds_the_values_of_a_group(spark):
     by_group = [line for line in shuffles if "_cell" not in line and ", v#" not in line]
     # By group alone travel the cell counts and the partial results only.
     assert len(by_group) == 2 and len(shuffles) > 2
+
+
+def test_counts_are_made_once(spark):
+    spark.range(200).selectExpr("string(id % 3) g", "double(id % 17) v").write.mode("overwrite").saveAsTable("percentile_rows")
+    result = percentiles(spark.table("percentile_rows"), ["g"], "v", {"p": 90}, largest="top")
+    assert result.count() == 3
+    result.collect()
+    final = plan_of(result).split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+    spark.sql("DROP TABLE percentile_rows")

@@ -57,14 +57,18 @@ def test_sample_gives_schema_and_rows(spark, messages, tmp_path, name, kind):
     assert dict(spark.table(name).dtypes)["SOG"] == "double"
 
 
-def test_given_format_wins_and_csv_is_the_default(spark, messages, tmp_path, name):
+def test_given_format_wins_and_an_unknown_one_is_refused(spark, messages, tmp_path, name):
     path = str(tmp_path / "sample.data")
     messages({"MMSI": 5}).write.json(path)
     assert publish_table(spark, name, sample=path, source_format="newline_delimited_json")["ok"]
     assert spark.table(name).first().MMSI == 5
     text = tmp_path / "plain"
     text.write_text("a,b\n1,2\n")
-    assert read_sample(spark, str(text)).first().asDict() == {"a": 1, "b": 2}
+    assert read_sample(spark, str(text), "csv").first().asDict() == {"a": 1, "b": 2}
+    for wrong in (None, "cvs"):
+        with pytest.raises(ValueError, match="not known"):
+            read_sample(spark, str(text), wrong)
+    assert not publish_table(spark, name + "_x", sample=str(text))["ok"]
 
 
 def test_nothing_to_go_by(spark, name):

@@ -30,6 +30,9 @@ select
  case when user_id % 50 = 0 then 'abc'
       else cast((user_id % 12) * 9 as varchar(20)) end as VesselType,
  case when event_id % 101 = 0 then null
+      when event_id % 103 = 0 then concat(cast((event_id*13) % 18 as varchar(20)), '.0')
+      when event_id % 107 = 0 then concat(' ', cast((event_id*13) % 18 as varchar(20)), ' ')
+      when event_id % 109 = 0 then concat(cast((event_id*13) % 18 as varchar(20)), '.7')
       else cast((event_id*13) % 18 as varchar(20)) end as Status,
  cast((user_id*31) % 500 as double) as Length,
  cast((user_id*31) % 500 as double)/6 + (user_id % 4) as Width,

@@ -138,8 +138,9 @@ def vessel_type_class(column: ColumnLike) -> Column:
 
 
 def nav_status_int(column: ColumnLike) -> Column:
-    """CUR16: integer code from text."""
-    return _c(column).try_cast("int")
+    """CUR16: integer code from text; a fraction is cut off, so ``5.0`` and ``5.7`` are 5."""
+    whole = F.regexp_extract(_c(column), S.WHOLE_NUMBER_PATTERN, 1)
+    return F.nullif(whole, F.lit("")).try_cast("int")
 
 
 def nav_status_name(code: ColumnLike, catalogue_name: ColumnLike) -> Column:

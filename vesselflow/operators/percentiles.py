@@ -44,7 +44,11 @@ def percentiles(
     flags = {f"_null{i}": F.col(g).isNull() for i, g in enumerate(group)}
     of_group = [*keys, *flags]
     counts = present.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    in_cells = counts.withColumns({**keys, **flags, "_cell": F.floor(F.col(value) / cell_width)})
+    # Stated for both uses of the counts alike: otherwise the join adds it to one of them, and
+    # Spark no longer sees that their exchanges are the same.
+    in_cells = counts.withColumns({**keys, **flags, "_cell": F.floor(F.col(value) / cell_width)}).where(
+        F.col("_cell").isNotNull()
+    )
 
     before = Window.partitionBy(*of_group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top(rows: DataFrame, by: Column, ties: Sequence[str], limit: int) -> DataFrame:
-    """OR1: the first ``limit`` rows in a full, hence repeatable, order."""
-    return rows.orderBy(by, *ties).limit(limit)
+def top(rows: DataFrame, by: Column, ties: Sequence[str], limit: int | None) -> DataFrame:
+    """OR1: the first ``limit`` rows in a full, hence repeatable, order; all with None."""
+    ordered = rows.orderBy(by, *ties)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def most_frequent(rows: DataFrame, group: Sequence[str], value: str, count: str = "count") -> DataFrame:

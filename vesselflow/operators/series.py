@@ -37,15 +37,20 @@ def time_series(
     freq: str = "HOURLY",
     id_col: str = "geohash9",
     precision: int | None = None,
+    fill: bool = False,
 ) -> DataFrame:
     """AN18: ``series_id, ts_col, value`` per id and hour or day.
 
     ``precision`` shortens a geohash id, since full cells are a few metres wide.
-    Rows with a NULL id form a series; rows without a time are left out.
+    Rows with a NULL id form a series; rows without a time are left out. ``fill`` adds
+    a 0 for each hour or day without messages, from ``start`` to ``end`` where they are
+    given, else from the first to the last point of the series.
     """
     metric, freq = checked(metric, freq)
+    if fill and metric != "count":
+        raise ValueError("only counts can be filled: there is no mean of no messages")
     series_id = F.col(id_col) if precision is None else F.substring(id_col, 1, precision)
-    return (
+    points = (
         P.within_days(messages, start, end)
         .where(P.in_list(vessel_types) & P.all_present("BaseDateTime"))
         .groupBy(
@@ -54,3 +59,16 @@ def time_series(
         )
         .agg(METRICS[metric]().alias("value"))
     )
+    return _filled(points, start, end, freq) if fill else points
+
+
+def _filled(points: DataFrame, start, end, freq: str) -> DataFrame:
+    """A row for each hour or day of every series; there is one per unit of time, not per message."""
+    unit = UNITS[freq]
+    first = F.min("ts_col") if start is None else F.lit(str(start)).cast("timestamp")
+    last = F.max("ts_col") if end is None else F.timestamp_add(unit, F.lit(-1), F.lit(str(end)).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+    known = F.map_from_entries(F.collect_list(F.struct("ts_col", "value")))
+    series = points.groupBy("series_id").agg(known.alias("_known"), first.alias("_first"), last.alias("_last"))
+    step = F.expr(f"INTERVAL 1 {unit}")
+    rows = series.select("series_id", "_known", F.explode(F.sequence("_first", "_last", step)).alias("ts_col"))
+    return rows.select("series_id", "ts_col", F.coalesce(F.col("_known")[F.col("ts_col")], F.lit(0)).alias("value"))

@@ -39,7 +39,7 @@ def draft_outliers(
     end: Day = None,
     vessel_types: Iterable | None = None,
     z_min: float = 2.0,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
 ) -> DataFrame:
     """AN1: vessels whose mean draft is far from the mean of their type."""
     per_vessel = (
@@ -69,7 +69,7 @@ def course_changes(
     mmsi: Iterable | None = None,
     min_delta: float = 45.0,
     bbox: Column | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
 ) -> DataFrame:
     """AN2: largest plain course differences to the previous message.
 
@@ -100,7 +100,7 @@ def course_changes_circular(
     min_delta: float = 45.0,
     mmsi: Iterable | None = None,
     bbox: Column | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
 ) -> DataFrame:
     """AN3: newest turns of at least ``min_delta`` degrees within ``max_dt_min`` minutes.
 
@@ -178,7 +178,7 @@ def recent_positions(
     end: Day = None,
     vessel_types: Iterable | None = None,
     mmsi: Iterable | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     additional_columns: Sequence[str] = (),
 ) -> DataFrame:
     """AN6: newest positions."""
@@ -260,7 +260,7 @@ def moving_while_stationary(
     start: Day = None,
     end: Day = None,
     sog_thr: float = 1.0,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     strict_labels: bool = False,
 ) -> DataFrame:
     """AN11: moored or anchored vessels that move, fastest first.
@@ -329,7 +329,7 @@ def unusual_speeds(
     end: Day = None,
     vessel_types: Iterable | None = None,
     percentile: int = 95,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     accuracy: int | None = None,
 ) -> DataFrame:
     """AN14: vessels whose top speed exceeds their own percentile, by the excess."""
@@ -349,7 +349,7 @@ def speeds_above_type_percentile(
     end: Day = None,
     vessel_types: Iterable | None = None,
     p: int = 95,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     accuracy: int | None = None,
 ) -> DataFrame:
     """AN15: vessels faster than the percentile ``p``/101 of their type.

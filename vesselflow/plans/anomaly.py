@@ -10,6 +10,7 @@ covered, whatever the number of messages behind it; windows per series are safe.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date
 from statistics import NormalDist
@@ -19,16 +20,25 @@ from pyspark.sql import functions as F
 
 from vesselflow.functions.stats import erf
 from vesselflow.operators.series import UNITS, checked, slot, time_series
+from vesselflow.sources.storage import list_files, path_exists, remove_tree
 
 Day = date | str | None
 PHI_LIMIT = 0.99
 
 
-def model_name(metric: str, id_col: str, freq: str) -> str:
-    """Name of a stored model; only letters and digits, the rest as underscores."""
-    parts = (metric, id_col, freq)
-    plain = ["".join(ch.lower() if ch.isalnum() else "_" for ch in part) for part in parts]
-    return "_".join(["anomaly", *plain])
+#: What a model was trained for; stored with it and compared before it is used.
+SETTINGS = ("metric", "id_col", "freq", "precision")
+
+
+def model_name(metric: str, id_col: str, freq: str, precision: int | None = None) -> str:
+    """Name of a stored model: its settings, joined by underscores."""
+    shortened = "" if precision is None else f" p{precision}"
+    return re.sub(r"\W", "_", f"anomaly {metric} {id_col} {freq}{shortened}".lower())
+
+
+def _follows(freq: str, in_time) -> Column:
+    """The row before is the hour or day before: over a gap nothing is carried."""
+    return F.timestamp_add(UNITS[freq.upper()], F.lit(1), F.lag("ts_col").over(in_time)) == F.col("ts_col")
 
 
 def fit(
@@ -54,7 +64,7 @@ def fit(
     residuals = (
         means.withColumn("mean", expected)
         .withColumn("r", F.col("value") - F.col("mean"))
-        .withColumn("prev_r", F.lag("r").over(in_time))
+        .withColumn("prev_r", F.when(_follows(freq, in_time), F.lag("r").over(in_time)))
     )
     paired_prev = F.when(F.col("r").isNotNull(), F.col("prev_r"))
     variance = F.var_pop(paired_prev).over(whole)
@@ -86,23 +96,64 @@ def train_anomaly(
     min_slot: int = 2,
     min_points: int = 1,
     precision: int | None = None,
+    fill: bool = False,
 ) -> DataFrame:
-    """AN19: coefficients per series, to be kept with :func:`save_model`."""
-    series = time_series(messages, start, end, vessel_types, metric, freq, id_col, precision)
-    return fit(series, freq, horizon, min_slot, min_points)
+    """AN19: coefficients and settings per series, to be kept with :func:`save_model`.
+
+    ``fill`` counts hours or days without messages as 0, so that an outage is a point."""
+    series = time_series(messages, start, end, vessel_types, metric, freq, id_col, precision, fill)
+    metric, freq = checked(metric, freq)
+    settings = dict(zip(SETTINGS, (metric, id_col, freq, precision), strict=True))
+    columns = {k: F.lit(v).cast("int" if k == "precision" else "string") for k, v in settings.items()}
+    return fit(series, freq, horizon, min_slot, min_points).withColumns(columns)
+
+
+def require_settings(model: DataFrame, metric: str, freq: str, id_col: str, precision: int | None) -> None:
+    """ValueError unless the model was trained for these settings."""
+    metric, freq = checked(metric, freq)
+    wanted = (metric, id_col, freq, precision)
+    missing = [c for c in SETTINGS if c not in model.columns]
+    if missing:
+        raise ValueError(f"the model does not tell its {', '.join(missing)}")
+    for row in model.select(*SETTINGS).distinct().limit(2).collect():
+        if tuple(row) != wanted:
+            raise ValueError(f"the model is for {dict(zip(SETTINGS, row))}, not {dict(zip(SETTINGS, wanted))}")
 
 
-def save_model(model: DataFrame, base: str, metric: str, id_col: str, freq: str) -> str:
-    """Store a model, replacing an older one of the same metric, id and frequency."""
+def save_model(
+    model: DataFrame, base: str, metric: str, id_col: str, freq: str, precision: int | None = None
+) -> str:
+    """Store a model in place of an older one with the same settings.
+
+    Each is a version of its own; older ones go when the new one is complete."""
     metric, freq = checked(metric, freq)
-    path = f"{base.rstrip('/')}/{model_name(metric, id_col, freq)}"
-    model.write.mode("overwrite").parquet(path)
+    path = f"{base.rstrip('/')}/{model_name(metric, id_col, freq, precision)}"
+    spark = model.sparkSession
+    older = _versions(spark, path)
+    version = (int(older[-1].rsplit("=", 1)[-1]) if older else 0) + 1
+    model.write.mode("overwrite").parquet(f"{path}/version={version:09d}")
+    for old in older:
+        remove_tree(spark, old)
     return path
 
 
-def load_model(spark: SparkSession, base: str, metric: str, id_col: str, freq: str) -> DataFrame:
+def load_model(
+    spark: SparkSession, base: str, metric: str, id_col: str, freq: str, precision: int | None = None
+) -> DataFrame:
+    """The newest complete version of a model; FileNotFoundError without one."""
     metric, freq = checked(metric, freq)
-    return spark.read.parquet(f"{base.rstrip('/')}/{model_name(metric, id_col, freq)}")
+    path = f"{base.rstrip('/')}/{model_name(metric, id_col, freq, precision)}"
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no model in {path}")
+    return spark.read.parquet(versions[-1])
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions, oldest first."""
+    if not path_exists(spark, path):
+        return []
+    return sorted(f.rsplit("/", 1)[0] for f, _ in list_files(spark, path) if f.endswith("/_SUCCESS"))
 
 
 # A NULL id is a series of its own. With these two columns it joins by plain
@@ -120,16 +171,20 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def score(series: DataFrame, model: DataFrame, freq: str, threshold: float = 0.95) -> DataFrame:
     """JN6: series points against their model; NULL where there is nothing to say.
 
-    The residual before the first point is the last one of the training range if
-    that ended earlier, else 0.
+    The residual before a point is that of the hour or day before; for the first one
+    that may be the last of the training range. Over a gap it is 0.
     """
-    known = _keyed(model).drop("series_id", "n")
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    known = _keyed(model).drop("series_id", "n", *SETTINGS)
     looked_up = _keyed(series).join(known, SERIES_KEY, "left").withColumn(
         "mean", F.coalesce(F.col("slot_means")[slot(freq)], F.col("series_mean"))
     )
     in_time = Window.partitionBy(*SERIES_KEY).orderBy("ts_col")
-    carried_over = F.when(F.col("last_ts") < F.col("ts_col"), F.col("last_residual"))
-    previous = F.coalesce(F.lag(F.col("value") - F.col("mean")).over(in_time), carried_over, F.lit(0.0))
+    next_to_training = F.timestamp_add(UNITS[freq.upper()], F.lit(1), F.col("last_ts")) == F.col("ts_col")
+    carried_over = F.when(next_to_training, F.col("last_residual"))
+    before = F.when(_follows(freq, in_time), F.lag(F.col("value") - F.col("mean")).over(in_time))
+    previous = F.coalesce(before, carried_over, F.lit(0.0))
     reach = F.timestamp_add(UNITS[freq.upper()], F.coalesce("horizon", F.lit(0)), F.col("last_ts"))
     in_reach = F.col("horizon").isNull() | (F.col("ts_col") <= reach)
     usable: Column = (F.col("sigma") > 0) & in_reach
@@ -161,8 +216,12 @@ def detect_anomalies(
     id_col: str = "geohash9",
     threshold: float = 0.95,
     precision: int | None = None,
+    fill: bool = False,
 ) -> DataFrame:
-    """AN20: points with probability and bounds, most unusual first."""
-    series = time_series(messages, start, end, vessel_types, metric, freq, id_col, precision)
+    """AN20: points with probability and bounds, most unusual first.
+
+    ValueError if the model was trained for another metric, id, frequency or precision."""
+    require_settings(model, metric, freq, id_col, precision)
+    series = time_series(messages, start, end, vessel_types, metric, freq, id_col, precision, fill)
     scored = score(series, model, freq, threshold)
     return scored.orderBy(F.col("anomaly_probability").desc_nulls_last(), "series_id", "ts_col")

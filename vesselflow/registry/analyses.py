@@ -18,7 +18,7 @@ BOX = (26.0, 48.0, -120.0, -70.0)
 IN_BOX = "LAT BETWEEN 26 AND 48 AND LON BETWEEN -120 AND -70"
 CORR = """CASE WHEN stddev_pop({x}) > 0 AND stddev_pop({y}) > 0
   THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"""
-ANGLE = """abs(((COG - prev_cog + 180.0) - 360.0 * floor((COG - prev_cog + 180.0) / 360.0)) - 180.0)"""
+ANGLE = "least(abs(COG - prev_cog), 360 - abs(COG - prev_cog))"
 
 
 def _correlation_sql(group: str, x: str, y: str, name: str, further: str = "") -> str:
@@ -35,7 +35,7 @@ def _series_sql(id_sql: str, unit: str, value: str) -> str:
       FROM curated WHERE BaseDateTime IS NOT NULL AND {DAYS} GROUP BY 1, 2)"""
 
 
-def _model_sql(slot: str, min_slot: int) -> tuple[str, ...]:
+def _model_sql(slot: str, min_slot: int, unit: str) -> tuple[str, ...]:
     """Steps of the fit, written with joins and plain aggregates."""
     return (
         f"slotted AS (SELECT *, {slot} AS slot FROM series)",
@@ -49,8 +49,9 @@ def _model_sql(slot: str, min_slot: int) -> tuple[str, ...]:
              FROM slotted s
              JOIN whole w ON w.series_id IS NOT DISTINCT FROM s.series_id
              LEFT JOIN slots m ON m.series_id IS NOT DISTINCT FROM s.series_id AND m.slot = s.slot)""",
-        """lagged AS (
-             SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY ts_col) AS prev_r FROM residuals)""",
+        f"""lagged AS (
+             SELECT a.*, b.r AS prev_r FROM residuals a LEFT JOIN residuals b
+             ON b.series_id IS NOT DISTINCT FROM a.series_id AND b.ts_col = a.ts_col - INTERVAL 1 {unit})""",
         """phis AS (
              SELECT series_id, count(value) AS n, max(ts_col) AS last_ts,
                arg_max(r, ts_col) AS last_residual,
@@ -99,8 +100,8 @@ def _train_then_detect(metric: str, freq: str, id_col: str, precision: int | Non
         model = N.train_anomaly(
             c.curated, START, END, None, metric, freq, id_col, precision=precision
         )
-        N.save_model(model, base, metric, id_col, freq)
-        stored = N.load_model(c.spark, base, metric, id_col, freq)
+        N.save_model(model, base, metric, id_col, freq, precision)
+        stored = N.load_model(c.spark, base, metric, id_col, freq, precision)
         return N.detect_anomalies(
             c.curated, stored, START, END, None, metric, freq, id_col, 0.95, precision
         )
@@ -121,16 +122,14 @@ QUERIES = {
         lambda c: A.draft_outliers(c.curated, START, END, None, 2.0, 100),
         "VesselTypeName MMSI f:avg_draft f:mu f:sd f:z",
         over_curated(
-            """SELECT vt AS VesselTypeName, MMSI, avg_draft, mu, sd, abs(avg_draft - mu) / sd AS z
-               FROM per_vessel JOIN per_type USING (vt)
-               WHERE sd > 0 AND abs(avg_draft - mu) / sd >= 2
+            """SELECT VesselTypeName, MMSI, avg_draft, mu, sd, abs(avg_draft - mu) / sd AS z
+               FROM vessels WHERE VesselTypeName IS NOT NULL AND sd > 0 AND abs(avg_draft - mu) >= 2 * sd
                ORDER BY z DESC, 1, 2 LIMIT 100""",
-            f"""per_vessel AS (
-                  SELECT VesselTypeName AS vt, MMSI, avg(Draft) AS avg_draft FROM curated
-                  WHERE Draft IS NOT NULL AND {DAYS} GROUP BY 1, 2)""",
-            """per_type AS (
-                  SELECT vt, avg(avg_draft) AS mu, stddev_samp(avg_draft) AS sd
-                  FROM per_vessel GROUP BY vt)""",
+            f"""vessels AS (
+                  SELECT VesselTypeName, MMSI, avg(Draft) AS avg_draft,
+                    avg(avg(Draft)) OVER w AS mu, stddev_samp(avg(Draft)) OVER w AS sd
+                  FROM curated WHERE Draft IS NOT NULL AND {DAYS} GROUP BY VesselTypeName, MMSI
+                  WINDOW w AS (PARTITION BY VesselTypeName))""",
         ),
     ),
     "an02_course_changes": Query(
@@ -291,14 +290,12 @@ QUERIES = {
         lambda c: A.top_status_by_weekday(c.curated),
         "VesselTypeName dow most_common_status count",
         over_curated(
-            """SELECT VesselTypeName, dow, NavStatusName AS most_common_status, n AS count FROM (
-                 SELECT *, row_number() OVER (
-                   PARTITION BY VesselTypeName, dow ORDER BY n DESC, NavStatusName) AS rn FROM counts)
-               WHERE rn = 1""",
-            """counts AS (
-                 SELECT VesselTypeName, dayname(BaseDateTime) AS dow, NavStatusName, count(*) AS n
-                 FROM curated WHERE VesselTypeName IS NOT NULL AND NavStatusName IS NOT NULL
-                 GROUP BY 1, 2, 3)""",
+            """SELECT DISTINCT VesselTypeName, dow,
+                 first_value(NavStatusName) OVER w AS most_common_status, first_value(n) OVER w AS count
+               FROM (SELECT DISTINCT VesselTypeName, dayname(BaseDateTime) AS dow, NavStatusName,
+                       count(*) OVER (PARTITION BY VesselTypeName, dayname(BaseDateTime), NavStatusName) AS n
+                     FROM curated WHERE VesselTypeName IS NOT NULL AND NavStatusName IS NOT NULL) c
+               WINDOW w AS (PARTITION BY VesselTypeName, dow ORDER BY n DESC, NavStatusName)""",
         ),
     ),
     "an18_time_series_count": Query(
@@ -318,7 +315,7 @@ QUERIES = {
             """SELECT DISTINCT m.series_id, r.slot, r.mean, m.phi, m.sigma, m.n, m.last_residual, m.last_ts
                FROM model m JOIN residuals r ON r.series_id IS NOT DISTINCT FROM m.series_id""",
             _series_sql("VesselTypeName", "day", "count(*)"),
-            *_model_sql(DAILY_SLOT, 2),
+            *_model_sql(DAILY_SLOT, 2, "DAY"),
         ),
     ),
     "an20_detect_anomalies_daily": Query(
@@ -327,7 +324,7 @@ QUERIES = {
         over_curated(
             SCORE_SELECT,
             _series_sql("VesselTypeName", "day", "count(*)"),
-            *_model_sql(DAILY_SLOT, 2),
+            *_model_sql(DAILY_SLOT, 2, "DAY"),
             *SCORED,
         ),
     ),
@@ -337,7 +334,7 @@ QUERIES = {
         over_curated(
             SCORE_SELECT,
             _series_sql("substr(geohash9, 1, 2)", "hour", "avg(SOG)"),
-            *_model_sql(HOURLY_SLOT, 2),
+            *_model_sql(HOURLY_SLOT, 2, "HOUR"),
             *SCORED,
         ),
     ),

@@ -52,11 +52,12 @@ def _of_type_mean(c):
 
 
 def _model_lookup(c):
-    """Series points with the coefficients of their series."""
+    """Series points looked up in a model that does not depend on their slot or the point before."""
     series = time_series(c.curated, None, None, None, "count", "DAILY", "VesselTypeName")
-    model = N.fit(series, "DAILY").withColumnRenamed("series_id", "_id")
-    joined = series.join(model, series.series_id.eqNullSafe(F.col("_id")), "left")
-    return joined.select("series_id", "ts_col", "value", "n", "series_mean")
+    model = N.fit(series, "DAILY", min_slot=10**9).withColumns({"phi": F.lit(0.0), "sigma": F.lit(1.0)})
+    scored = N.score(series, model, "DAILY")
+    middle = (F.col("lower_bound") + F.col("upper_bound")) / 2
+    return scored.select("series_id", "ts_col", "value", middle.alias("series_mean"))
 
 
 def _status_catalogue_join(c):
@@ -145,14 +146,14 @@ JOINS = {
         ),
     ),
     "jn3_inequality_residual": Query(
-        lambda c: A.speeds_above_type_percentile(c.curated, p=50, limit=1000),
+        lambda c: A.speeds_above_type_percentile(c.curated, p=50, limit=None),
         "VesselTypeName MMSI VesselName f:sog_max f:sog_p",
         over_curated(
             """SELECT a.VesselTypeName, a.MMSI,
                  max(struct_pack(s := SOG, name := VesselName)).name AS VesselName,
                  max(SOG) AS sog_max, sog_p
                FROM curated a JOIN p ON a.VesselTypeName = p.vt
-               WHERE a.SOG > p.sog_p GROUP BY 1, 2, sog_p ORDER BY sog_max DESC, 1, 2 LIMIT 1000""",
+               WHERE a.SOG > p.sog_p GROUP BY 1, 2, sog_p""",
             """p AS (SELECT VesselTypeName AS vt, quantile_disc(SOG, 50 / 101) AS sog_p
                  FROM curated WHERE SOG IS NOT NULL GROUP BY 1)""",
         ),
@@ -187,10 +188,10 @@ JOINS = {
     ),
     "jn6_model_lookup": Query(
         _model_lookup,
-        "series_id t:ts_col value n f:series_mean",
+        "series_id t:ts_col value f:series_mean",
         over_curated(
-            """SELECT s.series_id, s.ts_col, s.value, n, series_mean FROM series s
-               LEFT JOIN (SELECT series_id, count(*) AS n, avg(value) AS series_mean
+            """SELECT s.series_id, s.ts_col, s.value, series_mean FROM series s
+               LEFT JOIN (SELECT series_id, avg(value) AS series_mean
                           FROM series GROUP BY 1) m
                  ON m.series_id IS NOT DISTINCT FROM s.series_id""",
             """series AS (SELECT VesselTypeName AS series_id, date_trunc('day', BaseDateTime) AS ts_col,

@@ -75,7 +75,7 @@ single AS (
   ) WHERE copy = 1
 )"""
 
-STATUS_CODE = r"CASE WHEN regexp_matches(Status, '^[+-]?\d+$') THEN try_cast(Status AS INTEGER) END"
+STATUS_CODE = r"CASE WHEN regexp_matches(trim(Status), '^[+-]?\d+(\.\d*)?$') THEN try_cast(split_part(trim(Status), '.', 1) AS INTEGER) END"
 TYPE_CODE = r"CASE WHEN regexp_matches(VesselType, '^\d+$') THEN try_cast(VesselType AS INTEGER) END"
 TYPE_CLASS = """CASE
       WHEN {c} BETWEEN 20 AND 29 THEN 'WIG'

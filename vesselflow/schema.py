@@ -197,6 +197,9 @@ STATIONARY_STATUSES_STRICT = ["Moored", "At Anchor"]
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 GEOHASH_PRECISION = 9
 
+# A number as a plain cast of text to an integer reads it: blanks around it and a fraction are ignored.
+WHOLE_NUMBER_PATTERN = r"^\s*([+-]?\d+)(?:\.\d*)?\s*$"
+
 SOURCE_FORMATS = {
     "CSV": "csv",
     "PARQUET": "parquet",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -50,22 +51,25 @@ def _field(entry: dict[str, Any]) -> T.StructField:
     return T.StructField(entry["name"], data_type, nullable=mode != "REQUIRED")
 
 
+_EXTENSION = re.compile(
+    rf"\.({'|'.join(sorted(set(SOURCE_FORMATS.values())))})(?:{'|'.join(map(re.escape, COMPRESSION_SUFFIXES))})?$",
+    re.IGNORECASE,
+)
+
+
 def format_from_name(path: str) -> str | None:
-    """Source format by the extension, after one compression suffix."""
-    name = path.lower()
-    for suffix in COMPRESSION_SUFFIXES:
-        if name.endswith(suffix):
-            name = name.removesuffix(suffix)
-            break
-    for source_format in ("parquet", "json", "csv", "avro", "orc"):
-        if name.endswith("." + source_format):
-            return source_format
-    return None
+    """The format that the path's extension names, a compression suffix aside."""
+    found = _EXTENSION.search(path)
+    return found[1].lower() if found else None
 
 
 def read_sample(spark: SparkSession, path: str, source_format: str | None = None) -> DataFrame:
-    """Files of a given or guessed format, with the schema found in them; else CSV."""
-    chosen = SOURCE_FORMATS.get((source_format or "").upper()) or format_from_name(path) or "csv"
+    """Files of a given format, or of the one their name tells, with the schema found in them.
+
+    ValueError if the format is not known: bytes of any kind pass for CSV rows."""
+    chosen = SOURCE_FORMATS.get(source_format.upper()) if source_format else format_from_name(path)
+    if chosen is None:
+        raise ValueError(f"the format of {path} is not known; one of {', '.join(SOURCE_FORMATS)} is needed")
     reader = spark.read.format(chosen)
     if chosen == "csv":
         reader = reader.option("header", "true").option("inferSchema", "true")
