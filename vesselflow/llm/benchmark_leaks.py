@@ -90,25 +90,30 @@ class Embedding:
         rng = np.random.default_rng([SEED, size])
         self.size = size
         # After 1.6 steps a word few walks have passed the end, where all sequences agree.
-        self.places = np.sort(rng.integers(0, int(1.6 * size), (repeats, samples)), axis=1)
+        places = np.sort(rng.integers(0, int(1.6 * size), (repeats, samples)), axis=1)
+        # Repetitions in the order of their last place: those that are done come first.
+        self.places = places[np.argsort(places[:, -1], kind="stable")]
         self.steps = int(self.places.max()) + 1
         self.salts = rng.integers(0, 1 << 63, (self.steps, repeats), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.first = _scramble(np.arange(repeats, dtype=np.uint64) + np.uint64(size << 20) + _ODD)
 
     def signatures(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One row of signatures for each window of ``words``; past its end the word is 0."""
-        repeats = len(self.first)
-        at = np.zeros((len(starts), repeats), dtype=np.int64)
-        out = np.tile(self.first, (len(starts), 1))
-        padded = np.concatenate([words, np.zeros(1, np.uint64)])
+        n, repeats = len(starts), len(self.first)
+        windows = np.zeros((n, self.size + 1), dtype=np.uint64)
+        windows[:, :-1] = np.lib.stride_tricks.sliding_window_view(words, self.size)[starts]
+        flat = windows.ravel()
+        at = np.repeat(np.arange(n)[:, None] * (self.size + 1), repeats, axis=1)
+        out = np.tile(self.first, (n, 1))
+        done = np.searchsorted(self.places[:, -1], np.arange(self.steps))
         for step in range(self.steps):
-            inside = at < self.size
-            word = padded[np.where(inside, starts[:, None] + at, len(words))]
-            taken = (self.places == step).sum(axis=1)
-            if taken.any():
-                mixed = _scramble(out * _ODD + word)
-                out = np.where(taken > 0, mixed, out)
-            at += ((word * self.salts[step]) >> np.uint64(63)).astype(np.int64)
+            # A product with the word 0 is 0, so a walk that has reached the end stays there.
+            word = flat[at[:, done[step] :]]
+            for column in np.flatnonzero((self.places == step).any(axis=1)):
+                out[:, column] = _scramble(out[:, column] * _ODD + word[:, column - done[step]])
+            word *= self.salts[step, done[step] :]
+            word >>= np.uint64(63)
+            at[:, done[step] :] += word.view(np.int64)
         return out
 
 
@@ -362,8 +367,12 @@ def find_leaks(
             for i, (first, region, words) in enumerate(
                 zip(*(batch.column(c).to_pylist() for c in ("first", "region", "words")), strict=True)
             ):
+                inside = set(region)
+                most = allowed(len(words), similarity)
+                if sum(w not in inside for w in words) > most:
+                    continue  # each absent word costs an edit
                 edits, a, b = best_match(words, region)
-                if edits <= allowed(len(words), similarity):
+                if edits <= most:
                     rows.append((i, edits, len(words), first + a, first + b))
             places = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
