@@ -62,6 +62,16 @@ FORMATS = (
 )
 
 
+#: Long strings that are no secrets, for corpora that have few.
+ORDINARY = (
+    "internationalization notwithstanding characteristically straightforwardness responsibilities "
+    "www.example.com/index.html docs/getting-started/installation.md src/main/java/org/example/App.java "
+    "2024-01-01T00-00-00 1234567890123456 0000000000000000 one-two-three-four-five some_function_name_here "
+    "THE-QUICK-BROWN-FOX-JUMPS README-FIRST-PLEASE.txt CamelCaseClassNameForTests http-equiv-content-type "
+    "Donaudampfschifffahrtsgesellschaft anticonstitucionalmente disproportionnellement v1.2.3-beta.4-linux-x86"
+).split()
+
+
 def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big")
 
@@ -106,8 +116,36 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _shares(word: str) -> tuple[float, float, float]:
+    """Shares of digits, lower-case and upper-case letters."""
+    n = len(word)
+    return sum(map(str.isdigit, word)) / n, sum(map(str.islower, word)) / n, sum(map(str.isupper, word)) / n
+
+
+class Format:
+    """The automaton of a format, and what its examples have in common.
+
+    A merged state forgets how often it was visited, so length and shares of kinds of
+    characters have to lie in the range of the examples, with some slack."""
+
+    def __init__(self, examples: list[str]):
+        self.automaton = ProbabilisticAutomaton(examples)
+        self.least = min(self.automaton.log_likelihood(w) / (len(w) + 1) for w in examples) - SLACK
+        lengths = [len(w) for w in examples]
+        self.shortest, self.longest = 0.75 * min(lengths), 1.25 * max(lengths)
+        shares = list(zip(*map(_shares, examples), strict=True))
+        self.shares = [(min(s) - SLACK, max(s) + SLACK) for s in shares]
+
+    def accepts(self, word: str) -> bool:
+        return (
+            self.shortest <= len(word) <= self.longest
+            and all(low <= x <= high for x, (low, high) in zip(_shares(word), self.shares, strict=True))
+            and self.automaton.log_likelihood(word) / (len(word) + 1) >= self.least
+        )
+
+
 class SecretModel:
-    """Automata by format, the least accepted likelihood of each, and the background."""
+    """Formats and the background of ordinary strings."""
 
     def __init__(self, labelled: dict[str, list[str]]):
         """``labelled``: strings by kind from the corpus; ``none`` has ordinary strings."""
@@ -118,35 +156,33 @@ class SecretModel:
         assigned = [w for w in labelled.get("assign", []) if len(w) >= 16]
         if assigned:
             groups["assigned"] = assigned
-        self.formats = {}
-        for name, examples in groups.items():
-            automaton = ProbabilisticAutomaton(examples)
-            least = min(automaton.log_likelihood(w) / (len(w) + 1) for w in examples)
-            lengths = [len(w) for w in examples]
-            self.formats[name] = (automaton, least - SLACK, 0.75 * min(lengths), 1.25 * max(lengths))
+        self.formats: dict[str, Format] = {name: Format(examples) for name, examples in groups.items()}
         self._pairs: Counter = Counter()
         self._firsts: Counter = Counter()
-        for word in labelled.get("none", []):
+        self._singles: Counter = Counter()
+        # Strings that a format would take are left out, or unlabelled secrets would pass for ordinary.
+        none = [w for w in labelled.get("none", []) if not any(f.accepts(w) for f in self.formats.values())]
+        for word in (*ORDINARY, *none):
             for a, b in zip("\n" + word, word, strict=False):
                 self._pairs[a, b] += 1
                 self._firsts[a] += 1
+                self._singles[b] += 1
+        self._total = sum(self._singles.values())
 
     def background(self, word: str) -> float:
-        """Log-likelihood under character pairs of ordinary strings, with add-one smoothing."""
-        return sum(
-            math.log((self._pairs[a, b] + 1) / (self._firsts[a] + 68))
-            for a, b in zip("\n" + word, word, strict=False)
-        )
+        """Log-likelihood under character pairs of ordinary strings, smoothed by single characters."""
+        total = 0.0
+        for a, b in zip("\n" + word, word, strict=False):
+            single = (self._singles[b] + 0.5) / (self._total + 34)
+            total += math.log((self._pairs[a, b] + 5 * single) / (self._firsts[a] + 5))
+        return total
 
     def judge(self, word: str) -> tuple[str, float] | None:
         """The best accepting format and its margin over the background, if large enough."""
         best = None
-        for name, (automaton, least, shortest, longest) in self.formats.items():
-            if not shortest <= len(word) <= longest:
-                continue
-            likelihood = automaton.log_likelihood(word)
-            if likelihood / (len(word) + 1) >= least:
-                margin = likelihood - self.background(word)
+        for name, known in self.formats.items():
+            if known.accepts(word):
+                margin = known.automaton.log_likelihood(word) - self.background(word)
                 if margin >= MARGIN and (best is None or margin > best[1]):
                     best = (name, margin)
         return best
