@@ -101,7 +101,7 @@ def test_discounts_stay_between_zero_and_one():
 
 
 def test_context_without_small_counts_keeps_half_a_count():
-    scale, weight = K.context_shares(np.array([20.0]), np.zeros((1, K.LARGEST)), np.array([20.0]), np.array([0.25]), K.discounts([9, 5, 3, 2, 2, 1]))
+    scale, weight = K.context_shares(np.array([20.0]), np.zeros((1, K.LARGEST)), np.array([20.0]), np.array([0.25]), K.discounts([9, 5, 3, 2, 2, 1]), np.array([False]))
     assert 20 * scale[0] + weight[0] * 0.75 == pytest.approx(1.0)
 
 

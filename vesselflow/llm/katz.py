@@ -22,9 +22,9 @@ it occurs, so nothing is gathered by a frequent key.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +40,6 @@ CHUNK_BYTES = 8 << 20
 WORD_PART_BYTES, PAIR_PART_BYTES = 48 << 20, 8 << 20
 MOST_WORDS = 300_000
 END = b"\n"
-_WORD = re.compile(rb"[^ \t-\r]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,8 +53,10 @@ def is_held_out(key) -> bool:
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case, and the end of the text, which no word equals."""
-    return [*_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()), END]
+    """Words between ASCII white space, A-Z in lower case, and the end, which no word equals."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    tokens.append(END)
+    return tokens
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -104,28 +105,36 @@ class Words:
         return np.where(counts > 0, seen, unknown)
 
 
-def context_shares(context: np.ndarray, classes: np.ndarray, larger: np.ndarray, below: np.ndarray, d: np.ndarray):
+def context_shares(
+    context: np.ndarray, classes: np.ndarray, larger: np.ndarray, below: np.ndarray, d: np.ndarray, some: np.ndarray
+):
     """(scale of seen pairs, back-off weight) of contexts.
 
     ``classes`` counts the pairs seen 1 to LARGEST times, ``larger`` sums the other counts,
-    ``below`` sums P(w) of the words seen. A context without a small count has no discount;
-    it gives half a count to the others. One that was never seen has weight 1."""
+    ``below`` sums P(w) of the words seen, ``some`` tells whether there is a small count. A
+    context without one has no discount; it gives half a count to the others. One that was
+    never seen has weight 1. Where the sums were not asked for, only the scale has a meaning."""
     kept = (classes * (d[1 : LARGEST + 1] * np.arange(1, LARGEST + 1))).sum(axis=1) + larger
-    some = classes.sum(axis=1) > 0
     scale = np.where(some, 1 / np.maximum(context, 1), 1 / (context + 0.5))
     weight = (1 - kept * scale) / (1 - below)
     return scale, np.where(context > 0, weight, 1.0)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """Lengths, then arrays; their first bytes together, then the second ones and so on.
+
+    Most numbers are small, so most of those planes are zeros, which compress to nothing."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *planes])
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     out, at = [], 8 * len(kinds)
     for n, kind in zip(np.frombuffer(data, "<i8", len(kinds)).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
     return out
 
 
@@ -214,21 +223,15 @@ class Chunk:
         ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
-        known: dict[bytes, int] = {}
-        sizes, places = [], []
-        for i in order:
-            tokens = tokens_of(texts[i])
-            sizes.append(len(tokens))
-            for token in tokens:
-                known.setdefault(token, len(known))
-            places.append(np.fromiter(map(known.__getitem__, tokens), np.int64, count=len(tokens)))
-        self.sizes = np.array(sizes, dtype=np.int64)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, count=len(known))
+        split = [tokens_of(texts[i]) for i in order]
+        self.sizes = np.array([len(tokens) for tokens in split], dtype=np.int64)
+        distinct = list(set(chain.from_iterable(split)))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, count=len(distinct))
         ordered = np.argsort(hashes)
-        rank = np.empty(len(known), np.int64)
-        rank[ordered] = np.arange(len(known))
+        rank = dict(zip(map(distinct.__getitem__, ordered.tolist()), range(len(distinct)), strict=True))
         self.words = hashes[ordered]
-        self.tokens = rank[np.concatenate(places)] if places else np.zeros(0, np.int64)
+        total = int(self.sizes.sum())
+        self.tokens = np.fromiter(map(rank.__getitem__, chain.from_iterable(split)), np.int64, count=total)
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.context = np.concatenate([[0], self.tokens[:-1]]) if len(self.tokens) else self.tokens
         self.context[self.firsts] = len(self.words)
@@ -291,8 +294,12 @@ def _dealt_pairs(chunk: Chunk, ids: np.ndarray, counts: np.ndarray, words: Words
     h, w = all_ids[context].astype(np.uint64), all_ids[word].astype(np.uint64)
     hot = all_counts[context] * HOT_SHARE > words.tokens
     part = _part_of(_mix(_mix(h) + np.where(hot, w + np.uint64(1), np.uint64(0)) * _FACTOR), parts)
-    order = np.lexsort((word, context, part))
-    return order, part[order], context[order], word[order], training[order], place, all_ids, all_counts, hot[order]
+    # Pairs come in the order of context and word, and a stable sort keeps that within a part.
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    # Contexts that are followed by an unknown word need their weight in any case.
+    needs = np.zeros(len(all_ids), dtype=bool)
+    needs[chunk.context[ids[chunk.tokens] < 0]] = True
+    return order, part[order], context[order], word[order], training[order], place, all_ids, all_counts, hot[order], needs
 
 
 def _ask_pairs(words: Words, parts: int, kind: str):
@@ -301,7 +308,7 @@ def _ask_pairs(words: Words, parts: int, kind: str):
         if rows.num_rows:
             chunk = Chunk(rows)
             ids, counts = _word_answers(answers)
-            _, part, context, word, training, _, all_ids, all_counts, hot = _dealt_pairs(chunk, ids, counts, words, parts)
+            _, part, context, word, training, _, all_ids, all_counts, hot, needs = _dealt_pairs(chunk, ids, counts, words, parts)
             for p, a, b in _stretches(part):
                 new = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
                 followers = np.diff(np.concatenate([new, [b - a]]))
@@ -313,7 +320,7 @@ def _ask_pairs(words: Words, parts: int, kind: str):
                         _pack(
                             all_ids[heads].astype(kind),
                             followers.astype("<u4"),
-                            hot[a:b][new].astype("u1"),
+                            (hot[a:b][new] + 2 * needs[heads]).astype("u1"),
                             all_ids[word[a:b]].astype(kind),
                             training[a:b].astype("<u4"),
                             all_counts[word[a:b]].astype("<u4"),
@@ -342,9 +349,9 @@ def _tell_pairs(words: Words, kind: str):
         chunks = rows.column("chunk").to_pylist()
         own = [_unpack(d.as_py(), kind, "<u4", "u1", kind, "<u4", "<u4") for d in rows.column("data")]
         h = np.concatenate([np.repeat(o[0], o[1]) for o in own]).astype(np.int64)
-        hot = np.concatenate([np.repeat(o[2], o[1]) for o in own]).astype(bool)
+        hot = np.concatenate([np.repeat(o[2], o[1]) for o in own]) % 2 == 1
         w, training, frequency = (np.concatenate([o[i] for o in own]).astype(np.int64) for i in (3, 4, 5))
-        order = np.lexsort((w, h))
+        order = np.argsort(h.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) if kind == "<u4" else np.lexsort((w, h))
         sh, sw = h[order], w[order]
         new = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sw[1:] != sw[:-1])])
         pair = np.cumsum(new) - 1
@@ -362,12 +369,34 @@ def _tell_pairs(words: Words, kind: str):
         np.add.at(classes, (at[small], total[small] - 1), 1)
         larger = np.bincount(at, np.where(total > LARGEST, total, 0), len(context)).astype(np.int64)
         below = np.bincount(at, np.where(seen, words.probability(frequency[first]), 0.0), len(context))
+        has_small = classes.any(axis=1)
         out, begin = [], 0
         for chunk, o in zip(chunks, own, strict=True):
             n = len(o[3])
-            mine = np.searchsorted(context, o[0][o[2] == 0].astype(np.int64))
-            out.append((chunk, key[0].as_py(), _pack(counts[begin : begin + n].astype("<u4"), classes[mine].astype("<u4").ravel(), larger[mine].astype("<u4"), below[mine])))
+            told = counts[begin : begin + n]
             begin += n
+            if not len(o[0]):
+                continue
+            firsts = np.cumsum(o[1].astype(np.int64)) - o[1]
+            unseen = np.minimum.reduceat(told, firsts) == 0
+            cold = o[2] % 2 == 0
+            # Only a context with an unseen follower in this chunk needs its weight there.
+            weighted = cold & (unseen | (o[2] >= 2))
+            place = np.searchsorted(context, o[0].astype(np.int64))
+            mine = place[weighted]
+            out.append(
+                (
+                    chunk,
+                    key[0].as_py(),
+                    _pack(
+                        told.astype("<u4"),
+                        (weighted + 2 * (cold & has_small[place])).astype("u1"),
+                        classes[mine].astype("<u4").ravel(),
+                        larger[mine].astype("<u4"),
+                        below[mine],
+                    ),
+                )
+            )
         is_hot = np.zeros(len(context), bool)
         is_hot[at[hot[first]]] = True
         frequent = np.bincount(np.minimum(total, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2]
@@ -396,18 +425,22 @@ def _score(words: Words, parts: int):
         chunk = Chunk(rows)
         steps = [answers.filter(pc.equal(answers.column("step"), s)) for s in (1, 2, 3)]
         ids, counts = _word_answers(steps[0])
-        order, part, context, word, _, place, all_ids, all_counts, hot = _dealt_pairs(chunk, ids, counts, words, parts)
+        order, part, context, word, _, place, all_ids, all_counts, hot, _ = _dealt_pairs(chunk, ids, counts, words, parts)
         told = steps[1].sort_by("part").column("data")
-        own = [_unpack(d.as_py(), "<u4", "<u4", "<u4", "<f8") for d in told]
+        own = [_unpack(d.as_py(), "<u4", "u1", "<u4", "<u4", "<f8") for d in told]
         seen = np.concatenate([o[0] for o in own]).astype(np.int64) if own else np.zeros(0, np.int64)
         n = len(chunk.words) + 1
         classes, larger, below = np.zeros((n, LARGEST)), np.zeros(n), np.zeros(n)
-        # Contexts that are not hot were asked in one part each, in this order.
-        cold = np.flatnonzero(~hot & np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])) if len(context) else np.zeros(0, int)
-        heads = context[cold]
+        # Each part answered for the contexts it was asked for, in this order.
+        asked = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])) if len(context) else np.zeros(0, int)
+        discounts_here = np.ones(n, dtype=bool)
         if own:
-            classes[heads] = np.concatenate([o[1] for o in own]).reshape(-1, LARGEST)
-            larger[heads], below[heads] = (np.concatenate([o[i] for o in own]) for i in (2, 3))
+            flags = np.concatenate([o[1] for o in own])
+            cold = ~hot[asked]
+            discounts_here[context[asked[cold]]] = flags[cold] >= 2
+            heads = context[asked[flags % 2 == 1]]
+            classes[heads] = np.concatenate([o[2] for o in own]).reshape(-1, LARGEST)
+            larger[heads], below[heads] = (np.concatenate([o[i] for o in own]) for i in (3, 4))
         frequent = [0] * (LARGEST + 1)
         place_of = {int(i): k for k, i in enumerate(all_ids.tolist()) if i >= 0} if steps[2].num_rows else {}
         for entry in steps[2].column("sums").to_pylist()[0] or [] if steps[2].num_rows else []:
@@ -417,8 +450,9 @@ def _score(words: Words, parts: int):
                 k = place_of[entry["context"]]
                 classes[k] = [entry[f"n{r}"] for r in range(1, LARGEST + 1)]
                 larger[k], below[k] = entry["larger"], entry["below"]
+                discounts_here[k] = classes[k].sum() > 0
         d = discounts(frequent)
-        scale, weight = context_shares(all_counts, classes, larger, below, d)
+        scale, weight = context_shares(all_counts, classes, larger, below, d, discounts_here)
         single = words.probability(np.concatenate([counts, [0]]))
         of_pair = np.where(seen > 0, discounted(seen, d) * scale[context], weight[context] * single[word])
         by_place = np.empty(len(order))

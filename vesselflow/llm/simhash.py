@@ -16,8 +16,6 @@ its pairs.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,14 +29,14 @@ SHINGLE, MAX_DISTANCE, SEED = 4, 4, 42
 BLOCK = 4096
 #: Groups up to this size are compared in one sweep over all groups.
 SWEEP = 24
-_WORD = re.compile(rb"[^ \t-\r]+")
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter."""
     import xxhash
 
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    # Without an argument bytes are split at ASCII white space, which is what separates words here.
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype="<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
