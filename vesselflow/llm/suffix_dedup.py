@@ -189,16 +189,20 @@ def _ranked(windows: np.ndarray):
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """Lengths, then arrays; their first bytes together, then the second ones and so on.
+
+    High bytes are alike among neighbours, so most planes compress well."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *planes])
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, dtype="<i8", count=len(kinds))
     out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        dtype = np.dtype(kind)
-        out.append(np.frombuffer(data, dtype=dtype, count=n, offset=at))
-        at += n * dtype.itemsize
+    for n, kind in zip(np.frombuffer(data, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
     return out
 
 
@@ -233,7 +237,8 @@ def _parse(parts: int):
             heavy = np.flatnonzero(chunk.crowded[a:b]) + a
             first = heavy[np.concatenate([[True], chunk.key[heavy[1:]] != chunk.key[heavy[:-1]]])] if len(heavy) else heavy
             marks = np.minimum.reduceat(chunk.least[heavy], np.searchsorted(heavy, first)) if len(heavy) else np.zeros(0, np.int64)
-            payload = _pack(chunk.key[light], chunk.phrase[light], chunk.least[light], light.astype("<u4"), chunk.key[first], marks)
+            steps = np.diff(light, prepend=0).astype("<u4")
+            payload = _pack(chunk.key[light], chunk.phrase[light], chunk.least[light], steps, chunk.key[first], marks)
             out.append((p, key[0].as_py(), payload))
         return _messages(out, ["part", "chunk", "data"])
 
@@ -245,6 +250,7 @@ def _settle(key, rows):
     chunks, own = rows.column("chunk").to_pylist(), []
     for data in rows.column("data"):
         own.append(_unpack(data.as_py(), "<u8", "<u8", "<i8", "<u4", "<u8", "<i8"))
+        own[-1][3] = np.cumsum(own[-1][3], dtype=np.uint32)
     k, p, least, entry = (np.concatenate([o[i] for o in own]) for i in range(4))
     at = np.repeat(np.arange(len(own)), [len(o[0]) for o in own])
     marked = np.unique(np.concatenate([o[4] for o in own]))
