@@ -214,10 +214,18 @@ def count_words(docs: DataFrame, parts: int) -> DataFrame:
     return counted.groupBy("part").applyInArrow(add, "part bigint, n bigint, tokens bigint, frequent array<bigint>, data binary")
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Chunk:
     """Documents of a chunk as places in its sorted distinct words, and its distinct pairs."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, words_only: bool = False):
         import xxhash
 
         ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
@@ -225,13 +233,18 @@ class Chunk:
         self.ids = [ids[i] for i in order]
         split = [tokens_of(texts[i]) for i in order]
         self.sizes = np.array([len(tokens) for tokens in split], dtype=np.int64)
-        distinct = list(set(chain.from_iterable(split)))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, count=len(distinct))
+        known = dict.fromkeys(chain.from_iterable(split)) if words_only else _Numbers()
+        if not words_only:
+            numbers = map(known.__getitem__, chain.from_iterable(split))
+            met = np.fromiter(numbers, np.int64, count=int(self.sizes.sum()))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, count=len(known))
         ordered = np.argsort(hashes)
-        rank = dict(zip(map(distinct.__getitem__, ordered.tolist()), range(len(distinct)), strict=True))
         self.words = hashes[ordered]
-        total = int(self.sizes.sum())
-        self.tokens = np.fromiter(map(rank.__getitem__, chain.from_iterable(split)), np.int64, count=total)
+        if words_only:
+            return
+        rank = np.empty(len(known), np.int64)
+        rank[ordered] = np.arange(len(known))
+        self.tokens = rank[met]
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.context = np.concatenate([[0], self.tokens[:-1]]) if len(self.tokens) else self.tokens
         self.context[self.firsts] = len(self.words)
@@ -253,7 +266,7 @@ class Chunk:
 
 def _ask_words(parts: int):
     def run(key, rows):
-        words = Chunk(rows).words
+        words = Chunk(rows, words_only=True).words
         out = [(p, key[0].as_py(), _pack(words[a:b])) for p, a, b in _stretches(_part_of(words, parts))]
         return _rows(out, "part", "chunk", "data")
 
@@ -442,12 +455,13 @@ def _score(words: Words, parts: int):
             classes[heads] = np.concatenate([o[2] for o in own]).reshape(-1, LARGEST)
             larger[heads], below[heads] = (np.concatenate([o[i] for o in own]) for i in (3, 4))
         frequent = [0] * (LARGEST + 1)
-        place_of = {int(i): k for k, i in enumerate(all_ids.tolist()) if i >= 0} if steps[2].num_rows else {}
-        for entry in steps[2].column("sums").to_pylist()[0] or [] if steps[2].num_rows else []:
+        sums = (steps[2].column("sums")[0].as_py() or []) if steps[2].num_rows else []
+        by_id = np.argsort(all_ids)
+        at = np.minimum(np.searchsorted(all_ids, [e["context"] for e in sums], sorter=by_id), n - 1)
+        for entry, k in zip(sums, by_id[at].tolist(), strict=True):
             if entry["context"] == -1:
                 frequent = [entry[f"n{r}"] for r in range(1, LARGEST + 2)]
-            elif entry["context"] in place_of:
-                k = place_of[entry["context"]]
+            elif entry["context"] == all_ids[k]:
                 classes[k] = [entry[f"n{r}"] for r in range(1, LARGEST + 1)]
                 larger[k], below[k] = entry["larger"], entry["below"]
                 discounts_here[k] = classes[k].sum() > 0
