@@ -37,8 +37,8 @@ LENGTH = 50
 GRAM = 20
 #: Distinct phrases of one trigger in a chunk, and in a dictionary part, that make it crowded.
 CROWDED_HERE, CROWDED = 32, 2048
-CHUNK_BYTES = 4 << 20
-PART_BYTES = 12 << 20
+CHUNK_BYTES = 3 << 20
+PART_BYTES = 8 << 20
 #: Bytes of a phrase's row for each byte of text, measured.
 ROW_BYTES_PER_BYTE = 1.6
 SLICE = 1 << 15
