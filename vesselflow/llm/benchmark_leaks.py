@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vesselflow.llm.common import stored, table
+from vesselflow.llm.common import slices, stored, table
 
 #: Least similarity, as 1 - edits / words of the item.
 SIMILARITY = 0.8
@@ -44,7 +44,6 @@ RECALL = 0.97
 #: Bits of the bitmap of signatures, and entries of the table of word pairs.
 BITS = 1 << 23
 SLOTS = 1 << 20
-CHUNK = 1 << 22
 SEED = 20
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -337,15 +336,11 @@ def find_leaks(
 
     def scan(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         scanner = Scanner(sizes, pairs, signed, similarity, repeats)
         longs = pa.list_(pa.int64())
         for whole in batches:
-            weights = np.asarray(pc.fill_null(pc.binary_length(whole.column(1)), 0), dtype=np.int64)
-            cuts = np.flatnonzero(np.diff(np.cumsum(weights) // CHUNK)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(weights)], strict=True):
-                batch = whole.slice(a, b - a)
+            for batch in slices(whole, 1):
                 found = scanner.regions(batch.column(1).to_pylist())
                 keys = batch.column(0).take(pa.array([r[0] for r in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(

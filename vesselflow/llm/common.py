@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselflow.session import fresh_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words as runs of characters that are not ASCII white space.
-SPACED_WORD = re.compile(r"[^ \t-\r]+")
+#: Bytes of text that a task turns into Python strings at once.
+SLICE_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +36,15 @@ def lower_a_z(text: str) -> str:
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text; a null one is empty."""
     return F.coalesce(docs[column], F.lit(""))
+
+
+def slices(batch, column: int, most: int = SLICE_BYTES):
+    """Stretches of an Arrow batch with at most about so many bytes in a text column each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist()
+    for start, end in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)

@@ -21,12 +21,13 @@ import heapq
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselflow.llm.automata import ProbabilisticAutomaton
-from vesselflow.llm.common import table
+from vesselflow.llm.common import slices, table
 
 #: Labelled strings of a kind that training takes from the corpus, and of each rule-made format.
 MAX_EXAMPLES = 300
@@ -268,7 +269,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel, key: str = "doc_id", text:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("format", pa.string())]))
-        for batch in batches:
+        for batch in chain.from_iterable(slices(whole, at) for whole in batches):
             values = batch.column(at).to_pylist()
             spans = [find_spans(v, model) if v else [] for v in values]
             if replacement is None:

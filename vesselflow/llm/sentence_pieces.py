@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vesselflow.llm.common import table
+from vesselflow.llm.common import slices, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -36,9 +36,8 @@ BLANK = "▁"
 PENALTY = 10.0
 #: Words up to this length share matrices; longer ones are searched one by one.
 LONG = 192
-#: Cells of one matrix, and characters of text handled at once.
+#: Cells of one matrix.
 CELLS = 1 << 20
-CHUNK = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -328,19 +327,6 @@ class Decoder:
         return out
 
 
-def _pieces_of(batch, at: int):
-    """Slices of a batch of bounded text."""
-    import pyarrow.compute as pc
-
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
-    groups = np.cumsum(sizes) // CHUNK
-    start = 0
-    for end in [*(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(sizes)]:
-        if end > start:
-            yield batch.slice(start, end - start)
-        start = end
-
-
 def encode_pieces(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``docs`` and their ids; a null or empty text has none. No row moves.
 
@@ -354,7 +340,7 @@ def encode_pieces(docs: DataFrame, model: PieceModel, text: str = "text", ids: s
 
         encoder = Encoder(model)
         for whole in batches:
-            for batch in _pieces_of(whole, at):
+            for batch in slices(whole, at):
                 values, counts = encoder(batch.column(at).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
