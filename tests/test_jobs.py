@@ -3,9 +3,10 @@ import zipfile
 import pytest
 
 from tests.test_sources import HEADER, line
-from vesselflow.operators.quality import CountMismatch, quality_report, reconcile_counts, require_match
 from vesselflow.operators.curation import curate
+from vesselflow.operators.quality import CountMismatch, quality_report, reconcile_counts, require_match
 from vesselflow.plans.jobs import ingest_archives, run_months
+from vesselflow.sources import archives
 from vesselflow.sources.messages import add_raw_partitions, read_months, write_raw
 from vesselflow.sources.storage import marker_path, path_exists, write_marker
 
@@ -98,3 +99,40 @@ def test_quality_report(messages):
         ("curated", "lon_out_of_range"): 0, ("curated", "hour_out_of_range"): 0,
         ("curated", "duplicates_removed"): 1,
     }
+
+
+def zip_of(folder, name, rows):
+    with zipfile.ZipFile(folder / name, "w") as z:
+        z.writestr("a.csv", "\n".join([HEADER, *rows]))
+
+
+def test_times_with_a_blank_pass_the_ingest_check(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    zip_of(tmp_path / "in", "a.zip", [line(1, "2024-01-01 00:00:00"), line(2, "2024-01-01T00:00:00")])
+    result = ingest_archives(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert [(r.ymd, r.csv_rows, r.parquet_rows, r.match) for r in result] == [("2024-01-01", 2, 2, True)]
+
+
+def test_each_member_is_read_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        zip_of(tmp_path / "in", f"{k}.zip", [line(k, "2024-01-01T00:00:00")])
+    reads = spark.sparkContext.accumulator(0)
+    original = archives._member_reader
+
+    def counting(*args):
+        list_members, read_lines = original(*args)
+
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    reads.add(batch.num_rows)
+                    yield batch
+
+            return read_lines(each())
+
+        return list_members, counted
+
+    monkeypatch.setattr(archives, "_member_reader", counting)
+    ingest_archives(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert reads.value == 3

@@ -2,7 +2,8 @@
 
 The text is plain SQL that Spark and DuckDB read alike, so the same view feeds
 the queries and their checks. Every fiftieth event appears twice on purpose:
-these are the duplicates that deduplication has to find.
+these are the duplicates that deduplication has to find. Every sixth one is moved to
+the next month, so that jobs and sources have two months to keep apart.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ with e as (select * from {events} union all
            select * from {events} where event_id % 50 = 0)
 select
  366000000 + user_id as MMSI,
- replace(substring(cast(ts as varchar(64)),1,19),' ','T') as BaseDateTime,
+ replace(replace(substring(cast(ts as varchar(64)),1,19),' ','T'), '2024-01-',
+   case when event_id % 6 = 0 and substring(cast(ts as varchar(64)),9,2) <= '28'
+        then '2024-02-' else '2024-01-' end) as BaseDateTime,
  case when event_id % 97 = 0 then cast(91 as double)
       else cast(event_id*7919 % 2600 as double)/100 + 24 end as LAT,
  cast(event_id*104729 % 6000 as double)/100 - 125

@@ -15,12 +15,15 @@ ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 def correlation(x: ColumnLike, y: ColumnLike) -> Column:
     """Pearson correlation (aggregate); NULL if a side does not vary.
 
-    The built-in one raises a division error in ANSI mode for such a group.
+    The built-in one raises a division error in ANSI mode for such a group. Whether a side
+    varies is told by its least and largest value: the deviation of equal values may come
+    out a little above zero, depending on the order in which partial sums meet.
     """
     left = F.when(_c(y).isNotNull(), _c(x))
     right = F.when(_c(x).isNotNull(), _c(y))
     spread = F.stddev_pop(left) * F.stddev_pop(right)
-    return F.try_divide(F.covar_pop(left, right), F.when(spread > 0, spread))
+    varies = (F.max(left) > F.min(left)) & (F.max(right) > F.min(right))
+    return F.try_divide(F.covar_pop(left, right), F.when(varies & (spread > 0), spread))
 
 
 def erf(column: ColumnLike) -> Column:

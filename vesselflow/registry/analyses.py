@@ -16,7 +16,7 @@ START, END = "2024-01-01", "2024-01-31"
 DAYS = "BaseDateTime >= DATE '2024-01-01' AND BaseDateTime < DATE '2024-02-01'"
 BOX = (26.0, 48.0, -120.0, -70.0)
 IN_BOX = "LAT BETWEEN 26 AND 48 AND LON BETWEEN -120 AND -70"
-CORR = """CASE WHEN stddev_pop({x}) > 0 AND stddev_pop({y}) > 0
+CORR = """CASE WHEN max({x}) > min({x}) AND max({y}) > min({y})
   THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"""
 ANGLE = "least(abs(COG - prev_cog), 360 - abs(COG - prev_cog))"
 

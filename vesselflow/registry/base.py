@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vesselflow.fixture import raw_messages
 from vesselflow.operators.curation import curate
-from vesselflow.registry import files
+from vesselflow.registry import fixture_files
 from vesselflow.session import fresh_dir, use_utc
 from vesselflow.sources.messages import read_months, write_curated
 from vesselflow.sources.storage import path_exists
@@ -57,10 +57,10 @@ class Context:
         return fresh_dir(self.spark, purpose)
 
     def csv_files(self) -> str:
-        return files.write_csv(self.raw, self.fresh_dir("csv"))
+        return fixture_files.write_csv(self.raw, self.fresh_dir("csv"))
 
     def zip_files(self) -> str:
-        return files.write_archives(self.spark, self.csv_files(), self.fresh_dir("zip"))
+        return fixture_files.write_archives(self.spark, self.csv_files(), self.fresh_dir("zip"))
 
     def months(self, base: str) -> DataFrame:
         """All months of a month-partitioned folder."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vesselflow import schema as S
 from vesselflow.functions import stats
 from vesselflow.operators.tracks import with_previous
 from vesselflow.registry.base import Query
@@ -52,7 +53,7 @@ QUERIES = {
             "trimmed": F.trim("VesselName"),
             "upper": F.upper("TransceiverClass"),
             "numeric": F.col("VesselType").rlike(r"^\d+$"),
-            "placeholder": F.col("IMO").isin("IMO0000000", "0", ""),
+            "placeholder": F.col("IMO").isin(*S.IMO_PLACEHOLDERS),
         },
     ),
     "fn_date_fields": _on_curated(

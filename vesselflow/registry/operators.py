@@ -215,8 +215,8 @@ AGGREGATES = {
     "ag04_stddev": _by_type("f:sd", "stddev_samp(SOG) AS sd", lambda: F.stddev_samp("SOG").alias("sd")),
     "ag05_corr": _by_type(
         "f:corr",
-        """CASE WHEN stddev_pop(SOG) FILTER (Length IS NOT NULL) > 0
-             AND stddev_pop(Length) FILTER (SOG IS NOT NULL) > 0
+        """CASE WHEN max(SOG) FILTER (Length IS NOT NULL) > min(SOG) FILTER (Length IS NOT NULL)
+             AND max(Length) FILTER (SOG IS NOT NULL) > min(Length) FILTER (SOG IS NOT NULL)
            THEN covar_pop(SOG, Length) / (stddev_pop(SOG) FILTER (Length IS NOT NULL)
              * stddev_pop(Length) FILTER (SOG IS NOT NULL)) END AS corr""",
         lambda: stats.correlation("SOG", "Length").alias("corr"),
@@ -329,7 +329,7 @@ ORDERS = {
         "VesselTypeName n f:corr_pearson",
         over_curated(
             """SELECT VesselTypeName, count(*) AS n,
-                 CASE WHEN stddev_pop(COG) > 0 AND stddev_pop(Heading) > 0
+                 CASE WHEN max(COG) > min(COG) AND max(Heading) > min(Heading)
                  THEN covar_pop(COG, Heading) / (stddev_pop(COG) * stddev_pop(Heading)) END AS corr_pearson
                FROM curated WHERE COG IS NOT NULL AND Heading IS NOT NULL
                GROUP BY 1 ORDER BY abs(corr_pearson) DESC"""

@@ -11,7 +11,7 @@ _LOCAL_BASES: dict[str, str] = {}
 
 
 def build_session(app_name: str = "vesselflow", master: str | None = None, **conf: str) -> SparkSession:
-    """Session in UTC with adaptive execution; ``conf`` keys use ``__`` for ``.``.
+    """Session in UTC; ``conf`` keys use ``__`` for ``.``. Adaptive execution is Spark's default.
 
     The number of shuffle partitions is left to the cluster's setting, and AQE
     merges or splits them by measured size.
@@ -19,9 +19,6 @@ def build_session(app_name: str = "vesselflow", master: str | None = None, **con
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
     )
     if master:
         builder = builder.master(master)
