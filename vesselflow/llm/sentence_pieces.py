@@ -240,7 +240,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts; words met before in the task are not searched again."""
 
-    def __init__(self, model: PieceModel, most_words: int = 500_000):
+    def __init__(self, model: PieceModel, most_words: int = 300_000):
         self.model, self.most = model, most_words
         self._forget()
 

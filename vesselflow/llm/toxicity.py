@@ -104,7 +104,7 @@ class Memo(dict):
         self.lexicon, self.label = lexicon, label
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 120_000:
             self.clear()
         value = self[word] = self.lexicon.word_weight(word, self.label)
         return value
