@@ -36,9 +36,9 @@ from vesselflow.llm.common import stored, table
 LARGEST = 5
 #: At most so many contexts are hot.
 HOT_SHARE = 2000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 WORD_PART_BYTES, PAIR_PART_BYTES = 48 << 20, 8 << 20
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 END = b"\n"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
