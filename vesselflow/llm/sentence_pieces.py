@@ -25,7 +25,6 @@ from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vesselflow.llm.common import slices, table
@@ -361,8 +360,8 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, ids: str = "ids", decod
 
         decoder = Decoder(model)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
                 column = batch.column(at)
                 counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
                 made = decoder(np.asarray(column.flatten(), dtype=np.int64), counts)
@@ -372,15 +371,34 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, ids: str = "ids", decod
 
 
 def encoded_documents(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """doc_id, number of ids, the ids, and whether they decode to the whole text."""
+    """doc_id, number of ids, whether they decode to the whole text, and the ids.
+
+    Encoded and decoded in one visit, so texts and ids do not travel once more."""
     model = load_model(model_file)
-    both = decode_pieces(encode_pieces(docs.select("doc_id", "text"), model), model)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-        "ids",
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder, decoder = Encoder(model), Decoder(model)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = batch.column(1).to_pylist()
+                values, counts = encoder(texts)
+                equal = [d == (t or "") for d, t in zip(decoder(values, counts), texts, strict=True)]
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(equal), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "round_trip", "ids"])
+
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("round_trip", T.BooleanType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+        ]
     )
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
