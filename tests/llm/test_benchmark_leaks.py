@@ -90,6 +90,26 @@ def test_agreement_of_places_is_at_least_the_assumed_one():
         assert np.mean(agreed) > B.AGREEMENT
 
 
+@pytest.mark.parametrize("place", ["alone", "start", "end"])
+@pytest.mark.parametrize("lost", ["front", "back", "anywhere"])
+def test_items_that_lost_words_at_an_end_of_a_text(spark, place, lost):
+    rng = random.Random(5)
+    items, docs = [], []
+    for i in range(120):
+        words = [f"i{i}x{j}" for j in range(rng.choice([5, 10, 30, 59]))]
+        n = B.allowed(len(words))
+        gone = {"front": range(n), "back": range(len(words) - n, len(words)), "anywhere": rng.sample(range(len(words)), n)}[lost]
+        own = [w for j, w in enumerate(words) if j not in gone]
+        filler = [f"p{i}x{j}" for j in range(100)]
+        docs.append((i, " ".join({"alone": own, "start": own + filler, "end": filler + own}[place])))
+        items.append((i, " ".join(words)))
+    found = B.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert all(r.doc_id == r.item_id and r.edits == B.allowed(r.n_words) for r in found)
+    assert len(found) >= B.RECALL * len(docs)
+
+
 def test_best_match_places():
     item = [1, 2, 3, 4, 5]
     assert B.best_match(item, [9, 9, 1, 2, 3, 4, 5, 9]) == (0, 2, 7)

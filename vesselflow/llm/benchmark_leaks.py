@@ -7,7 +7,8 @@ most of what they write is equal, place by place: edit distance has become Hammi
 Sampling a few places gives a signature that close sequences share with a known chance,
 and enough repetitions, each with its own walk and places, reach the target recall.
 
-Documents are embedded in windows of the size of an item, one for each distinct size. An
+Documents are embedded in windows of the size of an item, one for each distinct size.
+Windows reach over both ends of a text by as many words as an item may lose there. An
 edit breaks at most two word pairs of an item, so a window within k edits of an item of n
 words has at least n - 1 - 2k of its pairs; a table of fixed size that tells in which sizes
 of items a pair occurs rules most windows out before any embedding, and none that counts.
@@ -47,6 +48,8 @@ SLOTS = 1 << 20
 SEED = 20
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The word in front of a text. It is not 0, where a walk would stay.
+_BEFORE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, samples: int = SAMPLES) -> int:
@@ -96,11 +99,22 @@ class Embedding:
         self.salts = rng.integers(0, 1 << 63, (self.steps, repeats), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.first = _scramble(np.arange(repeats, dtype=np.uint64) + np.uint64(size << 20) + _ODD)
 
-    def signatures(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One row of signatures for each window of ``words``; past its end the word is 0."""
+    def signatures(self, words: np.ndarray, starts: np.ndarray, begins=None, ends=None) -> np.ndarray:
+        """One row of signatures for each window of ``words``; past its end the word is 0.
+
+        Windows may reach over their text, which goes from ``begins`` to ``ends``: the word
+        behind it is 0 too, the one in front of it is ``_BEFORE``."""
         n, repeats = len(starts), len(self.first)
         windows = np.zeros((n, self.size + 1), dtype=np.uint64)
-        windows[:, :-1] = np.lib.stride_tricks.sliding_window_view(words, self.size)[starts]
+        over = np.zeros(n, dtype=bool) if begins is None else (starts < begins) | (starts + self.size > ends)
+        if not over.all():
+            windows[~over, :-1] = np.lib.stride_tricks.sliding_window_view(words, self.size)[starts[~over]]
+        if over.any():
+            at = starts[over][:, None] + np.arange(self.size)
+            own = words[np.clip(at, 0, len(words) - 1)]
+            own[at < begins[over][:, None]] = _BEFORE
+            own[at >= ends[over][:, None]] = 0
+            windows[over, :-1] = own
         flat = windows.ravel()
         at = np.repeat(np.arange(n)[:, None] * (self.size + 1), repeats, axis=1)
         out = np.tile(self.first, (n, 1))
@@ -224,28 +238,36 @@ class Scanner:
         words = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(split)), np.uint64, count=int(lengths.sum()))
         if len(words) < 2:
             return []
+        begins = ends - lengths
         masks = self.masks[slots_of(words)]
+        masks[ends[(ends > 0) & (ends < len(words))] - 1] = 0  # no pair goes from one text to the next
         known = np.flatnonzero(masks)
-        masks = masks[known]
+        masks, text = masks[known], np.searchsorted(ends, known, side="right")
         out = []
         for k, size in enumerate(self.sizes):
-            least = size - 1 - 2 * allowed(size, self.similarity)
-            own = known[masks >> np.uint64(k % 64) & np.uint64(1) == 1]
+            slack = allowed(size, self.similarity)
+            least = size - 1 - 2 * slack
+            chosen = masks >> np.uint64(k % 64) & np.uint64(1) == 1
+            own, owner = known[chosen], text[chosen]
             if len(own) < least:
                 continue
             # Any ``least`` of the pairs that lie within a window allow a range of starts.
             first, last = own[: len(own) - least + 1], own[least - 1 :]
-            close = last - first <= size - 2
-            low, high = np.maximum(last[close] - size + 2, 0), first[close]
+            close = (last - first <= size - 2) & (owner[: len(first)] == owner[least - 1 :])
+            first, last, owner = first[close], last[close], owner[: len(close)][close]
+            # An item that lost words at an end of a text is shorter than a window there, so
+            # windows reach over both ends by as many words as an item may lose.
+            low = np.maximum(last - size + 2, begins[owner] - slack)
+            high = np.minimum(first, ends[owner] - size + slack)
+            some = low <= high
+            low, high, owner = low[some], high[some], owner[some]
             if not len(low):
                 continue
-            starts = np.unique(_ranges(low, high - low + 1))
-            starts = starts[starts + size <= len(words)]
-            owner = np.searchsorted(ends, starts, side="right")
-            inside = starts + size <= ends[np.minimum(owner, len(ends) - 1)]
-            starts, owner = starts[inside], owner[inside]
-            if len(starts):
-                out += self._hits(size, words, starts, owner, ends - lengths, ends)
+            # Two texts share no place when each is moved by what windows reach over before it.
+            moved = 2 * slack * owner
+            places = np.unique(_ranges(low + moved, high - low + 1))
+            owner = np.searchsorted(ends + slack + 2 * slack * np.arange(len(ends)), places, side="right")
+            out += self._hits(size, words, places - 2 * slack * owner, owner, begins, ends)
         return out
 
     def _hits(self, size, words, starts, owner, begins, ends):
@@ -255,7 +277,7 @@ class Scanner:
         slack = allowed(size, self.similarity)
         for at in range(0, len(starts), 4096):
             s, o = starts[at : at + 4096], owner[at : at + 4096]
-            signatures = self.embeddings[size].signatures(words, s)
+            signatures = self.embeddings[size].signatures(words, s, begins[o], ends[o])
             hit = _has(self.signed, bit_of(signatures))
             some = hit.any(axis=1)
             s, o, signatures, hit = s[some], o[some], signatures[some], hit[some]
