@@ -69,6 +69,21 @@ def test_quartiles_equal_those_of_sorted_values(spark):
         assert r.n == len(own) and (r.limits.word_length.low, r.limits.word_length.high) == pytest.approx((q1 - reach, q3 + reach))
 
 
+def test_each_measure_rejects_an_outlier_that_passes_the_base_rule(spark):
+    rng = random.Random(9)
+    made = lambda n, least=4, most=6: ["".join(rng.choices("abcdefghij", k=rng.randint(least, most))) for _ in range(n)]
+    texts = {i: " ".join(made(100)) for i in range(60)}
+    texts["long"], texts["short"] = " ".join(made(100, 7, 8)), " ".join(made(100, 2, 3))
+    texts["symbols"] = " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(made(100)))
+    texts["lines"] = "\n".join([*[" ".join(made(12)) for _ in range(8)], *["next page"] * 4])
+    phrase = made(8)
+    texts["repeats"] = " ".join(made(42) + phrase + made(42) + phrase)
+    docs = spark.createDataFrame([(str(k), t, "en", "s") for k, t in texts.items()], "doc_id string, text string, lang string, source string")
+    rows = Q.judge_quality(docs).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if not r.kept} == {"long", "short", "symbols", "lines", "repeats"}
+
+
 def test_small_groups_take_the_limits_of_the_language(spark):
     rows = [(i, "en", "big", 100, False, 5.0, 0.0, 0.0, 0.0) for i in range(40)] + [(99, "en", "tiny", 100, False, 40.0, 0.0, 0.0, 0.0), (98, "xx", "y", 100, False, 5.0, 0.0, 0.0, 0.0)]
     df = measured(spark, rows)

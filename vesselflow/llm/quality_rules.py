@@ -22,10 +22,11 @@ LEAST_DOCUMENTS = 30
 #: Rank error of the summaries: one in so many documents.
 ACCURACY = 10_000
 #: Quartile distances beyond the quartile at which a document fails.
-REACH = 6.0
+REACH = 3.0
 #: Measures and the least spread that counts as one quartile distance. A sample of equal
-#: values has no spread, and then any other value would be an outlier.
-MEASURES = {"word_length": 1.0, "symbols_per_word": 0.05, "dup_line_share": 0.08, "repeat_word_share": 0.05}
+#: values has no spread, and then any other value would be an outlier. Where three quarters
+#: of a group have no repeated words, their limit has to lie below the 0.20 of the base rule.
+MEASURES = {"word_length": 0.5, "symbols_per_word": 0.05, "dup_line_share": 0.08, "repeat_word_share": 0.04}
 #: Measures that can also be too low.
 TWO_SIDED = ("word_length",)
 WINDOW = 5
