@@ -75,6 +75,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert S.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize(("here", "crowded"), [(32, 2048), (3, 4)])
+def test_rows_of_one_id_in_different_chunks(spark, monkeypatch, here, crowded):
+    for name, value in (("CHUNK_BYTES", 1000), ("CROWDED_HERE", here), ("CROWDED", crowded), ("PART_BYTES", 12_000)):
+        monkeypatch.setattr(S, name, value)
+    rows = [(k % 7, text) for k, (_, text) in enumerate(corpus(5))]
+    assert result(spark, rows) == brute(rows)
+
+
 def test_one_long_text(spark):
     rng = random.Random(0)
     long = "".join(rng.choices("abcdefgh \n", k=300_000))

@@ -273,8 +273,10 @@ def _settle(key, rows):
     crowded = ((size > CROWDED) | mark)[member]
     out = []
     fetch = np.zeros(len(k), dtype=np.uint8)
-    fetch[firsts[unsettled]] = 1
-    fetch[firsts[unsettled & crowded]] = 2
+    # Rows of one id may lie in several chunks; each has its own windows to lose.
+    which, least_here = np.cumsum(new) - 1, ~repeated
+    fetch[least_here & unsettled[which]] = 1
+    fetch[least_here & (unsettled & crowded)[which]] = 2
     told = np.flatnonzero(repeated | (fetch > 0))
     told = told[np.argsort(at[told], kind="stable")]
     for c, a, b in _by_part(at[told]):
