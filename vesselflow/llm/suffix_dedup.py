@@ -17,6 +17,10 @@ the same trigger can share a window.
 4. *Corpus order.* Answers go back to the chunks, which hold the texts: the parse places
    the windows in their documents, and covered bytes are cut out.
 
+The suffix array of the parse, which prefix-free parsing combines with that of the dictionary
+into the order of the corpus, is left out: grouping by trigger and sorting windows of fixed
+length tell the smallest id of each window, and nothing else is asked for.
+
 Nothing is compared by all pairs, and no row is sent for a repeated phrase of a chunk but
 one. A trigger with very many phrases in a chunk (the end of a line that a third of all
 documents has) sends one mark, and its windows are dealt by their own hash instead of by
