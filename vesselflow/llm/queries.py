@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from vesselflow.llm import benchmark_leaks, katz, license_templates, quality_rules, secret_formats, sentence_pieces, simhash, suffix_dedup, toxicity, url_rules
+from vesselflow.llm import (
+    benchmark_leaks,
+    katz,
+    license_templates,
+    merkle,
+    packing,
+    quality_rules,
+    secret_formats,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_rules,
+    whitening,
+)
 
 QUERIES = {
     "op1_license_scans": license_templates.op1_license_scans,
@@ -15,5 +29,8 @@ QUERIES = {
     "op8_benchmark_leaks": benchmark_leaks.op8_benchmark_leaks,
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_packing": packing.op12_packing,
+    "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op3_url_filters": url_rules.SQL}
+ORACLES = {"op3_url_filters": url_rules.SQL, "op13_merkle": merkle.SQL}
