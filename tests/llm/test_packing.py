@@ -64,27 +64,41 @@ def test_one_window_per_power_of_two_at_the_end(spark, library):
     assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
 
 
-def test_long_text_is_cut_into_stretches_with_the_same_ids(library, monkeypatch):
-    monkeypatch.setattr(packing, "STRETCH", 100)
+def test_long_text_passes_in_groups_with_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 100)
+    monkeypatch.setattr(packing, "LONG", 20)
     tokens = packing.Tokens(packing.tokenizer_file())
-    for text in [WORDS * 50, "a" * 1000, "  　 　 x" * 300, " " * 999, "<|endoftext|> a <|endoftext|>" * 50]:
-        assert [*tokens.ids(text).tolist(), packing.END_ID] == whole(library, text)
+    texts = [WORDS * 50, "a" * 1000, "  \u3000 \u3000 x" * 300, " " * 999, "<|endoftext|> a <|endoftext|>" * 50, "x <|endoftext|>, y", "été la " * 99]
+    assert [[*ids, packing.END_ID] for ids in tokens.of(texts)] == [whole(library, t) for t in texts]
 
 
 def test_ids_equal_the_library_on_any_text(library):
     tokens = packing.Tokens(packing.tokenizer_file())
     random = np.random.default_rng(5)
-    signs = [*" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 ᠎ ​   　﻿", *"ab'sd1.!é你", "\U0001f600"]
-    for _ in range(3000):
-        text = "".join(random.choice(signs, random.integers(0, 12)))
-        assert tokens.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    signs = [chr(c) for c in (32, 32, 10, 13, 9, 11, 12, 0x1C, 0x1F, 0x7F, 0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    signs += [*"ab'sdtmrevl12.!-_é你ßΩя한", "\U0001f600", "\u0301", "²", "٣", "'s", "'ll", "''", " '"]
+    texts = ["".join(random.choice(signs, random.integers(0, 14))) for _ in range(20000)]
+    for text, ids in zip(texts, tokens.of(texts), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_forgetting_words_changes_nothing(library, monkeypatch):
+def test_forgetting_words_and_equal_hashes_change_nothing(library, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     tokens = packing.Tokens(packing.tokenizer_file())
     for _ in range(3):
-        assert [*tokens.ids(WORDS).tolist(), packing.END_ID] == whole(library, WORDS)
+        assert [[*ids, packing.END_ID] for ids in tokens.of([WORDS, "", WORDS[:9]])] == [whole(library, t) for t in (WORDS, "", WORDS[:9])]
+    monkeypatch.setattr(packing, "BASE", 1)
+    alike = packing.Tokens(packing.tokenizer_file())
+    assert [[*ids, packing.END_ID] for ids in alike.of(["ab ba ac", "ba ab bb"])] == [whole(library, t) for t in ("ab ba ac", "ba ab bb")]
+
+
+def test_another_kind_of_tokenizer_sees_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, library = packing.Tokens(path), Tokenizer.from_file(path)
+    assert not tokens.cuttable
+    assert tokens.of([WORDS, "", "Ab c"]) == [library.encode(t, add_special_tokens=False).ids for t in (WORDS, "", "Ab c")]
 
 
 def test_null_and_repeated_ids(spark):

@@ -20,11 +20,11 @@ LENGTH = 2048
 #: Id behind the last token of every document.
 END_ID = 1
 PAD_ID = 0
-#: Characters of a text that are looked at at once, and words that a task remembers at most.
-STRETCH, REMEMBERED = 1 << 20, 400_000
-#: Characters that not every library takes for white space, or not for anything else; a text
-#: with one of them is not cut into words.
-UNSURE = "[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]"
+#: Bytes of words that are looked up at once, words that a task remembers at most, and bytes
+#: of a word above which it is not remembered.
+GROUP_BYTES, REMEMBERED, LONG = 1 << 20, 600_000, 1024
+#: An odd number, so it has an inverse among the numbers of 64 bits.
+BASE = 0x9E3779B97F4A7C15
 #: Partitions whose first places (16 bytes each) are sent to all executors; more are joined.
 MOST_SENT = 2_000_000
 #: Partitions that are added up in one group.
@@ -38,58 +38,187 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Tokens:
-    """Ids of texts by the ``tokenizers`` library, each different word looked up once.
+def _classes() -> np.ndarray:
+    """Letters 1, digits 2, other printable signs 3, apostrophe 4, white space 5, else 0."""
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[0x21:0x7F] = 3
+    kinds[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+    kinds[ord("0") : ord("9") + 1] = 2
+    kinds[ord("'")] = 4
+    kinds[[*range(9, 14), 32]] = 5
+    return kinds
+
+
+def _borders() -> np.ndarray:
+    """Pairs of classes (16 * left + right) between which no token of the byte-level pattern reaches.
 
-    Byte-level tokens never reach over a place between a sign that is no white space and
-    one that is, so the ids of a text are those of its words with the white space before
-    them, and very long texts pass in stretches.
+    Letters, digits and other signs make separate tokens, but an apostrophe may belong to
+    the letters behind it; white space belongs to what follows, so only its left end parts."""
+    parts = np.zeros(256, dtype=bool)
+    for left, right in [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (1, 5), (2, 5), (3, 5), (4, 5)]:
+        parts[16 * left + right] = True
+    return parts
+
+
+class Tokens:
+    """Ids of texts by the ``tokenizers`` library, each different word of a task looked up once.
+
+    Texts are cut where no token can reach over: between signs of different classes, all
+    ASCII, and before white space. So the ids of a text are those of its words one after the
+    other. Words are told apart by a rolling hash, and every occurrence is compared with the
+    word that the ids are of, byte by byte. Only words not seen before go to the library,
+    many at a time. A text with the name of a special token is one word, and so is every
+    text if the file names another way to cut than byte-level tokens do.
     """
 
     def __init__(self, path: str):
+        import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = re.compile(r"\s*\S+|\s+").findall
-        self.border = re.compile(r"\S(?=\s)").search
-        self.unsure = re.compile(UNSURE).search
-        self.known: dict[str, list[int]] = {}
-
-    def _look_up(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({w for w in words if w not in self.known})
-        for start in range(0, len(new), 5000):
-            some = new[start : start + 5000]
-            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = found.ids
-
-    def _stretches(self, text: str):
-        if len(text) <= STRETCH or self.unsure(text):
-            yield text
-            return
-        start = 0
-        while start < len(text):
-            border = self.border(text, start + STRETCH)
-            end = border.end() if border else len(text)
-            yield text[start:end]
-            start = end
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.unsure(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        arrays = []
-        for stretch in self._stretches(text):
-            words = self.words(stretch)
-            self._look_up(words)
-            known = self.known
-            found = [i for w in words for i in known[w]]
-            arrays.append(np.array(found, dtype="<u4"))
-        return arrays[0] if len(arrays) == 1 else np.concatenate(arrays)
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        before = described.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.cuttable = bool(plain and not described.get("normalizer"))
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.kinds, self.parts = _classes(), _borders()
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(GROUP_BYTES + LONG, BASE, dtype=np.uint64))
+            inverse = np.cumprod(np.full(GROUP_BYTES + LONG, pow(BASE, -1, 1 << 64), dtype=np.uint64))
+        one = np.ones(1, dtype=np.uint64)
+        self.powers, self.inverse = np.concatenate([one, powers]), np.concatenate([one, inverse])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: their hashes in order with their numbers, bytes and ids."""
+        self.hashes, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.bytes, self.byte_ends = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+        self.ids, self.id_ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def _cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ends of the words of all texts; ``ends`` are those of the texts."""
+        if not self.cuttable or not len(data):
+            return np.unique(ends)
+        kind = self.kinds[data]
+        parted = np.zeros(len(data) + 1, dtype=bool)
+        parted[1:-1] = self.parts[16 * kind[:-1] + kind[1:]]
+        # Before white space behind a letter outside of ASCII: its first byte tells that it is no
+        # white space itself, which has first bytes C2, E1, E2, E3 and EF.
+        spaces = np.flatnonzero((kind == 5)[1:] & (data[:-1] >= 0x80)) + 1
+        second, third, fourth = (np.where(spaces >= k, data[np.maximum(spaces - k, 0)], 0) for k in (2, 3, 4))
+        sure = (second >= 0xC3) & (second <= 0xDF) | (third == 0xE0) | (third >= 0xE4) & (third <= 0xEE) | (fourth >= 0xF0)
+        parted[spaces[sure]] = True
+        parted[ends] = True
+        for name in self.special:
+            self._join_whole(data, ends, parted, name)
+        return np.flatnonzero(parted)
+
+    @staticmethod
+    def _join_whole(data: np.ndarray, ends: np.ndarray, parted: np.ndarray, name: bytes) -> None:
+        """No cut inside a text that has the name of a special token."""
+        view, at = memoryview(data).tobytes(), 0
+        while (at := view.find(name, at)) >= 0:
+            text = int(np.searchsorted(ends, at, "right"))
+            start, at = int(ends[text - 1]) if text else 0, int(ends[text])
+            parted[start + 1 : at] = False
+
+    def _library_ids(self, words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        found = self._library_ids(words)
+        numbers = len(self.id_ends) - 1 + np.arange(len(words))
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), dtype=np.uint8)])
+        self.byte_ends = np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum([len(w) for w in words])])
+        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], dtype=np.uint32)])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(f) for f in found])])
+        order = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, order, hashes)
+        self.numbers = np.insert(self.numbers, order, numbers)
+
+    def _short(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie within ``data``, and their numbers of ids."""
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + 1) * self.powers[: len(data)])])
+            # The length sets apart words whose sums are alike, as far as it can.
+            hashes = (sums[starts + sizes] - sums[starts]) * self.inverse[starts] ^ sizes.astype(np.uint64)
+        different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, different)
+        new = np.ones(len(different), dtype=bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != different[inside]
+        if new.any():
+            begins, lengths = starts[first[new]].tolist(), sizes[first[new]].tolist()
+            self._learn(different[new], [data[b : b + n].tobytes() for b, n in zip(begins, lengths, strict=True)])
+            at = np.searchsorted(self.hashes, different)
+        number = self.numbers[at][which]
+        known_start = self.byte_ends[number]
+        alike = self.byte_ends[number + 1] - known_start == sizes
+        both = np.where(alike, sizes, 0)
+        shift = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+        same = data[np.repeat(starts, both) + shift] == self.bytes[np.repeat(known_start, both) + shift]
+        if not alike.all() or not same.all():
+            # Two words with one hash: such a group goes to the library word by word.
+            found = self._library_ids([data[b : b + n].tobytes() for b, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+            return np.array([i for f in found for i in f], dtype=np.uint32), np.array([len(f) for f in found], dtype=np.int64)
+        counts = self.id_ends[number + 1] - self.id_ends[number]
+        shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.ids[np.repeat(self.id_ends[number], counts) + shift], counts
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that stand one after the other in ``data``, and the ends of each text's ids."""
+        cuts = self._cuts(data, ends)
+        cuts = cuts[cuts > 0]
+        starts = np.concatenate([np.zeros(1, dtype=np.int64), cuts[:-1]])[: len(cuts)]
+        sizes = cuts - starts
+        # Long words and groups of short ones, in their order.
+        turn = np.concatenate([np.flatnonzero(sizes > LONG), [len(sizes)]]).tolist()
+        parts, counts, at = [], [], 0
+
+        def short(begin: int, end: int) -> None:
+            while begin < end:
+                stop = max(begin + 1, int(np.searchsorted(cuts[:end], starts[begin] + GROUP_BYTES, "right")))
+                low, high = int(starts[begin]), int(cuts[stop - 1])
+                ids, number = self._short(data[low:high], starts[begin:stop] - low, sizes[begin:stop])
+                parts.append(ids)
+                counts.append(number)
+                begin = stop
+
+        for long in turn:
+            short(at, long)
+            if long < len(sizes):
+                (ids,) = self._library_ids([data[starts[long] : cuts[long]].tobytes()])
+                parts.append(np.array(ids, dtype=np.uint32))
+                counts.append(np.array([len(ids)], dtype=np.int64))
+            at = long + 1
+        totals = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *counts]))])
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *parts]), totals[np.searchsorted(cuts, ends, "right")]
+
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of some texts, as lists."""
+        encoded = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+        ids, ends = self(data, np.cumsum([len(e) for e in encoded], dtype=np.int64))
+        return [part.tolist() for part in np.split(ids, ends[:-1])] if texts else []
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an Arrow text column and the ends of its texts; null is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(buffers[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.uint8)
+    return data, offsets[1:] - offsets[0]
 
 
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -111,20 +240,24 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
         tokens, part, local = Tokens(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 1):
-                arrays = [np.append(tokens.ids(t or ""), np.uint32(end_id)) for t in batch.column(1).to_pylist()]
-                counts = np.array([len(a) for a in arrays], dtype=np.int64)
-                ends = local + np.cumsum(counts)
+                found, ends = tokens(*_flat(batch.column(1)))
+                # The end id of each text goes in behind its own ids.
+                ids = np.insert(found, ends, end_id).astype(number)
+                counts = np.diff(ends, prepend=0) + 1
+                ends = np.cumsum(counts)
+                offsets = pa.py_buffer(np.concatenate([[0], ends * number.itemsize]).astype(np.int64))
+                binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, offsets, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(counts), part, dtype=np.int64)),
-                        pa.array(ends - counts),
+                        pa.array(local + ends - counts),
                         batch.column(0),
                         pa.array(counts),
-                        pa.array([a.astype(number).tobytes() for a in arrays], pa.binary()),
+                        binary.cast(pa.binary()),
                     ],
                     ["part", "local", "doc_id", "n", "ids"],
                 )
-                local = int(ends[-1])
+                local += int(ends[-1])
 
     schema = T.StructType(
         [
