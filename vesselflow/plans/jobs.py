@@ -13,7 +13,8 @@ from vesselflow.functions import cleaning
 from vesselflow.operators.curation import curate
 from vesselflow.operators.quality import reconcile_counts, require_match
 from vesselflow.session import fresh_dir
-from vesselflow.sources.archives import read_zip_lines
+from vesselflow.sources.archives import archive_members, expand_members, list_archives, read_zip_lines
+from vesselflow.sources.ledger import Ledger
 from vesselflow.sources.messages import (
     add_lineage,
     add_raw_partitions,
@@ -23,7 +24,7 @@ from vesselflow.sources.messages import (
     write_curated,
     write_raw,
 )
-from vesselflow.sources.storage import marker_path, month_path, path_exists, remove_tree, write_marker
+from vesselflow.sources.storage import list_months, marker_path, month_path, path_exists, remove_tree, write_marker
 
 
 def ingest_archives(
@@ -57,6 +58,98 @@ def ingest_archives(
     return comparison
 
 
+def _batches(archives: list, batch_bytes: int) -> list[list]:
+    """Archives in order, as many to a batch as its bytes allow, at least one."""
+    batches, size = [], 0
+    for archive in archives:
+        if not batches or size + archive.bytes > batch_bytes:
+            batches.append([])
+            size = 0
+        batches[-1].append(archive)
+        size += archive.bytes
+    return batches
+
+
+def _stage(spark: SparkSession, ledger: Ledger, batch: list, options: Mapping | None, tasks: int | None) -> None:
+    """Unpack a batch into the ledger's folder by month, then put its archives into the ledger."""
+    staged = ledger.new_batch()
+    archives = spark.createDataFrame([(a.source,) for a in batch], "source string")
+    members = archive_members(archives).where(F.lower("member").endswith(".csv"))
+    counted = members.groupBy("source").agg(F.count("*").alias("members"), F.sum("size").alias("text_bytes"))
+    found = {r.source: r for r in counted.collect()}
+    if found:
+        lines = expand_members(members, tasks, **reading(options))
+        messages = add_raw_partitions(add_lineage(parse_message_lines(lines, options)))
+        messages.write.partitionBy("ym").parquet(staged)
+    ledger.commit_batch(
+        staged,
+        bool(found),
+        [
+            {
+                "source": a.source,
+                "bytes": a.bytes,
+                "modified": a.modified,
+                "members": found[a.source].members if a.source in found else 0,
+                "text_bytes": found[a.source].text_bytes if a.source in found else 0,
+            }
+            for a in batch
+        ],
+    )
+
+
+def resume_ingest(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    ledger: str,
+    name_regex: str = r"(?i)\.zip$",
+    options: Mapping | None = None,
+    tasks: int | None = None,
+    batch_bytes: int = 256 << 30,
+    most_batches: int | None = None,
+) -> DataFrame | None:
+    """:func:`ingest_archives` for very many archives: begun again, it goes on where it stopped.
+
+    Archives are unpacked in batches of ``batch_bytes``. Each batch is staged by month below
+    ``ledger`` and then noted there in one step, with its archives, their sizes and times
+    and their members, so a run that is killed loses one batch at most, and no archive
+    that is noted is opened again. When all are staged, each month that new batches touch
+    is written to ``out`` from all batches and noted, too. Archives that arrive later join
+    the same months in a later run. At the end the rows per day are compared (VAL1).
+
+    ``most_batches`` stops after so many batches; the result is None while archives are
+    left. An archive that changed after it was staged is an error. The staged messages stay,
+    because later archives may belong to the same months, until ``Ledger(...).close()``.
+    """
+    book = Ledger(spark, ledger)
+    pending = book.pending(list_archives(spark, root, name_regex)).orderBy("source").collect()
+    batches = _batches(pending, batch_bytes)
+    for batch in batches[:most_batches]:
+        _stage(spark, book, batch, options, tasks)
+    if most_batches is not None and len(batches) > most_batches:
+        return None
+    finished = sorted(staged for staged in book.batches() if staged)
+    if not finished:
+        raise FileNotFoundError("the archives hold no CSV file")
+    published = book.published()
+    months: dict[str, list[str]] = {}
+    for staged in finished:
+        for ym in list_months(spark, staged):
+            months.setdefault(ym, []).append(staged)
+    for ym, folders in sorted(months.items()):
+        if published.get(ym) != set(folders):
+            write_raw(book.staged([month_path(folder, ym) for folder in folders]), out)
+            book.commit_month(ym, folders)
+    written = read_months(spark, out, months).withColumn(
+        "ymd", F.date_format(F.try_to_timestamp("BaseDateTime"), "yyyy-MM-dd")
+    )
+    compared = fresh_dir(spark, "compared")
+    reconcile_counts(book.staged(finished), written).coalesce(1).write.parquet(compared)
+    comparison = spark.read.parquet(compared).orderBy("ymd")
+    require_match(comparison)
+    return comparison
+
+
 @dataclass
 class MonthsOutcome:
     processed: list[str] = field(default_factory=list)

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vesselflow.sources.storage import list_files
+from vesselflow.sources.storage import list_states
 
 # What runs on executors travels by value: they need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,8 +87,8 @@ def list_archives(spark: SparkSession, root: str, name_regex: str = r"(?i)\.zip$
 
     The suffix counts in either case, and names that begin with ``_`` or ``.`` count, too.
     """
-    files = [f for f in list_files(spark, root) if f[0].lower().endswith(".zip")]
-    listed = spark.createDataFrame(files, "source string, bytes bigint")
+    files = [f for f in list_states(spark, root) if f[0].lower().endswith(".zip")]
+    listed = spark.createDataFrame(files, "source string, bytes bigint, modified bigint")
     chosen = listed.where(F.element_at(F.split("source", "/"), -1).rlike(name_regex))
     first = chosen.first()
     if first is None:
@@ -212,14 +212,16 @@ def expand_members(
 
     A member can only be unpacked from start to end, hence by one task. The member list (a
     few bytes per file, in order of size) is dealt out in turn over ``tasks`` partitions, by
-    default one for each ``BYTES_PER_TASK`` of text, so that tasks get equal shares of large
+    default one for each core, or for each ``BYTES_PER_TASK`` of text, so that tasks get equal shares of large
     and small ones. Lines are not shuffled. ``quoting`` has the quote and escape characters
     if values may have line breaks; a line is then a whole record.
     """
     sizes = members.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     if not sizes.n:
         raise FileNotFoundError("the archives hold no CSV file")
-    tasks = tasks or min(sizes.n, max(1, -(-sizes.bytes // BYTES_PER_TASK)))
+    # Few bytes still keep all cores of the session at work, as far as there are members.
+    cores = members.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or min(sizes.n, max(cores, -(-sizes.bytes // BYTES_PER_TASK)))
     turn = F.row_number().over(Window.orderBy(F.desc("size"), "source", "place")) % tasks
     _, read_lines = _member_reader(store_settings(members.sparkSession), quoting, comment)
     dealt = members.withColumn("turn", turn).repartitionByRange(tasks, "turn").drop("turn")
