@@ -103,9 +103,25 @@ def train_anomaly(
     ``fill`` counts hours or days without messages as 0, so that an outage is a point."""
     series = time_series(messages, start, end, vessel_types, metric, freq, id_col, precision, fill)
     metric, freq = checked(metric, freq)
-    settings = dict(zip(SETTINGS, (metric, id_col, freq, precision), strict=True))
-    columns = {k: F.lit(v).cast("int" if k == "precision" else "string") for k, v in settings.items()}
-    return fit(series, freq, horizon, min_slot, min_points).withColumns(columns)
+    return with_settings(fit(series, freq, horizon, min_slot, min_points), metric, id_col, freq, precision)
+
+
+def with_settings(model: DataFrame, *settings) -> DataFrame:
+    """The model with its settings as columns, whose metadata tells them without a job, also
+    after the model was stored."""
+    columns = [
+        F.lit(value).cast("int" if name == "precision" else "string").alias(name, metadata={"setting": value})
+        for name, value in zip(SETTINGS, settings, strict=True)
+    ]
+    return model.select("*", *columns)
+
+
+def _settings_of(model: DataFrame) -> list[tuple]:
+    """The settings in a model; rows are asked only if the schema does not tell."""
+    notes = [model.schema[name].metadata for name in SETTINGS]
+    if all("setting" in note for note in notes):
+        return [tuple(note["setting"] for note in notes)]
+    return [tuple(row) for row in model.select(*SETTINGS).distinct().limit(2).collect()]
 
 
 def require_settings(model: DataFrame, metric: str, freq: str, id_col: str, precision: int | None) -> None:
@@ -115,9 +131,9 @@ def require_settings(model: DataFrame, metric: str, freq: str, id_col: str, prec
     missing = [c for c in SETTINGS if c not in model.columns]
     if missing:
         raise ValueError(f"the model does not tell its {', '.join(missing)}")
-    for row in model.select(*SETTINGS).distinct().limit(2).collect():
-        if tuple(row) != wanted:
-            raise ValueError(f"the model is for {dict(zip(SETTINGS, row))}, not {dict(zip(SETTINGS, wanted))}")
+    for found in _settings_of(model):
+        if found != wanted:
+            raise ValueError(f"the model is for {dict(zip(SETTINGS, found))}, not {dict(zip(SETTINGS, wanted))}")
 
 
 def save_model(
@@ -128,13 +144,26 @@ def save_model(
     Each is a version of its own; older ones go when the new one is complete."""
     metric, freq = checked(metric, freq)
     path = f"{base.rstrip('/')}/{model_name(metric, id_col, freq, precision)}"
-    spark = model.sparkSession
+    save_version(model, path)
+    return path
+
+
+def save_version(rows: DataFrame, path: str) -> str:
+    """Write a new version of a small table and then remove the older ones; returns its folder."""
+    spark = rows.sparkSession
     older = _versions(spark, path)
     version = (int(older[-1].rsplit("=", 1)[-1]) if older else 0) + 1
-    model.write.mode("overwrite").parquet(f"{path}/version={version:09d}")
+    written = f"{path}/version={version:09d}"
+    rows.write.mode("overwrite").parquet(written)
     for old in older:
         remove_tree(spark, old)
-    return path
+    return written
+
+
+def load_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version, if there is any."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(versions[-1]) if versions else None
 
 
 def load_model(
@@ -143,10 +172,10 @@ def load_model(
     """The newest complete version of a model; FileNotFoundError without one."""
     metric, freq = checked(metric, freq)
     path = f"{base.rstrip('/')}/{model_name(metric, id_col, freq, precision)}"
-    versions = _versions(spark, path)
-    if not versions:
+    model = load_version(spark, path)
+    if model is None:
         raise FileNotFoundError(f"no model in {path}")
-    return spark.read.parquet(versions[-1])
+    return model
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
