@@ -1,7 +1,12 @@
 import math
 import random
+from random import Random
+
+import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
+from vesselflow.operators import percentiles as operator
 from vesselflow.operators.percentiles import percentiles
 
 pick = random.Random(5)
@@ -71,3 +76,46 @@ def test_counts_are_made_once(spark):
     final = plan_of(result).split("== Initial Plan ==")[0]
     assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
     spark.sql("DROP TABLE percentile_rows")
+
+
+SPREADS = {
+    "wide": lambda random: 10.0 ** random.uniform(-6, 12),
+    "narrow": lambda random: 1e6 + random.randrange(5000) * 1e-6,
+    "few": lambda random: float(random.randrange(4)),
+    "negative": lambda random: random.gauss(0, 1) * 10.0 ** random.randrange(9),
+}
+
+
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_selection_is_exact_on_any_spread(spark, accuracy):
+    random = Random(8)
+    rows = [(name, make(random)) for name, make in SPREADS.items() for _ in range(4000)]
+    rows += [(None, float(i)) for i in range(7)] + [("one", 3.0), ("void", None), ("void", float("nan")), ("nan", float("nan")), ("nan", 1.0)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    wanted = {"least": 0, "p1": 1, "half": 50, "p95": 95, "p99": 99, "most": 100}
+    found = {x.g: x for x in operator.selected_percentiles(frame, ["g"], "v", wanted, 100, "top", accuracy).collect()}
+    assert set(found) == {*SPREADS, None, "one", "nan"}
+    for name in [*SPREADS, None, "one"]:
+        values = sorted(v for g, v in rows if g == name)
+        for column, p in wanted.items():
+            assert found[name][column] == values[max(1, -(-len(values) * p // 100)) - 1], (name, column)
+        assert found[name].top == values[-1]
+    assert found["nan"].least == found["nan"].most == found["nan"].top == 1.0
+    other = {x.g: x for x in percentiles(frame.where("abs(v) < 1e6"), ["g"], "v", wanted).collect()}
+    again = {x.g: x for x in operator.selected_percentiles(frame.where("abs(v) < 1e6"), ["g"], "v", wanted).collect()}
+    assert {k: tuple(x) for k, x in other.items()} == {k: tuple(x) for k, x in again.items()}
+
+
+def test_selection_ranks_only_a_sliver(spark):
+    frame = spark.range(100_000).select(F.lit("g").alias("g"), F.rand(3).alias("v"))
+    _, counts, _ = operator._counts_in_brackets(frame, ["g"], "v", {"half": 50}, 100, 2000)
+    assert 100 < counts.count() < 1500
+    half = operator.selected_percentiles(frame, ["g"], "v", {"half": 50}, accuracy=2000).first().half
+    assert half == frame.select(F.expr("percentile_disc(0.5) within group (order by v)")).first()[0]
+
+
+def test_a_missed_bracket_is_an_error(spark, monkeypatch):
+    frame = spark.range(10_000).select(F.lit("g").alias("g"), F.rand(3).alias("v"))
+    monkeypatch.setattr(operator, "SLACK", -100)
+    with pytest.raises(Exception, match="bracket"):
+        operator.selected_percentiles(frame, ["g"], "v", {"half": 50}, accuracy=1000).collect()

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from vesselflow.functions import stats
 
+#: Rank errors of a summary by which a bracket reaches beyond the wanted share.
+SLACK = 4
+
 
 def percentiles(
     rows: DataFrame,
@@ -74,3 +77,93 @@ def percentiles(
         for name, p in wanted.items()
     ]
     return ranked.groupBy(*group).agg(*top, *exact)
+
+
+def selected_percentiles(
+    rows: DataFrame,
+    group: Sequence[str],
+    value: str,
+    wanted: Mapping[str, int],
+    parts: int = 100,
+    largest: str | None = None,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """The result of :func:`percentiles`, exact, with cells that follow the data.
+
+    A mergeable summary of each group gives, for each wanted share, two values between
+    which the answer must lie: the summary's rank error is at most ``rows / accuracy``, so
+    the values at the share less and plus a few times that bracket it. One more pass
+    counts the rows below each bracket, and only the distinct values inside it, about
+    ``2 * SLACK / accuracy`` of a group's rows, are counted and ranked. So no window sees
+    more than a sliver of a group, however the values are spread, from 1e-6 to 1e12 or all
+    within a hair. A larger ``accuracy`` makes brackets narrower and summaries larger. An
+    answer outside of its bracket would be an error, not a wrong value.
+
+    NULL and NaN do not count, a NULL group is a group, one without a value has no row.
+    """
+    brackets, counts, of_group = _counts_in_brackets(rows, group, value, wanted, parts, accuracy)
+    up_to = (
+        Window.partitionBy(*of_group, "_name")
+        .orderBy(F.col("_value").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    reached = counts.withColumn("_rank", F.sum("_n").over(up_to)).where(F.col("_rank") >= F.col("_target"))
+    missed = F.raise_error(F.lit("an answer lies outside of its bracket")).cast(rows.schema[value].dataType)
+    found = reached.groupBy(*of_group, "_name").agg(
+        F.min("_value").alias("_value"), F.count_if(F.col("_value").isNull()).alias("_below")
+    )
+    chosen = found.groupBy(*of_group).agg(
+        F.sum("_below").alias("_below"),
+        *[F.min(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in wanted],
+    )
+    sure = [
+        F.when((F.col("_below") > 0) | F.col(n).isNull(), missed).otherwise(F.col(n)).alias(n) for n in wanted
+    ]
+    top = [F.col("_most").alias(largest)] if largest else []
+    return brackets.join(chosen, of_group, "left").select(*group, *top, *sure)
+
+
+def _counts_in_brackets(rows, group, value, wanted, parts, accuracy):
+    """Per group its extremes; per group and bracket the rows below (value NULL) and the values inside."""
+    present = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    names = list(wanted)
+    # A NULL group joins by plain equality as text and flag.
+    keys = {f"_key{i}": F.coalesce(F.col(g).cast("string"), F.lit("")) for i, g in enumerate(group)}
+    flags = {f"_null{i}": F.col(g).isNull() for i, g in enumerate(group)}
+    of_group = [*keys, *flags]
+    slack = SLACK / accuracy
+    ends = [
+        end
+        for p in wanted.values()
+        for end in (max(0.0, p / parts - slack), min(1.0, p / parts + slack))
+    ]
+    brackets = present.groupBy(*group).agg(
+        F.count("*").alias("_total"),
+        F.percentile_approx(value, ends, accuracy).alias("_ends"),
+        F.min(value).alias("_least"),
+        F.max(value).alias("_most"),
+    ).withColumns({**keys, **flags})
+    # The outermost shares are bracketed by the extremes themselves.
+    low = [F.col("_least") if p * accuracy <= SLACK * parts else F.col("_ends")[2 * i] for i, p in enumerate(wanted.values())]
+    high = [
+        F.col("_most") if (parts - p) * accuracy <= SLACK * parts else F.col("_ends")[2 * i + 1]
+        for i, p in enumerate(wanted.values())
+    ]
+    target = [F.greatest(F.expr(f"(_total * {int(p)} + {parts - 1}) div {parts}"), F.lit(1)) for p in wanted.values()]
+    bounds = F.array(
+        *[
+            F.struct(F.lit(n).alias("name"), lo.alias("low"), hi.alias("high"), t.alias("target"))
+            for n, lo, hi, t in zip(names, low, high, target, strict=True)
+        ]
+    )
+    bracketed = brackets.select(*of_group, bounds.alias("_bounds"))
+    met = present.withColumns({**keys, **flags}).join(bracketed, of_group)
+    marked = met.select(
+        *of_group, F.col(value).alias("_value"), F.explode(F.filter("_bounds", lambda b: F.col(value) <= b["high"])).alias("_b")
+    )
+    # Rows below a bracket are only counted, under one value of NULL.
+    inside = F.when(F.col("_value") >= F.col("_b.low"), F.col("_value"))
+    counts = marked.groupBy(*of_group, F.col("_b.name").alias("_name"), F.col("_b.target").alias("_target"), inside.alias("_value")).agg(
+        F.count("*").alias("_n")
+    )
+    return brackets, counts, of_group
