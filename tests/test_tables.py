@@ -97,3 +97,36 @@ def test_lost_race(spark, name, monkeypatch):
 def test_format_from_name():
     names = ["a.CSV", "a.json.gz", "b.parquet", "c.orc.zst", "d.avro.bz2", "e.txt", "f.gz"]
     assert [format_from_name(n) for n in names] == ["csv", "json", "parquet", "orc", "avro", None, None]
+
+
+def test_a_table_appears_whole_or_not_at_all(spark, messages, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from vesselflow.sources import tables
+
+    rows = messages(*[{"MMSI": i} for i in range(40)]).repartition(4)
+    broken = rows.withColumn("SOG", F.when(F.col("MMSI") == 39, F.raise_error(F.lit("torn"))).otherwise(F.col("SOG")))
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(tables, "read_sample", lambda *_: broken)
+    outcome = publish_table(spark, name, sample="x")
+    assert (outcome["ok"], outcome["action"]) == (False, "failed") and "torn" in outcome["error"]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    monkeypatch.setattr(tables, "read_sample", lambda *_: rows)
+    assert publish_table(spark, name, sample="x")["action"] == "created (autodetect)"
+    assert spark.table(name).count() == 40
+    assert {t.name for t in spark.catalog.listTables()} == {*before, name}
+
+
+def test_the_first_of_two_publishers_wins(spark, messages, monkeypatch, name):
+    from vesselflow.sources import tables
+
+    rows = messages({"MMSI": 1}, {"MMSI": 2})
+    publish_table(spark, name, schema=SPEC)
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(tables, "read_sample", lambda *_: rows)
+    monkeypatch.setattr(type(spark.catalog), "tableExists", lambda self, n: False)
+    assert publish_table(spark, name, sample="x")["action"] == "none (race)"
+    assert spark.table(name).columns == ["mmsi", "names", "place", "stops"]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    quoted = f"`{name}_q`"
+    assert publish_table(spark, quoted, sample="x")["ok"] and spark.table(quoted).count() == 2

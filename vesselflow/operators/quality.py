@@ -34,6 +34,67 @@ def reconcile_counts(
     ).select("*", (F.col(left_name) == F.col(right_name)).alias("match"))
 
 
+def digest(columns: list[str]) -> Column:
+    """Aggregate: a number that tells whether two sets of rows are the same, in any order.
+
+    The sum of 64-bit hashes of whole rows, so it combines before the shuffle, and repeated
+    rows do not cancel each other. Which columns are NULL is hashed, too, as ``xxhash64``
+    passes over NULL."""
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    return F.sum(F.xxhash64(*columns, missing).cast("decimal(20,0)"))
+
+
+def reconcile_content(
+    left: DataFrame, right: DataFrame, key: str = "ymd", columns: list[str] | None = None
+) -> DataFrame:
+    """VAL1 for values: per key the rows of both sides, and whether their rows are the same.
+
+    ``columns`` (default: those that both sides have, without the key) must have the same
+    types on both sides, because a hash depends on the type; else ValueError. Each side
+    is read once and reduced to a row per key. Two different sets of rows pass as the same
+    with a chance of about 2^-64."""
+    wanted = columns or [c for c in left.columns if c in right.columns and c != key]
+    types = {c: (left.schema[c].dataType, right.schema[c].dataType) for c in wanted}
+    unlike = [c for c, (a, b) in types.items() if a != b]
+    if unlike or not wanted:
+        raise ValueError(f"columns of different types: {', '.join(unlike)}" if unlike else "no common column")
+
+    def side(rows: DataFrame, suffix: str) -> DataFrame:
+        counted = F.count("*").alias(f"{suffix}_rows")
+        return rows.groupBy(F.col(key).alias(f"_{suffix}")).agg(counted, digest(wanted).alias(f"{suffix}_digest"))
+
+    joined = side(left, "left").join(side(right, "right"), F.col("_left").eqNullSafe(F.col("_right")), "full")
+    return joined.select(
+        F.coalesce("_left", "_right").alias(key),
+        F.coalesce("left_rows", F.lit(0)).alias("left_rows"),
+        F.coalesce("right_rows", F.lit(0)).alias("right_rows"),
+        "left_digest",
+        "right_digest",
+        F.col("left_digest").eqNullSafe(F.col("right_digest")).alias("match"),
+    )
+
+
+def distinct_sketches(rows: DataFrame, columns: list[str], by: str = "ym", log_entries: int = 16) -> DataFrame:
+    """VAL2: per ``by`` the rows and a theta sketch of the distinct keys, to be kept and merged.
+
+    A sketch holds at most 2^log_entries hashes and is exact up to so many keys; beyond, the
+    relative error is about 1 / sqrt(2^log_entries). Sketches combine before the shuffle,
+    so no row moves."""
+    # The hash of all columns; NULL is a value like any other.
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    return rows.groupBy(by).agg(
+        F.count("*").alias("rows"), F.theta_sketch_agg(F.xxhash64(*columns, missing), log_entries).alias("sketch")
+    )
+
+
+def merged_distinct(sketches: DataFrame, *by: str, log_entries: int = 16) -> DataFrame:
+    """Rows and distinct keys over stored sketches, for all of them or per ``by``."""
+    return sketches.groupBy(*by).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.theta_sketch_estimate(F.theta_union_agg("sketch", log_entries)).alias("distinct_keys"),
+    )
+
+
 def require_match(comparison: DataFrame) -> None:
     """Raise if a key does not match; names up to twenty of them."""
     bad = comparison.where(~F.col("match")).limit(20).collect()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselflow import schema as S
@@ -23,6 +23,7 @@ from vesselflow.functions import stats
 from vesselflow.operators.percentiles import percentiles
 from vesselflow.operators.ranking import most_frequent, top
 from vesselflow.operators.tracks import with_previous
+from vesselflow.sources.messages import read_months
 
 Day = date | str | None
 DEFAULT_LIMIT = 100
@@ -172,6 +173,12 @@ def speed_draft_correlation(
     return result.select("VesselTypeName", "corr_pearson", "n").orderBy("corr_pearson", "VesselTypeName")
 
 
+def _positions(messages: DataFrame, start: Day, end: Day, vessel_types, mmsi) -> DataFrame:
+    return P.within_days(messages, start, end).where(
+        P.in_list(vessel_types) & P.mmsi_in(mmsi) & P.all_present("geohash9")
+    )
+
+
 def recent_positions(
     messages: DataFrame,
     start: Day = None,
@@ -182,13 +189,48 @@ def recent_positions(
     additional_columns: Sequence[str] = (),
 ) -> DataFrame:
     """AN6: newest positions."""
-    kept = P.within_days(messages, start, end).where(
-        P.in_list(vessel_types) & P.mmsi_in(mmsi) & P.all_present("geohash9")
-    )
+    kept = _positions(messages, start, end, vessel_types, mmsi)
     columns = ["MMSI", "BaseDateTime", "geohash9", "VesselTypeName", *additional_columns]
     return top(kept.select(*columns), F.desc("BaseDateTime"), ["MMSI"], limit)
 
 
+def recent_positions_by_month(
+    spark: SparkSession,
+    base: str,
+    months: Iterable[str],
+    start: Day = None,
+    end: Day = None,
+    vessel_types: Iterable | None = None,
+    mmsi: Iterable | None = None,
+    limit: int = DEFAULT_LIMIT,
+    additional_columns: Sequence[str] = (),
+) -> DataFrame:
+    """AN6 over a table of months: the newest positions, without a look at older months.
+
+    Months are read from the newest one on until ``limit`` positions are there; every
+    position of a month is newer than all of the months before. A month that has more than
+    enough is read only until the limit is reached. The result equals
+    :func:`recent_positions` over all months. A month that is missing is an error."""
+    vessel_types, mmsi = (None if v is None else list(v) for v in (vessel_types, mmsi))
+    wanted: list[str] = []
+    found = 0
+    first = None if start is None else P.as_date(start).strftime("%Y-%m")
+    last = None if end is None else P.as_date(end).strftime("%Y-%m")
+    for month in sorted(set(months), reverse=True):
+        if first and month < first or last and month > last:
+            continue
+        wanted.append(month)
+        rows = _positions(read_months(spark, base, [month]), start, end, vessel_types, mmsi)
+        found += rows.select("MMSI").limit(limit - found).count()
+        if found >= limit:
+            break
+    if not wanted:
+        raise FileNotFoundError(f"no month of {base} has these days")
+    return recent_positions(
+        read_months(spark, base, wanted), start, end, vessel_types, mmsi, limit, additional_columns
+    )
+
+
 def length_width_correlation(
     messages: DataFrame,
     start: Day = None,

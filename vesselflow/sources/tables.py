@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -76,6 +77,18 @@ def read_sample(spark: SparkSession, path: str, source_format: str | None = None
     return reader.load(path)
 
 
+def _write_then_name(spark: SparkSession, rows: DataFrame, name: str) -> None:
+    """Write a table under a name of its own and give it the final one in one step of the catalogue."""
+    closing = "`" if name.endswith("`") else ""
+    draft = f"{name.removesuffix('`')}_{uuid.uuid4().hex}{closing}"
+    try:
+        rows.write.format("parquet").mode("errorifexists").saveAsTable(draft)
+        spark.sql(f"ALTER TABLE {draft} RENAME TO {name}")
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {draft}")
+        raise
+
+
 def publish_table(
     spark: SparkSession,
     name: str,
@@ -86,7 +99,8 @@ def publish_table(
     """PUB1: create the table unless it exists, and say what was done.
 
     With a schema the table is created empty. Without one it takes schema **and**
-    rows of the sample files. Failures are reported, not raised.
+    rows of the sample files, which are written under another name first: the table
+    appears with all its rows or not at all. Failures are reported, not raised.
     """
     if not name:
         return {"ok": False, "error": "a table name is required"}
@@ -104,8 +118,7 @@ def publish_table(
                 "action": "skipped",
                 "error": "the table does not exist; give a schema or sample files",
             }
-        rows = read_sample(spark, sample, source_format)
-        rows.write.format("parquet").mode("errorifexists").saveAsTable(name)
+        _write_then_name(spark, read_sample(spark, sample, source_format), name)
         return {"ok": True, **missing, "action": "created (autodetect)", "autodetect_from": sample}
     except Exception as error:  # noqa: BLE001 - the outcome is part of the contract
         if isinstance(error, AnalysisException) and error.getCondition() == "TABLE_OR_VIEW_ALREADY_EXISTS":
