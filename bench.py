@@ -28,7 +28,7 @@ from vesselflow.session import build_session  # noqa: E402
 from vesselflow.sources.links import extract_links  # noqa: E402
 from vesselflow.sources.messages import read_months  # noqa: E402
 
-START, END = "2024-01-01", "2024-01-31"
+START, END = "2024-01-01", "2024-02-29"
 
 
 def run(df: DataFrame) -> None:
@@ -88,7 +88,7 @@ def main() -> None:
     run(context.table("events"))
 
     raw_base, curated_base = context.fresh_dir("raw"), context.fresh_dir("curated")
-    months = ["2024-01"]
+    months = ["2024-01", "2024-02"]
     times: dict[str, float] = {}
 
     def timed(name: str, work: Callable[[], object], repeats: int = 1) -> None:

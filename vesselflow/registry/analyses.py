@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vesselflow.functions import predicates as P
-from vesselflow.operators.quality import quality_report, reconcile_counts
+from vesselflow.operators.quality import (
+    distinct_sketches,
+    merged_distinct,
+    quality_report,
+    reconcile_content,
+    reconcile_counts,
+)
 from vesselflow.operators.series import time_series
 from vesselflow.plans import analyses as A
 from vesselflow.plans import anomaly as N
+from vesselflow.plans.mergeable import update_anomaly
 from vesselflow.registry.base import Query
-from vesselflow.registry.reference_sql import over_curated
+from vesselflow.registry.reference_sql import over_curated, over_raw
+from vesselflow.sources.messages import add_raw_partitions, write_raw
 
-START, END = "2024-01-01", "2024-01-31"
-DAYS = "BaseDateTime >= DATE '2024-01-01' AND BaseDateTime < DATE '2024-02-01'"
+# Both months of the messages.
+START, END = "2024-01-01", "2024-02-29"
+DAYS = "BaseDateTime >= DATE '2024-01-01' AND BaseDateTime < DATE '2024-03-01'"
 BOX = (26.0, 48.0, -120.0, -70.0)
 IN_BOX = "LAT BETWEEN 26 AND 48 AND LON BETWEEN -120 AND -70"
 CORR = """CASE WHEN max({x}) > min({x}) AND max({y}) > min({y})
@@ -114,6 +123,44 @@ def _model_slots(c):
     return model.select("*", F.explode("slot_means").alias("slot", "mean"))
 
 
+def _updated_model_slots(c):
+    """The model of January, stored and then updated with February alone."""
+    base, settings = c.fresh_dir("models"), {"metric": "count", "freq": "DAILY", "id_col": "VesselTypeName"}
+    update_anomaly(c.spark, base, c.curated, START, "2024-01-31", **settings)
+    model = update_anomaly(c.spark, base, c.curated, "2024-02-01", END, **settings)
+    return model.select("*", F.explode("slot_means").alias("slot", "mean"))
+
+
+MODEL_SLOTS_SQL = """SELECT DISTINCT m.series_id, r.slot, r.mean, m.phi, m.sigma, m.n, m.last_residual, m.last_ts
+   FROM model m JOIN residuals r ON r.series_id IS NOT DISTINCT FROM m.series_id"""
+def _recent_by_month(c):
+    months = [r.ym for r in c.raw_months().collect()]
+    return A.recent_positions_by_month(
+        c.spark, c.curated_base, months, START, END, None, None, 100, ["SOG", "NavStatusName"]
+    )
+
+
+def _content_check(c):
+    """Messages against their written copy, in which the speeds of one vessel were raised."""
+    out, messages = c.fresh_dir("raw"), add_raw_partitions(c.raw)
+    speed = F.when(F.col("MMSI") == 366000003, F.col("SOG") + 1).otherwise(F.col("SOG"))
+    write_raw(messages.withColumn("SOG", speed), out)
+    return reconcile_content(messages, c.months(out), "ymd")
+
+
+def _sketched_keys(c):
+    """Stored sketches of the months, merged; the estimate is compared with the exact number."""
+    path, keys = c.fresh_dir("sketches"), ["MMSI", "BaseDateTime"]
+    distinct_sketches(c.curated, keys).write.parquet(path)
+    sketches = c.spark.read.parquet(path)
+    per_month = merged_distinct(sketches, "ym")
+    whole = merged_distinct(sketches).select(F.lit("all").alias("ym"), "*")
+    twice = c.curated.select(F.explode(F.array("ym", F.lit("all"))).alias("ym"), *keys)
+    exact = twice.groupBy("ym").agg(F.countDistinct(*keys).alias("exact"))
+    met = per_month.unionByName(whole).join(exact, "ym")
+    return met.withColumn("close", F.abs(F.col("distinct_keys") - F.col("exact")) <= 0.03 * F.col("exact"))
+
+
 HOURLY_SLOT = "CAST(hour(ts_col) AS INTEGER)"
 DAILY_SLOT = "CAST(isodow(ts_col) - 1 AS INTEGER)"
 
@@ -184,6 +231,15 @@ QUERIES = {
                 ORDER BY BaseDateTime DESC, MMSI LIMIT 100"""
         ),
     ),
+    "an06_recent_positions_by_month": Query(
+        _recent_by_month,
+        "MMSI t:BaseDateTime geohash9 VesselTypeName f:SOG NavStatusName",
+        over_curated(
+            f"""SELECT MMSI, BaseDateTime, geohash9, VesselTypeName, SOG, NavStatusName
+                FROM curated WHERE geohash9 IS NOT NULL AND {DAYS}
+                ORDER BY BaseDateTime DESC, MMSI LIMIT 100"""
+        ),
+    ),
     "an07_length_width_correlation": Query(
         lambda c: A.length_width_correlation(c.curated, START, END, None, 50),
         "VesselTypeClass n f:corr_len_width",
@@ -312,10 +368,14 @@ QUERIES = {
         _model_slots,
         MODEL_SHAPE,
         over_curated(
-            """SELECT DISTINCT m.series_id, r.slot, r.mean, m.phi, m.sigma, m.n, m.last_residual, m.last_ts
-               FROM model m JOIN residuals r ON r.series_id IS NOT DISTINCT FROM m.series_id""",
-            _series_sql("VesselTypeName", "day", "count(*)"),
-            *_model_sql(DAILY_SLOT, 2, "DAY"),
+            MODEL_SLOTS_SQL, _series_sql("VesselTypeName", "day", "count(*)"), *_model_sql(DAILY_SLOT, 2, "DAY")
+        ),
+    ),
+    "an19_updated_anomaly": Query(
+        _updated_model_slots,
+        MODEL_SHAPE,
+        over_curated(
+            MODEL_SLOTS_SQL, _series_sql("VesselTypeName", "day", "count(*)"), *_model_sql(DAILY_SLOT, 2, "DAY")
         ),
     ),
     "an20_detect_anomalies_daily": Query(
@@ -352,6 +412,22 @@ QUERIES = {
                           FROM curated GROUP BY 1) r ON l.ymd = r.ymd"""
         ),
     ),
+    "val1_content_check": Query(
+        _content_check,
+        "ymd left_rows right_rows match",
+        over_raw(
+            """SELECT substr(BaseDateTime, 1, 10) AS ymd, count(*) AS left_rows, count(*) AS right_rows,
+                 count(*) FILTER (MMSI = 366000003 AND SOG IS NOT NULL) = 0 AS match FROM raw GROUP BY 1"""
+        ),
+    ),
+    "val2_distinct_sketches": Query(
+        _sketched_keys,
+        "ym rows close",
+        over_curated(
+            """SELECT ym, count(*) AS rows, true AS close
+               FROM (SELECT ym FROM curated UNION ALL SELECT 'all' FROM curated) GROUP BY 1"""
+        ),
+    ),
     "val2_quality_report": Query(
         lambda c: quality_report(c.raw, c.curated),
         "stage metric f:value",

@@ -46,12 +46,17 @@ class Context:
     @cached_property
     def curated(self) -> DataFrame:
         """The curated table, written once per session by month, as analyses read it."""
+        return self.spark.read.parquet(self.curated_base).withColumn("ym", F.col("ym").cast("string"))
+
+    @cached_property
+    def curated_base(self) -> str:
+        """The folder of that table."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _CURATED_TABLES or not path_exists(self.spark, _CURATED_TABLES[key]):
             path = fresh_dir(self.spark, "curated")
             write_curated(curate(self.raw), path)
             _CURATED_TABLES[key] = path
-        return self.spark.read.parquet(_CURATED_TABLES[key]).withColumn("ym", F.col("ym").cast("string"))
+        return _CURATED_TABLES[key]
 
     def fresh_dir(self, purpose: str) -> str:
         return fresh_dir(self.spark, purpose)

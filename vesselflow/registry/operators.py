@@ -11,7 +11,7 @@ from vesselflow.functions import cleaning as rule
 from vesselflow.functions import predicates as P
 from vesselflow.functions import stats
 from vesselflow.operators.lookups import with_status_name
-from vesselflow.operators.percentiles import percentiles
+from vesselflow.operators.percentiles import percentiles, selected_percentiles
 from vesselflow.operators.quality import reconcile_counts
 from vesselflow.operators.ranking import most_frequent, top
 from vesselflow.operators.series import time_series
@@ -236,6 +236,17 @@ AGGREGATES = {
             + " FROM curated GROUP BY 1"
         ),
     ),
+    "ag08_percentile_selected": Query(
+        lambda c: selected_percentiles(
+            c.curated, ["VesselTypeName"], "SOG", {f"p{p}": p for p in (0, 25, 50, 90, 100)}, accuracy=200
+        ),
+        "VesselTypeName f:p0 f:p25 f:p50 f:p90 f:p100",
+        over_curated(
+            "SELECT VesselTypeName, "
+            + ", ".join(f"quantile_disc(SOG, {p / 100}) AS p{p}" for p in (0, 25, 50, 90, 100))
+            + " FROM curated WHERE SOG IS NOT NULL GROUP BY 1"
+        ),
+    ),
     "ag09_percentile_101": Query(
         lambda c: percentiles(c.curated, ["VesselTypeName"], "SOG", {"p25": 25, "p90": 90}, 101),
         "VesselTypeName f:p25 f:p90",

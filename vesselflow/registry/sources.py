@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesselflow.operators.ranking import distinct_values
-from vesselflow.plans.jobs import ingest_archives, run_months
+from vesselflow.plans.jobs import ingest_archives, resume_ingest, run_months
 from vesselflow.registry.base import Context, Query
 from vesselflow.registry.reference_sql import over_curated, over_raw
 from vesselflow.schema import CURATED_COLUMNS
 from vesselflow.sources.archives import list_archives, member_counts, read_zip_lines
+from vesselflow.sources.layout import in_clustered_box, write_clustered
 from vesselflow.sources.links import extract_links
 from vesselflow.sources.manifest import pending_files
 from vesselflow.sources.messages import (
@@ -83,6 +84,12 @@ def _write_curated(c: Context) -> DataFrame:
     return c.months(out)
 
 
+def _write_curated_even(c: Context) -> DataFrame:
+    out = c.fresh_dir("curated")
+    write_curated(c.curated.select(*CURATED_COLUMNS), out, file_bytes=4 << 20)
+    return c.months(out)
+
+
 def _job(c: Context) -> DataFrame:
     source, out = _written_raw(c), c.fresh_dir("curated")
     months = [r.ym for r in c.raw_months().collect()]
@@ -99,6 +106,34 @@ def _ingest(c: Context) -> DataFrame:
     return ingest_archives(c.spark, c.zip_files(), c.fresh_dir("raw"))
 
 
+def _resumed_ingest(c: Context) -> DataFrame:
+    """Stopped after the first batch of archives and begun again."""
+    root, out, ledger = c.zip_files(), c.fresh_dir("raw"), c.fresh_dir("ledger")
+    size = max(1, sum(r.bytes for r in list_archives(c.spark, root).collect()) // 3)
+    if resume_ingest(c.spark, root, out, ledger, batch_bytes=size, most_batches=1) is not None:
+        raise RuntimeError("all archives were in the first batch")
+    return resume_ingest(c.spark, root, out, ledger, batch_bytes=size)
+
+
+def _clustered_box(c: Context) -> DataFrame:
+    out = c.fresh_dir("clustered")
+    write_clustered(c.curated.select(*CURATED_COLUMNS), out)
+    return c.months(out).where(in_clustered_box(30, 45, -110, -80))
+
+
+def _zip_options(c: Context) -> DataFrame:
+    """Archives with other CSV options: a comment sign, a text for null, no blanks around values."""
+    options = {
+        "header": True,
+        "ignoreLeadingWhiteSpace": True,
+        "ignoreTrailingWhiteSpace": True,
+        "nullValue": "IMO0000000",
+        "comment": "#",
+    }
+    lines = read_zip_lines(c.spark, c.zip_files(), r"^AIS_.*\.zip$", comment="#")
+    return parse_message_lines(lines, options)
+
+
 def _publish(c: Context) -> DataFrame:
     sample = _written_raw(c)
     name = f"published_{uuid.uuid4().hex}"
@@ -163,6 +198,15 @@ QUERIES = {
         MESSAGE_SHAPE,
         _FROM_CSV,
     ),
+    "src02_zip_options": Query(
+        _zip_options,
+        MESSAGE_SHAPE,
+        over_raw(
+            """SELECT * REPLACE (trim(VesselName) AS VesselName, trim(CallSign) AS CallSign, trim(Status) AS Status,
+                 trim(TransceiverClass) AS TransceiverClass,
+                 nullif(trim(IMO), 'IMO0000000') AS IMO) FROM raw"""
+        ),
+    ),
     "src03_lineage": Query(
         _lineage,
         "MMSI BaseDateTime from_csv stamped",
@@ -193,6 +237,7 @@ QUERIES = {
         ),
     ),
     "snk02_write_curated": Query(_write_curated, CURATED_SHAPE, over_curated("SELECT * FROM curated")),
+    "snk02_even_files": Query(_write_curated_even, CURATED_SHAPE, over_curated("SELECT * FROM curated")),
     "job1_run_months": Query(_job, CURATED_SHAPE, over_curated("SELECT * FROM curated")),
     "job1_ingest_archives": Query(
         _ingest,
@@ -202,6 +247,19 @@ QUERIES = {
                count(*) AS parquet_rows, true AS match FROM raw GROUP BY 1"""
         ),
     ),
+    "job1_resume_ingest": Query(
+        _resumed_ingest,
+        "ymd csv_rows parquet_rows match",
+        over_raw(
+            """SELECT substr(BaseDateTime, 1, 10) AS ymd, count(*) AS csv_rows,
+               count(*) AS parquet_rows, true AS match FROM raw GROUP BY 1"""
+        ),
+    ),
+    "flt04_clustered_box": Query(
+        _clustered_box,
+        CURATED_SHAPE,
+        over_curated("SELECT * FROM curated WHERE LAT BETWEEN 30 AND 45 AND LON BETWEEN -110 AND -80"),
+    ),
     "pub1_publish_table": Query(
         _publish,
         "MMSI n f:sog",
