@@ -87,7 +87,18 @@ def test_optional_and_replaceable_wording_of_known_licenses():
         words = L.words_of(text)
         return {automata[k].label for k, _, _ in L.scan_words(words, automata)}
 
-    assert labels("Licensed under CC BY-NC-SA 4.0.") == {"cc-by", "cc-by-nc"}
+    assert labels("Licensed under CC BY-NC-SA 4.0.") == {"cc-by", "cc-by-nc-sa"}
+    assert labels("It is CC BY-NC") == {"cc-by", "cc-by-nc"} and labels("CC BY 4.0") == {"cc-by"}
+    assert labels("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 License") == {"cc-by-nc-sa"}
+    assert labels("a Creative Commons Attribution 4.0 International License") == {"cc-by"}
+    under = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, version 3 of the License"
+    assert labels(under.format("")) == {"gpl", "gpl-notice"}
+    assert labels(under.format("Lesser ")) == labels(under.format("Library ")) == {"lgpl-notice"}
+    assert labels("licensed under the terms of the GNU Affero General Public License, either version 3") == {"agpl-notice"}
+    heading = "GNU {}GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    assert labels(heading.format("")) == {"gpl", "gpl-text"} and labels(heading.format("LESSER ")) == {"lgpl-text"}
+    apache = "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"
+    assert labels(apache) == {"apache", "apache-2.0-text"}
     text = next(t for label, _, t in L.TEMPLATES if label == "mit-text")
     plain = re.sub("<<var[^>]*>>", "this thing and its manual", re.sub("<<beginOptional>>.*?<<endOptional>>", "", text))
     assert "mit-text" in labels(plain.upper())

@@ -35,15 +35,36 @@ BASE_PHRASES = {
 
 # Wording of public licenses and of the notices that point to them.
 # label, weight of the evidence, template.
+_GNU_NAMES = (
+    ("gpl", "GNU General Public License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("lgpl", "GNU Library General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+)
+_GNU_NOTICES = (
+    "licensed under <<beginOptional>>the terms of<<endOptional>> the {name}<<beginOptional>>, <<beginOptional>>either<<endOptional>> version <<var;min=1;max=2>><<endOptional>>",
+    "redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation<<beginOptional>>, <<beginOptional>>either<<endOptional>> version <<var;min=1;max=2>> of the License<<endOptional>>",
+)
+_GNU_TEXT = "{name} Version <<var;min=1;max=2>> <<var;min=3;max=3>> Copyright <<beginOptional>>(C)<<endOptional>> <<var;min=1;max=4>> Free Software Foundation, Inc. <<var;max=12>> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_CC_TERMS = (
+    ("cc-by", "Attribution", "BY"),
+    ("cc-by-sa", "Attribution-ShareAlike", "BY-SA"),
+    ("cc-by-nd", "Attribution-NoDerivatives", "BY-ND"),
+    ("cc-by-nd", "Attribution-NoDerivs", "BY-ND"),
+    ("cc-by-nc", "Attribution-NonCommercial", "BY-NC"),
+    ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+    ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
+    ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivs", "BY-NC-ND"),
+)
+
+# Words that make another license are mandatory, so each license has templates of its own.
 TEMPLATES = (
-    ("gpl-notice", 1.0, "licensed under <<beginOptional>>the terms of<<endOptional>> the GNU <<beginOptional>>Affero<<endOptional>> <<beginOptional>>Lesser<<endOptional>> General Public License<<beginOptional>>, <<beginOptional>>either<<endOptional>> version <<var;min=1;max=2>><<endOptional>>"),
-    ("gpl-notice", 1.0, "This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<beginOptional>>, either<<endOptional>> version <<var;min=1;max=2>> of the License"),
-    ("lgpl-notice", 1.0, "redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Library<<endOptional>> General Public License as published by the Free Software Foundation"),
+    *[(f"{label}-notice", 1.0, notice.format(name=name)) for label, name in _GNU_NAMES for notice in _GNU_NOTICES],
+    *[(f"{label}-text", 1.0, _GNU_TEXT.format(name=name)) for label, name in _GNU_NAMES],
     ("apache-2.0", 1.0, "Licensed under the Apache License<<beginOptional>>,<<endOptional>> Version 2.0<<beginOptional>> (the \"License\"); you may not use this <<var;min=1;max=4>> except in compliance with the License<<endOptional>>"),
-    ("cc-by", 1.0, "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution <<beginOptional>>NonCommercial<<endOptional>> <<beginOptional>>ShareAlike<<endOptional>> <<beginOptional>>NoDerivatives<<endOptional>> <<var;max=2>> <<beginOptional>>International<<endOptional>> License"),
-    ("cc-by-nc", 1.0, "CC BY-NC<<beginOptional>>-SA<<endOptional>><<beginOptional>>-ND<<endOptional>> <<var;min=1;max=2>>"),
-    ("cc-by-sa", 1.0, "CC BY-SA <<var;min=1;max=2>>"),
-    ("cc-by-nd", 1.0, "CC BY-ND <<var;min=1;max=2>>"),
+    ("apache-2.0-text", 1.0, "Apache License Version 2.0, January 2004 <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    *[(label, 1.0, f"Creative Commons {terms}") for label, terms, _ in _CC_TERMS],
+    *[(label, 1.0, f"CC {short}") for label, short in dict((x, y) for x, _, y in _CC_TERMS).items() if label != "cc-by"],
     ("cc0", 1.0, "CC0 1.0 <<beginOptional>>Universal<<endOptional>>"),
     ("mit-notice", 1.0, "<<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the MIT License"),
     ("mit-text", 1.0, "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;min=1;max=8>> (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
@@ -68,8 +89,8 @@ class Automaton:
 
     ``least`` counts the mandatory words, ``needed`` has them as a set."""
 
-    def __init__(self, label: str, weight: float, template: str):
-        self.label, self.weight, self.template = label, weight, template
+    def __init__(self, label: str, weight: float, template: str, base: bool = False):
+        self.label, self.weight, self.template, self.base = label, weight, template, base
         edges: list[list[tuple[str | None, int]]] = [[]]
         skips: list[list[int]] = [[]]
         self.needed: set[str] = set()
@@ -157,19 +178,26 @@ class Automaton:
 
 def compile_templates(templates=TEMPLATES, phrases=BASE_PHRASES) -> list[Automaton]:
     """Base phrases are templates without regions; they come first and keep their labels."""
-    base = [Automaton(label, BASE_WEIGHT, phrase) for label, phrase in phrases.items()]
+    base = [Automaton(label, BASE_WEIGHT, phrase, True) for label, phrase in phrases.items()]
     return base + [Automaton(label, weight, text) for label, weight, text in templates]
 
 
 def scan_words(words: list[str], automata: list[Automaton]) -> list[tuple[int, int, int]]:
-    """(automaton, start, end) of all matches in the words of a text."""
+    """(automaton, start, end) of all matches in the words of a text.
+
+    What stands inside a longer match from the same place on is part of that wording: ``CC
+    BY-NC-SA`` is not ``CC BY-NC`` as well. Base phrases always count."""
     have = set(words)
-    return [
+    found = [
         (k, start, end)
         for k, automaton in enumerate(automata)
         if automaton.needed <= have
         for start, end in automaton.matches(words)
     ]
+    longest: dict[int, int] = {}
+    for _, start, end in found:
+        longest[start] = max(longest.get(start, 0), end)
+    return [(k, start, end) for k, start, end in found if automata[k].base or end == longest[start]]
 
 
 MATCHES = "array<struct<label:string,base:boolean,start:bigint,end:bigint,weight:double>>"
