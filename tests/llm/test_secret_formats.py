@@ -59,6 +59,27 @@ def test_formats_are_told_from_ordinary_strings(model):
         assert model.judge(word) is None
 
 
+def test_secrets_joined_to_other_text_are_found(model):
+    for name, parts in S.FORMATS:
+        for word in S.made_examples(name + " joined", parts, 12):
+            if len(next(f for n, f in model.formats.items() if n == name).prefix) < S.LEAST_PREFIX or not model.judge(word):
+                continue
+            for before, behind in (("h.example/", ""), ("my-", ""), ("https://h.example/a/b_", "/raw"), ("", "-old"), ("x=", "=")):
+                text = f"see {before}{word}{behind} there"
+                spans = [(a, b) for kind, a, b, _ in S.find_spans(text, model) if kind == "format"]
+                at = text.index(word)
+                assert any(a <= at + 8 and at + len(word) - 8 <= b for a, b in spans), (name, text, spans)
+                assert word not in S.redact(text, S.find_spans(text, model), "")
+
+
+def test_two_secrets_in_one_string_and_none_in_paths(model):
+    one, two = (S.made_examples("personal access token", S.FORMATS[2][1], 2))
+    spans = S.parts_of(f"a/{one}/b-{two}", model)
+    assert [(a, b) for a, b, _ in spans] == [(2, 42), (45, 85)]
+    for path in ("h.example/ghp_docs/index.html", "src/main/java/org/example/sk_live_view/App.java", "a/" * 5000, "ghp_" * 3000, "x-ghp_/" * 3000):
+        assert S.parts_of(path, model) == []
+
+
 def test_inferred_automaton_is_small_and_close_to_its_source():
     rng = random.Random(1)
     words = ["ab" * (1 + int(rng.expovariate(0.7))) + "c" for _ in range(1000)]

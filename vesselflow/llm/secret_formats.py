@@ -7,7 +7,9 @@ merged (``automata``). Labels come from two sides: strings that the base pattern
 the corpus, and examples of publicly documented token formats, made by rule. Ordinary long
 strings of the corpus train the background. A candidate is a secret of the kind whose
 automaton accepts it with a length and a likelihood per character in the range of the
-examples and clearly above the background's.
+examples and clearly above the background's. A string that is no secret as a whole may hold
+one, joined to other text: its parts are judged alike, from where a format's common
+beginning stands.
 
 The corpus sample is bounded: of each kind the ``MAX_EXAMPLES`` strings with the smallest
 hash. Each task keeps so many, so the choice does not depend on the partitioning. Scanning
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import os
 import re
 from collections import Counter
 from itertools import chain
@@ -33,6 +36,9 @@ from vesselflow.llm.common import slices, table
 MAX_EXAMPLES = 300
 #: A format must explain a candidate by so many nats better than the background.
 MARGIN = 12.0
+#: What joins a secret to other text in one string, and characters that a format's examples
+#: must begin with alike to be looked for inside of strings.
+JOINTS, LEAST_PREFIX = "/.-_+=", 3
 #: Slack below the least likely example, in nats per character.
 SLACK = 0.1
 
@@ -136,6 +142,8 @@ class Format:
         self.shortest, self.longest = 0.75 * min(lengths), 1.25 * max(lengths)
         shares = list(zip(*map(_shares, examples), strict=True))
         self.shares = [(min(s) - SLACK, max(s) + SLACK) for s in shares]
+        #: What all examples begin with; long enough, it marks the begin of a secret inside a string.
+        self.prefix = os.path.commonprefix(examples)
 
     def accepts(self, word: str) -> bool:
         return (
@@ -158,6 +166,7 @@ class SecretModel:
         if assigned:
             groups["assigned"] = assigned
         self.formats: dict[str, Format] = {name: Format(examples) for name, examples in groups.items()}
+        self.marked = [f for f in self.formats.values() if len(f.prefix) >= LEAST_PREFIX]
         self._pairs: Counter = Counter()
         self._firsts: Counter = Counter()
         self._singles: Counter = Counter()
@@ -189,6 +198,28 @@ class SecretModel:
         return best
 
 
+def parts_of(word: str, model: SecretModel) -> list[tuple[int, int, str]]:
+    """(start, end, format) of secrets inside a longer string, left to right without overlap.
+
+    A part begins at the string's begin or behind one of ``JOINTS`` where a format's common
+    beginning stands, and ends before a joint or at the string's end: the longest that is
+    accepted. Its ends lie within the format's length, so the work is linear in the string."""
+    joints = [i for i, c in enumerate(word) if c in JOINTS]
+    out, upto = [], 0
+    for start in [0, *[i + 1 for i in joints]]:
+        known = [f for f in model.marked if start >= upto and word.startswith(f.prefix, start)]
+        if not known:
+            continue
+        least, most = start + min(f.shortest for f in known), start + max(f.longest for f in known)
+        for end in [e for e in (len(word), *reversed(joints)) if least <= e <= most]:
+            found = model.judge(word[start:end])
+            if found:
+                out.append((start, end, found[0]))
+                upto = end
+                break
+    return out
+
+
 def find_spans(text: str, model: SecretModel) -> list[tuple[str, int, int, str | None]]:
     """(kind, start, end, format) of base patterns and of accepted candidates, in order."""
     spans = [(kind, a, b, None) for kind, a, b in base_spans(text)]
@@ -196,6 +227,8 @@ def find_spans(text: str, model: SecretModel) -> list[tuple[str, int, int, str |
         found = model.judge(text[a:b])
         if found:
             spans.append(("format", a, b, found[0]))
+        else:
+            spans += [("format", a + i, a + j, name) for i, j, name in parts_of(text[a:b], model)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
