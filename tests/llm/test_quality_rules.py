@@ -1,3 +1,5 @@
+import math
+import os
 import random
 import re
 from collections import Counter
@@ -46,7 +48,7 @@ def test_counts_equal_brute_force(spark):
 
 def measured(spark, rows):
     schema = "doc_id long, lang string, source string, n_words long, base_failed boolean, " + ", ".join(f"{m} double" for m in Q.MEASURES)
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).withColumn("n_lines", F.lit(10))
 
 
 def test_limits_follow_the_group(spark):
@@ -58,15 +60,47 @@ def test_limits_follow_the_group(spark):
     assert all(kept[i] for i in range(400)) and (kept[1000], kept[1001], kept[1002]) == (True, False, False)
 
 
-def test_quartiles_equal_those_of_sorted_values(spark):
+def test_limits_equal_those_of_sorted_values(spark):
     rng = random.Random(3)
-    rows = [(i, rng.choice(["en", None]), rng.choice(["a", "b", None]), 100, False, rng.random() * 50, 0.0, 0.0, 0.0) for i in range(300)]
-    df = measured(spark, rows)
-    for r in Q.adaptive_limits(df).collect():
-        own = sorted(x[5] for x in rows if r.level == 3 or x[1] == r.lang and (r.level == 1 or x[2] == r.source))
-        q1, q3 = (own[-(-len(own) * p // 4) - 1] for p in (1, 3))
-        reach = Q.REACH * max(q3 - q1, 1.0)
-        assert r.n == len(own) and (r.limits.word_length.low, r.limits.word_length.high) == pytest.approx((q1 - reach, q3 + reach))
+    rows = [(i, rng.choice(["en", None]), rng.choice(["a", "b", None]), 100, i % 17 == 0, rng.random() * 50, rng.random() ** 3, 0.0, 0.0) for i in range(300)]
+
+    def quantiles(own, column):
+        values = sorted(x[column] for x in own)
+        return [values[math.ceil(p * len(values) - 1e-9) - 1] for p in (Q.TAIL, 0.5, 1 - Q.TAIL)], len(values)
+
+    def drawn(own, other, column):
+        (q, n), above = quantiles(own, column), other
+        return [(n * x + Q.WEIGHT * y) / (n + Q.WEIGHT) for x, y in zip(q, above, strict=True)]
+
+    good = [r for r in rows if not r[4]]
+    found = {(r.lang, r.source): r for r in Q.adaptive_limits(measured(spark, rows)).collect()}
+    assert set(found) == {(lang, source) for lang in ("en", None) for source in ("a", "b", None)}
+    for (lang, source), r in found.items():
+        of_lang = [x for x in good if x[1] == lang]
+        own = [x for x in of_lang if x[2] == source]
+        assert r.n == len(own)
+        for column, name in ((5, "word_length"), (6, "symbols_per_word")):
+            low, middle, high = drawn(own, drawn(of_lang, quantiles(good, column)[0], column), column)
+            assert r.limits[name].high == pytest.approx(high + Q.REACH * (high - middle))
+            expected = low - Q.REACH * (middle - low) if name in Q.TWO_SIDED else float("-inf")
+            assert r.limits[name].low == pytest.approx(expected)
+
+
+GIVEN = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="the given tables are not here")
+def test_on_the_given_documents_limits_differ_and_each_measure_rejects(spark):
+    rows = Q.stored(Q.with_measures(spark.read.parquet(GIVEN)), "quality")
+    limits = Q.adaptive_limits(rows)
+    different = limits.agg(*[F.count_distinct(F.col(f"limits.{m}.high")).alias(m) for m in Q.MEASURES]).first()
+    assert limits.count() == 80 and all(different[m] >= 20 for m in Q.MEASURES), different
+    met = rows.where("not base_failed").join(limits, ["lang", "source"])
+    for name, counted in Q.MEASURES.items():
+        chance = 0 if counted is None else counted[2] / F.col(counted[1])
+        assert met.where(F.col(name) > F.col(f"limits.{name}.high") + chance + Q.TINY).count() > 0, name
+    kept = Q.apply_limits(rows, limits).where("kept").count()
+    assert 0.9 * met.count() < kept < met.count()
 
 
 def test_each_measure_rejects_an_outlier_that_passes_the_base_rule(spark):

@@ -33,4 +33,4 @@ QUERIES = {
     "op12_packing": packing.op12_packing,
     "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op3_url_filters": url_rules.SQL, "op13_merkle": merkle.SQL}
+ORACLES = {"op3_url_filters": url_rules.SQL, "op7_quality_rules": quality_rules.SQL, "op13_merkle": merkle.SQL}
