@@ -111,3 +111,24 @@ def test_empty_and_untrained_tables(spark):
     out = next(i for i in range(100) if K.is_held_out(i))
     row = K.score_texts(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, 0.0)
+
+
+def test_counts_beyond_32_bits_arrive_whole():
+    import pyarrow as pa
+
+    words = K.Words.of(10**11, 10, 1000, [5, 4, 3, 2, 1, 1, 1, 1, 1, 1][: K.LARGEST + 1])
+    most = 2**32 - 1
+
+    def asked(times):
+        return K._pack(
+            np.array([3, 5], "<u4"), np.array([2, 1], "<u4"), np.array([2, 2], "u1"),
+            np.array([1, 2, 1], "<u4"), np.array(times, "<u4"), np.array([5_000_000_000, 7, 5_000_000_000], "<u8"),
+        )
+
+    rows = pa.table({"chunk": pa.array([1, 2], pa.int64()), "data": pa.array([asked([most, 1, 2]), asked([most, 0, most])], pa.binary())})
+    out = K._tell_pairs(words, "<u4")((pa.scalar(0, pa.int64()),), rows)
+    for data in out.column("data").to_pylist()[:2]:
+        told, _, _, larger, below = K._unpack(data, "<u8", "u1", "<u8", "<u8", "<f8")
+        assert told.tolist() == [2 * most, 1, most + 2]
+        assert larger.tolist() == [2 * most, most + 2]
+        assert below[1] == pytest.approx(words.probability(np.array([5_000_000_000]))[0])

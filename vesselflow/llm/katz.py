@@ -336,7 +336,7 @@ def _ask_pairs(words: Words, parts: int, kind: str):
                             (hot[a:b][new] + 2 * needs[heads]).astype("u1"),
                             all_ids[word[a:b]].astype(kind),
                             training[a:b].astype("<u4"),
-                            all_counts[word[a:b]].astype("<u4"),
+                            all_counts[word[a:b]].astype("<u8"),
                         ),
                     )
                 )
@@ -360,7 +360,7 @@ def _tell_pairs(words: Words, kind: str):
         import pyarrow as pa
 
         chunks = rows.column("chunk").to_pylist()
-        own = [_unpack(d.as_py(), kind, "<u4", "u1", kind, "<u4", "<u4") for d in rows.column("data")]
+        own = [_unpack(d.as_py(), kind, "<u4", "u1", kind, "<u4", "<u8") for d in rows.column("data")]
         h = np.concatenate([np.repeat(o[0], o[1]) for o in own]).astype(np.int64)
         hot = np.concatenate([np.repeat(o[2], o[1]) for o in own]) % 2 == 1
         w, training, frequency = (np.concatenate([o[i] for o in own]).astype(np.int64) for i in (3, 4, 5))
@@ -402,10 +402,10 @@ def _tell_pairs(words: Words, kind: str):
                     chunk,
                     key[0].as_py(),
                     _pack(
-                        told.astype("<u4"),
+                        told.astype("<u8"),
                         (weighted + 2 * (cold & has_small[place])).astype("u1"),
-                        classes[mine].astype("<u4").ravel(),
-                        larger[mine].astype("<u4"),
+                        classes[mine].astype("<u8").ravel(),
+                        larger[mine].astype("<u8"),
                         below[mine],
                     ),
                 )
@@ -440,7 +440,7 @@ def _score(words: Words, parts: int):
         ids, counts = _word_answers(steps[0])
         order, part, context, word, _, place, all_ids, all_counts, hot, _ = _dealt_pairs(chunk, ids, counts, words, parts)
         told = steps[1].sort_by("part").column("data")
-        own = [_unpack(d.as_py(), "<u4", "u1", "<u4", "<u4", "<f8") for d in told]
+        own = [_unpack(d.as_py(), "<u8", "u1", "<u8", "<u8", "<f8") for d in told]
         seen = np.concatenate([o[0] for o in own]).astype(np.int64) if own else np.zeros(0, np.int64)
         n = len(chunk.words) + 1
         classes, larger, below = np.zeros((n, LARGEST)), np.zeros(n), np.zeros(n)
