@@ -125,7 +125,8 @@ def test_nulls_repeats_other_columns_and_empty_tables(spark):
     )
     items = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "alpha beta"), (None, item)], "item_id long, text string")
     got = B.find_leaks(docs, items).collect()
-    assert sorted(repr((r.doc_id, r.item_id)) for r in got) == sorted(map(repr, [(None, 7), (None, None), (3, 7), (3, None)]))
+    both = [(None, 7), (None, None), (3, 7), (3, None), (None, 9), (3, 9), (4, 9)]
+    assert sorted(repr((r.doc_id, r.item_id)) for r in got) == sorted(map(repr, both))
     assert B.find_leaks(docs.limit(0), items).count() == 0 == B.find_leaks(docs, items.limit(0)).count()
 
 
@@ -134,3 +135,23 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "filler " * 300_000 + item)], "doc_id long, text string")
     row = B.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).first()
     assert (row.first_word, row.last_word) == (300_000, 300_008)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(12)]
+    docs = [(d, " ".join(rng.choices(vocabulary, k=rng.randrange(30)))) for d in range(120)] + [(500, None), (501, "W3, w4!")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=1 + i % 4))) for i in range(24)] + [(90, "w3 w4"), (91, ""), (92, "w1 w2 w3 w4 w5 w6 w7")]
+    expected = {}
+    for key, text in docs:
+        words = B.words_of(text)
+        for item, own in items:
+            own = B.words_of(own)
+            places = [i for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+            if 0 < len(own) < B.LEAST_WORDS and places:
+                expected[key, item] = (0, len(own), places[0], places[0] + len(own))
+    found = B.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.edits, r.n_words, r.first_word, r.last_word) for r in found.collect() if r.item_id != 92}
+    assert got == expected and (501, 90) in got and len(got) > 100
+    short = B.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:24], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in short.collect()} == {k for k in expected if k[1] < 24}

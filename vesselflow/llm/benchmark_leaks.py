@@ -36,7 +36,8 @@ from vesselflow.llm.common import slices, stored, table
 
 #: Least similarity, as 1 - edits / words of the item.
 SIMILARITY = 0.8
-#: Items of fewer words are not searched: their words stand together by chance.
+#: Items of fewer words may not lose any at the least similarity, so they are searched word
+#: for word, without an embedding.
 LEAST_WORDS = 5
 #: Places of a signature, and chance that one place agrees at the least similarity
 #: (measured, see the tests).
@@ -144,10 +145,20 @@ def slots_of(words: np.ndarray) -> np.ndarray:
     return mixed.astype(np.int64)
 
 
+def codes_of(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each stretch of so many words."""
+    n = max(len(words) - size + 1, 0)
+    codes = np.full(n, SEED + size, dtype=np.uint64)
+    for k in range(size):
+        codes = _scramble(codes * _ODD + words[k : k + n])
+    return codes
+
+
 def index_items(items: DataFrame, similarity: float = SIMILARITY, repeats: int | None = None) -> DataFrame:
     """Items as rows: item_id, size, words, signatures and the table entries of their pairs.
 
-    Items that are null or shorter than ``LEAST_WORDS`` are left out."""
+    Items of fewer than ``LEAST_WORDS`` words have the code of all their words for a
+    signature; null items and those without a word are left out."""
     repeats = repeats or repetitions()
 
     def run(batches):
@@ -159,7 +170,10 @@ def index_items(items: DataFrame, similarity: float = SIMILARITY, repeats: int |
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = np.array([hashes[w] for w in words_of(text)], dtype=np.uint64)
                 size = len(words)
+                if not size:
+                    continue
                 if size < LEAST_WORDS:
+                    rows.append((key, size, words.view(np.int64).tolist(), codes_of(words, size).view(np.int64).tolist(), []))
                     continue
                 if size not in embeddings:
                     embeddings[size] = Embedding(size, repeats)
@@ -340,19 +354,72 @@ def _prefix_edits(pattern: list[int], text: list[int]) -> int:
     return length
 
 
+def short_leaks(docs: DataFrame, index: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """Key, item and first place of the items of few words that stand in a document word for word.
+
+    A bitmap of fixed size, made of the items, rules most places out in the task that reads
+    the document; what is left is one row per document and different wording, and meets the
+    items by an equi-join on all their words."""
+    listed = index.where(F.col("size") < LEAST_WORDS).select("item_id", F.col("words").alias("_words"), F.col("signatures")[0].alias("code"))
+    coded = bitmap(listed.select(F.pmod(F.col("code"), F.lit(BITS)).alias("bit")))
+
+    def scan(batches):
+        import pyarrow as pa
+
+        hashes, bits = Hasher(), np.frombuffer(coded, dtype=np.uint8)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                rows = []
+                for row, value in enumerate(batch.column(1).to_pylist()):
+                    words = np.array([hashes[w] for w in words_of(value)], dtype=np.uint64)
+                    for size in sizes:
+                        codes = codes_of(words, size)
+                        at = bit_of(codes)
+                        starts = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                        found, first = np.unique(codes[starts], return_index=True)
+                        for code, start in zip(found.view(np.int64).tolist(), starts[first].tolist(), strict=True):
+                            rows.append((row, start, code, words[start : start + size].view(np.int64).tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.int64()),
+                        pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                    ],
+                    ["_key", "first", "code", "words"],
+                )
+
+    schema = T.StructType(
+        [
+            T.StructField("_key", docs.schema[key].dataType),
+            T.StructField("first", T.LongType()),
+            T.StructField("code", T.LongType()),
+            T.StructField("words", T.ArrayType(T.LongType())),
+        ]
+    )
+    places = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(scan, schema)
+    met = places.join(listed, "code").where(F.col("words") == F.col("_words"))
+    none = F.lit(0).cast("long")
+    n = F.size("words").cast("long")
+    return met.select("_key", "item_id", none.alias("edits"), n.alias("n_words"), F.col("first").alias("first_word"), (F.col("first") + n).alias("last_word"))
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL
 ) -> DataFrame:
     """One row for each document key and item that it holds: the best place of the item.
 
     Columns: the key, item_id, edits, n_words of the item, similarity, first_word and
-    last_word (exclusive) of the stretch; of equal places the first. Repeated rows and rows
+    last_word (exclusive) of the stretch; of equal places the first. Items of fewer than
+    ``LEAST_WORDS`` words are found where they stand word for word. Repeated rows and rows
     of one key count together, null keys are one key, null texts are empty. No items or no
     documents give no rows.
     """
     repeats = repetitions(recall)
-    index = stored(index_items(items, similarity, repeats), "benchmark")
-    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
+    whole_index = stored(index_items(items, similarity, repeats), "benchmark")
+    all_sizes = sorted(r["size"] for r in whole_index.select("size").distinct().collect())
+    few, sizes = ([n for n in all_sizes if (n < LEAST_WORDS) == short] for short in (True, False))
+    index = whole_index.where(F.col("size") >= LEAST_WORDS)
     pairs = pair_table(index, sizes) if sizes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     signed = bitmap(index.select(F.explode("signatures").alias("s")).select(F.pmod(F.col("s"), F.lit(BITS)).alias("bit")))
 
@@ -428,6 +495,8 @@ def find_leaks(
         ]
     )
     matches = met.select("_key", "item_id", "first", "region", "words").mapInArrow(verify, match_schema)
+    if few:
+        matches = matches.unionByName(short_leaks(docs, whole_index, key, text, few))
     best = matches.groupBy("_key", "item_id").agg(F.min(F.struct("edits", "first_word", "last_word", "n_words")).alias("m"))
     return best.select(
         F.col("_key").alias(key),
