@@ -89,3 +89,21 @@ def test_sample_is_bounded(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     assert 200 < T.training_rows(docs, labels, 300).count() < 400
+
+
+@pytest.mark.parametrize("most", [1, 7, 300, 10**9])
+def test_the_sample_is_about_as_large_as_asked_however_many_labels(spark, most):
+    n = 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    known = labels.where(~T.held_out(F.col("doc_id"))).count()
+    got = T.training_rows(docs, labels, most).count()
+    assert got == known if most > n else abs(got - most) <= 4 * most**0.5 + 3
+
+
+def test_a_share_below_a_millionth_still_trains(spark):
+    """The sample of 1,500,000 labels for one row each has about as many rows as asked."""
+    labels = spark.range(6_000_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    docs = labels.select("doc_id", F.lit("a").alias("text"))
+    counts = [T.training_rows(docs, labels, most).count() for most in (2, 40)]
+    assert counts[0] <= 10 and 15 <= counts[1] <= 75

@@ -163,8 +163,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
     )
-    share = min(1.0, most / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    wanted = 1_000_000 * min(1.0, most / max(known.count(), 1))
+    # Whole millionths of the hash, and of the next one the share that is left over.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    finer = F.pmod(F.xxhash64("doc_id", F.lit("finer")), F.lit(1 << 40)) / float(1 << 40)
+    sample = known.where(slot + finer < wanted)
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
