@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, Window
@@ -15,7 +16,7 @@ from vesselflow.operators.percentiles import percentiles, selected_percentiles
 from vesselflow.operators.quality import reconcile_counts
 from vesselflow.operators.ranking import most_frequent, top
 from vesselflow.operators.series import time_series
-from vesselflow.operators.tracks import with_previous
+from vesselflow.operators.tracks import previous_on_tracks, with_previous, write_tracks
 from vesselflow.plans import analyses as A
 from vesselflow.plans import anomaly as N
 from vesselflow.registry.base import Query
@@ -68,6 +69,16 @@ def _plain_lag(c):
     return with_previous(c.curated.select("MMSI", "BaseDateTime", "COG"), ["COG"])
 
 
+def _lag_on_tracks(c):
+    """The table is made, read and dropped again; the result is kept in the shared folder."""
+    name, kept = f"tracks_{uuid.uuid4().hex}", c.fresh_dir("tracks")
+    write_tracks(c.curated.select("MMSI", "BaseDateTime", "COG"), name)
+    previous_on_tracks(c.spark, name, ["COG"]).write.parquet(kept)
+    for table in (name, f"{name}_edges"):
+        c.spark.sql(f"DROP TABLE {table}")
+    return c.spark.read.parquet(kept)
+
+
 LAG_SQL = over_curated(
     """SELECT MMSI, BaseDateTime, COG, lag(COG) OVER w AS "prev_COG",
          lag(BaseDateTime) OVER w AS "prev_BaseDateTime"
@@ -301,6 +312,7 @@ AGGREGATES = {
 
 WINDOWS = {
     "wn1_lag_course": Query(_plain_lag, f"{KEY} f:COG f:prev_COG", LAG_SQL),
+    "wn1_lag_on_tracks": Query(_lag_on_tracks, f"{KEY} f:COG f:prev_COG t:prev_BaseDateTime", LAG_SQL),
     "wn2_lag_time": Query(_plain_lag, f"{KEY} t:prev_BaseDateTime", LAG_SQL),
     "wn3_row_number": Query(
         lambda c: c.curated.groupBy("VesselTypeClass", F.weekday("BaseDateTime").alias("weekday"))
