@@ -135,6 +135,9 @@ def test_only_empty_archives_and_unreadable_times(spark, tmp_path):
     root = tmp_path / "zips"
     root.mkdir()
     archive(root, 1, rows=0)
+    with pytest.raises(FileNotFoundError):
+        resume_ingest(spark, str(root), str(tmp_path / "raw"), str(tmp_path / "ledger"))
+    archive(root, 3, text=HEADER)
     with pytest.raises(FileNotFoundError):
         resume_ingest(spark, str(root), str(tmp_path / "raw"), str(tmp_path / "ledger"))
     archive(root, 2, text="\n".join([HEADER, line(1, "2024-01-01T00:00:00"), line(2, "soon")]))

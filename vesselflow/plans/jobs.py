@@ -44,10 +44,12 @@ def ingest_archives(
     """
     lines = read_zip_lines(spark, root, name_regex, tasks, **reading(options))
     staged, compared = fresh_dir(spark, "staged"), fresh_dir(spark, "compared")
-    add_raw_partitions(add_lineage(parse_message_lines(lines, options))).write.parquet(staged)
-    messages = spark.read.parquet(staged)
+    add_raw_partitions(add_lineage(parse_message_lines(lines, options))).write.partitionBy("ym").parquet(staged)
+    months = list_months(spark, staged)
+    if not months:
+        raise FileNotFoundError(f"no message with a readable month in the archives below {root}")
+    messages = spark.read.parquet(staged).withColumn("ym", F.col("ym").cast("string"))
     write_raw(messages, out)
-    months = [row.ym for row in messages.select("ym").distinct().collect() if row.ym]
     written = read_months(spark, out, months).withColumn(
         "ymd", F.date_format(F.try_to_timestamp("BaseDateTime"), "yyyy-MM-dd")
     )
@@ -136,6 +138,8 @@ def resume_ingest(
     for staged in finished:
         for ym in list_months(spark, staged):
             months.setdefault(ym, []).append(staged)
+    if not months:
+        raise FileNotFoundError(f"no message with a readable month in the archives below {root}")
     for ym, folders in sorted(months.items()):
         if published.get(ym) != set(folders):
             write_raw(book.staged([month_path(folder, ym) for folder in folders]), out)
