@@ -4,6 +4,11 @@ secrets out of the texts, then ids for a model.
 Each stage is a function of (spark, docs, sf_dir) that works on all rows of its input. Its
 result is written as Parquet to the folder that all executors share and read again as the
 next one's input. All stages but the last return the columns of ``documents``.
+
+A null text counts as an empty one and stays null until the last stage; a null id is an id
+of its own row; repeated rows are judged alike, and the near-duplicate stage keeps one of
+them; an empty table passes as an empty table. Columns beside those of ``documents`` are
+carried along; names that begin with an underscore are reserved.
 """
 
 from __future__ import annotations
@@ -12,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselflow.llm import benchmark_leaks, secret_formats, sentence_pieces, simhash, toxicity
-from vesselflow.llm.common import stored, table
+from vesselflow.llm.common import stored_at, table
+from vesselflow.session import fresh_dir
+from vesselflow.sources.storage import remove_tree
 
 REPLACEMENT = "[secret]"
 
@@ -59,9 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has read is removed from the shared folder when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_dir(spark, f"pipeline-{name}")
+        docs = stored_at(stage(spark, docs, sf_dir), path)
+        if before:
+            remove_tree(spark, before)
+        before = path
     return docs
 
 

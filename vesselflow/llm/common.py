@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, whatever executor is lost."""
-    path = fresh_dir(df.sparkSession, purpose)
+    return stored_at(df, fresh_dir(df.sparkSession, purpose))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a place that the caller may remove when nothing reads it any more."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

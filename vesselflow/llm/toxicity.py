@@ -234,7 +234,11 @@ class ToxicityModel:
     rate: float = 0.0
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """All columns of ``docs`` and ``_score`` from 0 to 1."""
+        """All columns of ``docs`` and ``_score`` from 0 to 1.
+
+        Null and empty texts have features of zero and a score like any other; rows with
+        equal texts have equal scores, repeated rows come back each; no rows give no rows.
+        Columns whose names begin with an underscore are reserved."""
         if self.trees is None:
             return docs.withColumn("_score", F.lit(self.rate))
         measured = with_features(docs, self.lexicon, text).withColumn("_vector", array_to_vector("_features"))
@@ -245,7 +249,11 @@ class ToxicityModel:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> ToxicityModel:
-    """Fit lexicon, trees and curve on labelled documents that are not held out."""
+    """Fit lexicon, trees and curve on labelled documents that are not held out.
+
+    Null ids and null labels are no examples; an id that is labelled twice is toxic if one
+    label says so, and each row of an id is an example. Without examples of both classes,
+    as with empty tables, the model is the share of toxic ones, 0 without any."""
     rows = stored(training_rows(docs, labels, most), "toxic-train")
     lexicon = learn_lexicon(rows)
     toxic, clean = lexicon.sizes
