@@ -77,6 +77,8 @@ def _intervals(matrix: np.ndarray, wanted: int) -> list[tuple[float, float, int]
         inside = over_low - over_high
         if not inside:
             continue
+        if found and high <= ZERO * found[0][0]:
+            break  # all that is left counts as zero, be it a thousand eigenvalues
         if inside <= CROWD and (over_low <= wanted + CROWD) or high - low <= 4 * floor:
             found.append((low, high, inside))
             taken += inside
