@@ -9,6 +9,8 @@ windows it lies in, and each stretch of a document in a window is a boundary rec
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,9 @@ LENGTH = 2048
 #: Id behind the last token of every document.
 END_ID = 1
 PAD_ID = 0
-#: Bytes of words that are looked up at once, words that a task remembers at most, and bytes
-#: of a word above which it is not remembered.
-GROUP_BYTES, REMEMBERED, LONG = 1 << 20, 600_000, 1024
+#: Bytes of words that are looked up at once, words that a worker remembers at most (about 60
+#: bytes each), and bytes of a word above which it is not remembered.
+GROUP_BYTES, REMEMBERED, LONG = 1 << 20, 1_500_000, 1024
 #: An odd number, so it has an inverse among the numbers of 64 bits.
 BASE = 0x9E3779B97F4A7C15
 #: Partitions whose first places (16 bytes each) are sent to all executors; more are joined.
@@ -39,13 +41,13 @@ def tokenizer_file() -> str:
 
 
 def _classes() -> np.ndarray:
-    """Letters 1, digits 2, other printable signs 3, apostrophe 4, white space 5, else 0."""
+    """Letters 1, digits 2, other printable signs 3, apostrophe 4, blank 5, other white space 6, else 0."""
     kinds = np.zeros(256, dtype=np.uint8)
     kinds[0x21:0x7F] = 3
     kinds[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
     kinds[ord("0") : ord("9") + 1] = 2
     kinds[ord("'")] = 4
-    kinds[[*range(9, 14), 32]] = 5
+    kinds[32], kinds[9:14] = 5, 6
     return kinds
 
 
@@ -55,13 +57,15 @@ def _borders() -> np.ndarray:
     Letters, digits and other signs make separate tokens, but an apostrophe may belong to
     the letters behind it; white space belongs to what follows, so only its left end parts."""
     parts = np.zeros(256, dtype=bool)
-    for left, right in [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (1, 5), (2, 5), (3, 5), (4, 5)]:
+    for left, right in [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2)]:
         parts[16 * left + right] = True
+    for left in (1, 2, 3, 4):
+        parts[[16 * left + 5, 16 * left + 6]] = True
     return parts
 
 
 class Tokens:
-    """Ids of texts by the ``tokenizers`` library, each different word of a task looked up once.
+    """Ids of texts by the ``tokenizers`` library, each different word of a worker looked up once.
 
     Texts are cut where no token can reach over: between signs of different classes, all
     ASCII, and before white space. So the ids of a text are those of its words one after the
@@ -108,11 +112,14 @@ class Tokens:
         parted[1:-1] = self.parts[16 * kind[:-1] + kind[1:]]
         # Before white space behind a letter outside of ASCII: its first byte tells that it is no
         # white space itself, which has first bytes C2, E1, E2, E3 and EF.
-        spaces = np.flatnonzero((kind == 5)[1:] & (data[:-1] >= 0x80)) + 1
+        spaces = np.flatnonzero((kind >= 5)[1:] & (data[:-1] >= 0x80)) + 1
         second, third, fourth = (np.where(spaces >= k, data[np.maximum(spaces - k, 0)], 0) for k in (2, 3, 4))
         sure = (second >= 0xC3) & (second <= 0xDF) | (third == 0xE0) | (third >= 0xE4) & (third <= 0xEE) | (fourth >= 0xF0)
         parted[spaces[sure]] = True
         parted[ends] = True
+        # A single line end or tab between words is a token of its own; a blank is not.
+        alone = np.flatnonzero((kind[:-1] == 6) & (kind[1:] >= 1) & (kind[1:] <= 4) & (parted[:-2] | (np.arange(len(data) - 1) == 0)))
+        parted[alone + 1] = True
         for name in self.special:
             self._join_whole(data, ends, parted, name)
         return np.flatnonzero(parted)
@@ -133,13 +140,16 @@ class Tokens:
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         found = self._library_ids(words)
         numbers = len(self.id_ends) - 1 + np.arange(len(words))
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), dtype=np.uint8)])
-        self.byte_ends = np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum([len(w) for w in words])])
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], dtype=np.uint32)])
-        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(f) for f in found])])
         order = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, order, hashes)
-        self.numbers = np.insert(self.numbers, order, numbers)
+        # All at once: a task that fails here leaves what is known as it was.
+        self.bytes, self.byte_ends, self.ids, self.id_ends, self.hashes, self.numbers = (
+            np.concatenate([self.bytes, np.frombuffer(b"".join(words), dtype=np.uint8)]),
+            np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum([len(w) for w in words])]),
+            np.concatenate([self.ids, np.array(list(chain.from_iterable(found)), dtype=np.uint32)]),
+            np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(f) for f in found])]),
+            np.insert(self.hashes, order, hashes),
+            np.insert(self.numbers, order, numbers),
+        )
 
     def _short(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that lie within ``data``, and their numbers of ids."""
@@ -209,6 +219,17 @@ class Tokens:
         return [part.tolist() for part in np.split(ids, ends[:-1])] if texts else []
 
 
+def kept_tokens(path: str) -> Tokens:
+    """The tokenizer of this Python worker, with the words that earlier tasks looked up."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("words_of_earlier_tasks", types.ModuleType("words_of_earlier_tasks"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.tokens = path, Tokens(path)
+    return kept.tokens
+
+
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow text column and the ends of its texts; null is empty."""
     import pyarrow as pa
@@ -237,7 +258,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens, part, local = Tokens(path), TaskContext.get().partitionId(), 0
+        tokens, part, local = kept_tokens(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 1):
                 found, ends = tokens(*_flat(batch.column(1)))
