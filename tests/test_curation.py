@@ -1,8 +1,11 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import largest_method, plan_of
+from vesselflow.fixture import raw_messages
+from vesselflow.functions import cleaning as rule
 from vesselflow.operators.curation import clean, curate, deduplicate
 from vesselflow.schema import CURATED_COLUMNS
 
@@ -81,3 +84,22 @@ def test_generated_code_is_small_enough_for_the_jit(spark, messages, tmp_path):
     path = str(tmp_path / "raw")
     messages({}).write.parquet(path)
     assert 1000 < largest_method(spark, curate(spark.read.parquet(path))) < 8000
+
+
+def test_generated_code_is_small_enough_for_the_jit_above_the_view_of_events(spark, tmp_path):
+    """The expressions of the view and of the cleaning share a method."""
+    spark.sql(
+        """SELECT id AS event_id, timestamp_ntz'2024-01-05 10:00:00' AS ts, id AS user_id,
+           'view' AS event_type, 8D AS value FROM range(5)"""
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    curated = curate(raw_messages(spark, str(tmp_path)))
+    assert 1000 < largest_method(spark, curated) < 8000
+
+
+@pytest.mark.parametrize("lat", [None, -90.0, 90.0, 90.000001, -90.000001, 0.0, float("nan"), float("inf")])
+def test_rows_go_as_their_cleaned_positions_say(messages, lat):
+    places = [None, 180.0, 541.0, -541.0, float("nan"), float("-inf")]
+    raw = messages(*[{"LAT": lat, "LON": lon} for lon in places])
+    cleaned = raw.select(rule.latitude("LAT").alias("LAT"), rule.longitude("LON").alias("LON"))
+    wanted = cleaned.where(rule.has_position()).collect()
+    assert sorted(map(str, clean(raw).select("LAT", "LON").collect())) == sorted(map(str, wanted))

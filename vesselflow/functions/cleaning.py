@@ -73,6 +73,11 @@ def has_position(lat: ColumnLike = "LAT", lon: ColumnLike = "LON") -> Column:
     return _c(lat).isNotNull() & _c(lon).isNotNull()
 
 
+def can_be_located(lat: ColumnLike = "LAT", lon: ColumnLike = "LON") -> Column:
+    """CUR7 on numbers not yet cleaned: true where both cleaned coordinates will be present."""
+    return _c(lat).between(*S.LAT_RANGE) & _c(lon).isNotNull()
+
+
 def known_heading(column: ColumnLike) -> Column:
     """CUR8: the "not available" code becomes NULL."""
     return F.nullif(_c(column), F.lit(float(S.HEADING_UNKNOWN)))

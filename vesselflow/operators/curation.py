@@ -15,9 +15,15 @@ from vesselflow.schema import CURATED_COLUMNS, INGEST_COLUMNS, MESSAGE_KEY, RAW_
 
 
 def clean(messages: DataFrame) -> DataFrame:
-    """CUR1-CUR12 and CUR18: the raw columns, cleaned; rows without a position go."""
+    """CUR1-CUR12 and CUR18: the raw columns, cleaned; rows without a position go.
+
+    These go first, told by the bare numbers, because rounding makes no NULL. Asked of the
+    cleaned columns, Spark would write their rounding into the filter as well, and with the
+    expressions of a view below the generated method outgrows what HotSpot compiles.
+    """
     whole_number = isinstance(messages.schema["MMSI"].dataType, IntegralType)
-    typed = messages.withColumns(
+    located = messages.where(rule.can_be_located(rule.number("LAT"), rule.number("LON")))
+    return located.withColumns(
         {
             "MMSI": rule.mmsi("MMSI", whole_number),
             "BaseDateTime": rule.message_time("BaseDateTime"),
@@ -37,7 +43,6 @@ def clean(messages: DataFrame) -> DataFrame:
             "TransceiverClass": rule.transceiver_class("TransceiverClass"),
         }
     )
-    return typed.where(rule.has_position())
 
 
 def deduplicate(
