@@ -114,6 +114,19 @@ def test_selection_ranks_only_a_sliver(spark):
     assert half == frame.select(F.expr("percentile_disc(0.5) within group (order by v)")).first()[0]
 
 
+def test_selection_reads_the_rows_twice(spark, tmp_path):
+    """Once for the brackets and once for the counts in them; groups of NULL and of two columns stay apart."""
+    path = str(tmp_path / "rows")
+    spark.range(600).selectExpr(
+        "nullif(id % 3, 0) g", "if(id % 2 = 0, null, '') h", "double(id div 6) v"
+    ).write.parquet(path)
+    result = operator.selected_percentiles(spark.read.parquet(path), ["g", "h"], "v", {"least": 0, "most": 100}, largest="top")
+    found = {(x.g, x.h): (x.top, x.least, x.most) for x in result.collect()}
+    assert found == {(g, h): (99.0, 0.0, 99.0) for g in (None, 1, 2) for h in (None, "")}
+    final = plan_of(result).split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") - final.count("ReusedExchange") <= 2
+
+
 def test_a_missed_bracket_is_an_error(spark, monkeypatch):
     frame = spark.range(10_000).select(F.lit("g").alias("g"), F.rand(3).alias("v"))
     monkeypatch.setattr(operator, "SLACK", -100)

@@ -101,16 +101,19 @@ def selected_percentiles(
 
     NULL and NaN do not count, a NULL group is a group, one without a value has no row.
     """
-    brackets, counts, of_group = _counts_in_brackets(rows, group, value, wanted, parts, accuracy)
+    _, counts, of_group = _counts_in_brackets(rows, group, value, wanted, parts, accuracy)
     up_to = (
         Window.partitionBy(*of_group, "_name")
         .orderBy(F.col("_value").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reached = counts.withColumn("_rank", F.sum("_n").over(up_to)).where(F.col("_rank") >= F.col("_target"))
+    # Rows short of the target stay, so a group whose answers are all missing has a row, too.
+    reached = F.col("_rank") >= F.col("_target")
+    ranked = counts.withColumn("_rank", F.sum("_n").over(up_to))
     missed = F.raise_error(F.lit("an answer lies outside of its bracket")).cast(rows.schema[value].dataType)
-    found = reached.groupBy(*of_group, "_name").agg(
-        F.min("_value").alias("_value"), F.count_if(F.col("_value").isNull()).alias("_below")
+    found = ranked.groupBy(*of_group, "_name").agg(
+        F.min(F.when(reached, F.col("_value"))).alias("_value"),
+        F.count_if(reached & F.col("_value").isNull()).alias("_below"),
     )
     chosen = found.groupBy(*of_group).agg(
         F.sum("_below").alias("_below"),
@@ -120,17 +123,21 @@ def selected_percentiles(
         F.when((F.col("_below") > 0) | F.col(n).isNull(), missed).otherwise(F.col(n)).alias(n) for n in wanted
     ]
     top = [F.col("_most").alias(largest)] if largest else []
-    return brackets.join(chosen, of_group, "left").select(*group, *top, *sure)
+    return chosen.select(*group, *top, *sure)
 
 
 def _counts_in_brackets(rows, group, value, wanted, parts, accuracy):
-    """Per group its extremes; per group and bracket the rows below (value NULL) and the values inside."""
+    """Per group its extremes; per group and bracket the rows below (value NULL) and the values inside.
+
+    The group and its largest value come along with the counts: joined to them again, the
+    brackets would be computed twice, with one more read of the rows."""
     present = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
     names = list(wanted)
     # A NULL group joins by plain equality as text and flag.
     keys = {f"_key{i}": F.coalesce(F.col(g).cast("string"), F.lit("")) for i, g in enumerate(group)}
     flags = {f"_null{i}": F.col(g).isNull() for i, g in enumerate(group)}
-    of_group = [*keys, *flags]
+    joined_by = [*keys, *flags]
+    of_group = [*group, "_most"]
     slack = SLACK / accuracy
     ends = [
         end
@@ -156,10 +163,11 @@ def _counts_in_brackets(rows, group, value, wanted, parts, accuracy):
             for n, lo, hi, t in zip(names, low, high, target, strict=True)
         ]
     )
-    bracketed = brackets.select(*of_group, bounds.alias("_bounds"))
-    met = present.withColumns({**keys, **flags}).join(bracketed, of_group)
-    marked = met.select(
-        *of_group, F.col(value).alias("_value"), F.explode(F.filter("_bounds", lambda b: F.col(value) <= b["high"])).alias("_b")
+    bracketed = brackets.select(*joined_by, "_most", bounds.alias("_bounds"))
+    met = present.withColumns({**keys, **flags}).join(bracketed, joined_by)
+    # Filtered as rows: a filter of the array would be run uncompiled for each row.
+    marked = met.select(*of_group, F.col(value).alias("_value"), F.explode("_bounds").alias("_b")).where(
+        F.col("_value") <= F.col("_b.high")
     )
     # Rows below a bracket are only counted, under one value of NULL.
     inside = F.when(F.col("_value") >= F.col("_b.low"), F.col("_value"))
